@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, near_dup, packing, quality
+from . import lines, maxscore, mixing, near_dup, packing, quality
 from ._shared import table
 
 CAPACITY = 2048
@@ -25,6 +25,12 @@ def tokenizer_path(name: str) -> str:
     return os.path.join(folder, name)
 
 
+def op1_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best of all other vectors for every vector whose id is divisible by 50."""
+    vectors = maxscore.quantized(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return maxscore.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -65,13 +71,21 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model, GRADES).withColumn("kept", F.col("p_best") >= quality.TAIL)
 
 
-QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_mixing, op7_line_dedup, op8_packing, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_maxscore, op2_near_duplicates, op3_mixing, op7_line_dedup, op8_packing, op9_quality)}
 
 ORACLES = {
+    "op1_maxscore": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+""",
     "op7_line_dedup": """
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
-r AS (SELECT doc_id, lines, list_transform(range(1, greatest(len(lines), 2)), i -> substr(md5(lines[i] || chr(10) || coalesce(lines[i + 1], '')), 1, 8)) AS roll FROM l),
-s AS (SELECT doc_id, lines, list_filter(range(1, len(lines) + 1), i -> i = 1 OR (i < len(lines) AND roll[i] < roll[i - 1] AND (i >= len(lines) - 1 OR roll[i] <= roll[i + 1]))) AS starts FROM r),
+r AS (SELECT doc_id, lines, list_transform(range(1, greatest(len(lines), 2)), lambda i: substr(md5(lines[i] || chr(10) || coalesce(lines[i + 1], '')), 1, 8)) AS roll FROM l),
+s AS (SELECT doc_id, lines, list_filter(range(1, len(lines) + 1), lambda i: i = 1 OR (i < len(lines) AND roll[i] < roll[i - 1] AND (i >= len(lines) - 1 OR roll[i] <= roll[i + 1]))) AS starts FROM r),
 c AS (SELECT doc_id, k, starts[k] AS a, coalesce(starts[k + 1], len(lines) + 1) - starts[k] AS n, array_to_string(lines[starts[k] : coalesce(starts[k + 1], len(lines) + 1) - 1], chr(10)) AS chunk
   FROM (SELECT *, unnest(range(1, len(starts) + 1)) AS k FROM s)),
 f AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY chunk, n >= 2 ORDER BY doc_id, a) > 1 AS gone FROM c),
@@ -80,8 +94,8 @@ o AS (SELECT doc_id, count(*) FILTER (gone) AS chunks_removed, coalesce(sum(n) F
 SELECT doc_id, chunks_removed, lines_removed, length(t) AS chars_left, md5(t) AS text_md5 FROM o
 """,
     "op2_near_duplicates": """
-WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w),
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
 e AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),

@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, maxscore, mixing, near_dup, packing, quality
+from . import lines, maxscore, mixing, near_dup, packing, quality, token_counts
 from ._shared import table
 
 CAPACITY = 2048
@@ -47,6 +47,29 @@ def languages(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("lang").alias("domain")).where("domain is not null")
 
 
+def pretokens() -> str:
+    """The pattern that the byte-level vocabularies split texts by, from the package they come in."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def edits_of(docs: DataFrame) -> DataFrame:
+    """Three edits of each document, drawn by its id: 40 characters go, the first 32 come again in the middle, a line is added."""
+    n = F.length("text")
+    edit = lambda no, start, removed, inserted: F.struct(F.lit(no).alias("edit_no"), start.cast("long").alias("start"), F.lit(removed).cast("long").alias("removed"), inserted.alias("inserted"))
+    drawn = F.pmod(F.xxhash64("doc_id"), (n + 1).cast("long"))
+    return docs.withColumn("edits", F.array(edit(1, drawn, 40, F.lit("")), edit(2, F.floor(n / 2), 0, F.substring("text", 1, 32)), edit(3, n + 32, 0, F.lit("\nEdited in 2024."))))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after three edits, and how many pre-tokens the edits had encoded."""
+    ranks, pattern = tokenizer_path("byte_bpe_50k.tiktoken"), pretokens()
+    indexed = edits_of(token_counts.index(table(spark, sf_dir, "documents"), ranks, pattern))
+    out = token_counts.apply(indexed, None, ranks, pattern)
+    return out.select("doc_id", "n_tokens", "new_tokens", "new_chars", F.col("encoded").alias("pretokens_encoded"), F.md5("text").alias("new_text_md5"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = lines.without_repeats(docs)
@@ -71,7 +94,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model, GRADES).withColumn("kept", F.col("p_best") >= quality.TAIL)
 
 
-QUERIES = {f.__name__: f for f in (op1_maxscore, op2_near_duplicates, op3_mixing, op7_line_dedup, op8_packing, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_maxscore, op2_near_duplicates, op3_mixing, op5_token_counts, op7_line_dedup, op8_packing, op9_quality)}
 
 ORACLES = {
     "op1_maxscore": """

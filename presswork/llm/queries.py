@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, maxscore, mixing, near_dup, packing, quality, token_counts
+from . import fingerprints, lines, maxscore, mixing, near_dup, packing, quality, token_counts
 from ._shared import table
 
 CAPACITY = 2048
@@ -47,6 +47,10 @@ def languages(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("lang").alias("domain")).where("domain is not null")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
 def pretokens() -> str:
     """The pattern that the byte-level vocabularies split texts by, from the package they come in."""
     import public_tokenizers
@@ -94,7 +98,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model, GRADES).withColumn("kept", F.col("p_best") >= quality.TAIL)
 
 
-QUERIES = {f.__name__: f for f in (op1_maxscore, op2_near_duplicates, op3_mixing, op5_token_counts, op7_line_dedup, op8_packing, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_maxscore, op2_near_duplicates, op3_mixing, op4_fingerprints, op5_token_counts, op7_line_dedup, op8_packing, op9_quality)}
 
 ORACLES = {
     "op1_maxscore": """

@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, lines, maxscore, mixing, near_dup, packing, quality, token_counts
+from . import fingerprints, lines, maxscore, mixing, near_dup, packing, passages, quality, token_counts
 from ._shared import table
 
 CAPACITY = 2048
@@ -74,6 +74,13 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "new_tokens", "new_chars", F.col("encoded").alias("pretokens_encoded"), F.md5("text").alias("new_text_md5"))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document and each document whose passages it repeats (itself included): how many paragraphs, from where to where, and whether they stay."""
+    found = passages.repeats(table(spark, sf_dir, "documents"))
+    kept = F.expr(passages.stays())
+    return found.groupBy("doc_id", "first_doc_id", kept.alias("kept")).agg(F.count(F.lit(1)).alias("paragraphs"), F.min("start").alias("first_word"), (F.max("start") + passages.WORDS).alias("end_word"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = lines.without_repeats(docs)
@@ -98,7 +105,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model, GRADES).withColumn("kept", F.col("p_best") >= quality.TAIL)
 
 
-QUERIES = {f.__name__: f for f in (op1_maxscore, op2_near_duplicates, op3_mixing, op4_fingerprints, op5_token_counts, op7_line_dedup, op8_packing, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_maxscore, op2_near_duplicates, op3_mixing, op4_fingerprints, op5_token_counts, op6_passages, op7_line_dedup, op8_packing, op9_quality)}
 
 ORACLES = {
     "op1_maxscore": """

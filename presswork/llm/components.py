@@ -9,8 +9,10 @@ define. In each round the few smallest nodes of a bucket are its centres: they
 are tested against every node of the bucket that is not yet in their
 component, and then leave the bucket, as all that they could add is known. The
 number of centres doubles each round, and buckets whose nodes are in one
-component are done. So a bucket of m near copies costs m tests, not m * m,
-no link between different components goes untested, and there is no cap.
+component are done. So a bucket of m linked nodes costs m tests, not m * m,
+no link between different components goes untested, and there is no cap. A
+caller that has narrower buckets for nodes that do not link asks for a few
+rounds, and gets what is open after them.
 """
 
 from __future__ import annotations
@@ -46,37 +48,49 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str = "linked", groups: DataFrame | None = None) -> DataFrame:
-    """From (bucket, node long) and an exact test of pairs (a, b), rows (node, root) as `components` gives.
+def linked(
+    buckets: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    name: str = "linked",
+    roots: DataFrame | None = None,
+    rounds: int | None = None,
+    order: tuple[str, ...] = ("node",),
+    possible: str = "true",
+) -> tuple[DataFrame, DataFrame]:
+    """From (bucket, node long) and an exact test of pairs (a, b): rows (node, root) as `components` gives, and what is still open.
 
-    verify takes pairs (a, b), a > b, and returns those that are linked.
-    groups, if given, are (node, root) links known before.
+    verify takes pairs (a, b, u, v), a > b, u and v being their roots so far,
+    and returns those that are linked. roots, if given, are links known before.
+    After `rounds` (None: as many as it takes) the buckets' nodes that are not
+    yet tested against each other are left as the second result. Centres are
+    taken by `order`; `possible` may name a condition on the columns of a
+    centre (with c_ before their names) and of a node that linked pairs fulfil
+    in at least one of their buckets.
     """
-    roots = groups
-    live, width = buckets, 1
+    live, width, done = buckets, 1, 0
+    more = [c for c in buckets.columns if c not in ("bucket", "node")]
     while True:
+        live = live.select("bucket", "node", *more)
         if roots is not None:
-            known = roots.select("node", "root")
-            live = live.select("bucket", "node").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            live = live.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         else:
-            live = live.select("bucket", "node", F.col("node").alias("root"))
-        open_ = live.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("first")).where("lo < hi")
-        live = staged(live.join(open_.select("bucket", "first"), "bucket"), name)
-        if width == 1:
-            centres = live.where("node = first").select("bucket", F.col("node").alias("c"), F.col("root").alias("c_root")).distinct()
-        else:
-            order = Window.partitionBy("bucket").orderBy("node")
-            centres = live.select("bucket", "node", "root").withColumn("k", F.row_number().over(order)).where(F.col("k") <= width).select("bucket", F.col("node").alias("c"), F.col("root").alias("c_root"))
-        if live.isEmpty():
-            return roots if roots is not None else live.select("node", "root")
-        pairs = live.join(centres, "bucket").where("root <> c_root and node <> c").select(F.greatest("node", "c").alias("a"), F.least("node", "c").alias("b"), F.greatest("root", "c_root").alias("u"), F.least("root", "c_root").alias("v"))
+            live = live.withColumn("root", F.col("node"))
+        open_ = live.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+        live = staged(live.join(open_.select("bucket"), "bucket"), name)
+        if done == rounds or live.isEmpty():
+            return roots if roots is not None else live.select("node", "root"), live
+        best = Window.partitionBy("bucket").orderBy(*order)
+        centres = live.withColumn("k", F.row_number().over(best)).where(F.col("k") <= width)
+        centres = staged(centres.select("bucket", *[F.col(c).alias(f"c_{c}") for c in ("node", "root", *more)]), name)
+        pairs = live.join(centres, "bucket").where(f"root <> c_root and ({possible})")
+        pairs = pairs.select(F.greatest("node", "c_node").alias("a"), F.least("node", "c_node").alias("b"), F.greatest("root", "c_root").alias("u"), F.least("root", "c_root").alias("v"))
         found = staged(verify(pairs.distinct()).select("u", "v").distinct(), name)
         merged = components(found, name)
-        live = live.join(centres.select("bucket", F.col("c").alias("node")), ["bucket", "node"], "left_anti")
-        step = merged.select(F.col("node").alias("root"), F.col("root").alias("new"))
+        live = live.join(centres.select("bucket", F.col("c_node").alias("node")), ["bucket", "node"], "left_anti")
         if roots is None:
             roots = merged
         else:
+            step = merged.select(F.col("node").alias("root"), F.col("root").alias("new"))
             moved = roots.join(step, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
             roots = staged(moved.unionByName(merged.join(roots.select("node"), "node", "left_anti")), name)
-        width *= 2
+        width, done = 2 * width, done + 1

@@ -7,7 +7,10 @@
 3. Nodes that share a band's hash are candidates. `components.linked` tests
    each against its bucket's centres: first by the signature (one byte of each
    minimum; the allowance is seven standard deviations), then by the exact
-   intersection of the full sets.
+   intersection of the full sets. Nodes of buckets that are still open after
+   ROUNDS rounds (large groups of texts that are alike but mostly not linked)
+   are tested by narrower buckets: those that share one of their rarest
+   shingles, of which linked sets always have one in common.
 4. Components by alternating large-star and small-star; the smallest doc_id
    names them.
 
@@ -21,13 +24,15 @@ doc_id take no part in `near_duplicates`; `deduplicated` lets them pass.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import WordHashes, shingle_hashes, staged, texts_as_bytes, word_hashes, words_of
 from .components import linked
 
 BANDS, ROWS = 25, 4
+#: of tests against centres of the bands' buckets; the nodes that are open after them go by their rare shingles
+ROUNDS = 2
 BLOCK = 2048
 
 
@@ -123,6 +128,22 @@ def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").withColumn("common", common).where(100 * F.col("common") >= percent * union).select("a", "b", "u", "v")
 
 
+def by_rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """(bucket, node, place, size): each set's shingles that come first by rarity, as many as a similar set must share one of.
+
+    Of two sets with 100 * intersection >= percent * union the first shingle
+    that both have, in any one order of all shingles, is among the first
+    size - ceil(percent / 100 * size) + 1 of either; and if it stands at `place`
+    in both, no more than 1 + least(size - place) are in common.
+    """
+    each = staged(sets.select(F.col("doc_id").alias("node"), F.size("shingles").alias("size"), F.explode("shingles").alias("bucket")), "rarity")
+    often = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("n", "bucket"))
+    first = each.join(often, "bucket").withColumn("place", place).where(f"100 * (place - 1) <= (100 - {percent}) * size")
+    shared = first.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    return first.select("bucket", "node", "place", "size").join(shared, "bucket")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document with an id."""
     signed = staged(signatures(docs, bands, rows), "signatures")
@@ -137,7 +158,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     def verify(pairs: DataFrame) -> DataFrame:
         return alike(likely(pairs, nodes, percent / 100, bands * rows), sets, percent)
 
-    roots = linked(buckets, verify, "near")
+    roots, open_ = linked(buckets, verify, "near", rounds=ROUNDS)
+    if not open_.isEmpty():
+        narrow = by_rare_shingles(open_.select(F.col("node").alias("doc_id")).distinct().join(sets, "doc_id"), percent)
+        roots, _ = linked(narrow, verify, "rare", roots=roots, order=("place", "node"), possible=f"(100 + {percent}) * (1 + least(size - place, c_size - c_place)) >= {percent} * (size + c_size)")
     named = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.coalesce("component_id", "doc_id")

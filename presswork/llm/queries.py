@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, lines, maxscore, mixing, near_dup, packing, passages, quality, token_counts
+from . import fingerprints, lines, maxscore, mixing, near_dup, packing, passages, quality, recurrent_lm, token_counts
 from ._shared import table
 
 CAPACITY = 2048
@@ -105,7 +105,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model, GRADES).withColumn("kept", F.col("p_best") >= quality.TAIL)
 
 
-QUERIES = {f.__name__: f for f in (op1_maxscore, op2_near_duplicates, op3_mixing, op4_fingerprints, op5_token_counts, op6_passages, op7_line_dedup, op8_packing, op9_quality)}
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent_lm.language_model_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_maxscore, op2_near_duplicates, op3_mixing, op4_fingerprints, op5_token_counts, op6_passages, op7_line_dedup, op8_packing, op9_quality, op10_language_model)}
 
 ORACLES = {
     "op1_maxscore": """

@@ -78,7 +78,7 @@ def classified(text: Column, groups: dict[str, list[str]], default: str, boundar
     for name, words in reversed(groups.items()):
         single = [re.escape(w) for w in words if " " not in w or not boundaries]
         phrases = [re.escape(w) for w in words if " " in w and boundaries]
-        pattern = "|".join(([f"\\b(?:{'|'.join(single)})\\b"] if boundaries else single) + phrases)
+        pattern = "|".join(([f"(?<![a-z0-9_])(?:{'|'.join(single)})(?![a-z0-9_])"] if boundaries else single) + phrases)
         out = F.when(t.rlike(pattern.replace("\\ ", " ")), name).otherwise(out)
     return out
 

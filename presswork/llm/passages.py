@@ -45,44 +45,62 @@ def tuned(percent: int = PERCENT, recall: float = RECALL, rows: int = ROWS) -> i
     return math.ceil(math.log(1 - recall) / math.log(1 - (percent / 100) ** rows))
 
 
-def anchors(hashes):
-    """Places of the words at which paragraphs begin."""
+def chunks(texts: list, words: int = 100_000):
+    """Runs (from, to) of texts of about so many words, that numpy works on whole runs."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or b"") // 5
+        if size >= words:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def paragraphs(texts: list, cache: WordHashes, a=None, b=None):
+    """(document, place, node, shingles, buckets by band) of the paragraphs of some texts; without a and b no buckets.
+
+    Texts stand in one array with a gap between them in which no word is a
+    minimum, so each has the anchors that it has alone.
+    """
     import numpy as np
 
-    n = len(hashes)
-    if n < WORDS:
-        return np.zeros(0, np.int64)
-    g = mixed(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])
+    each = [word_hashes(words_of(t), cache) for t in texts]
+    sizes = np.array([len(h) for h in each], np.int64)
+    gap = np.zeros(RADIUS + 1, np.uint64)
+    hashes = np.concatenate([x for h in each for x in (h, gap)]) if each else np.zeros(0, np.uint64)
+    starts = np.cumsum(sizes + len(gap)) - sizes - len(gap)
     top = np.iinfo(np.uint64).max
-    least = np.ones(len(g), bool)
+    g = np.full(len(hashes), top)
+    if len(hashes):
+        g[:-1] = mixed(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])
+    for d in range(-1, len(gap)):  # the last word has no next one
+        g[starts[sizes + d >= 0] + sizes[sizes + d >= 0] + d] = top
+    least = g < top
     for d in range(1, RADIUS + 1):
         least[d:] &= g[d:] < g[:-d]
         least[:-d] &= g[:-d] <= g[d:]
-    least[0] = g[0] < top
-    found = np.flatnonzero(least)
-    return found[found <= n - WORDS]
-
-
-def paragraphs(text: bytes | None, cache: WordHashes, a, b):
-    """(places, nodes, buckets by band) of a text's paragraphs."""
-    import numpy as np
-
-    hashes = word_hashes(words_of(text), cache)
-    at = anchors(hashes)
-    bands = len(a) // ROWS
+    least[starts[sizes >= WORDS]] = True
+    at = np.flatnonzero(least)
+    doc = np.searchsorted(starts, at, "right") - 1
+    place = at - starts[doc]
+    fits = place <= sizes[doc] - WORDS
+    at, doc, place = at[fits], doc[fits], place[fits]
     if not len(at):
-        return at, np.zeros(0, np.int64), np.zeros((0, bands), np.int64)
+        none = np.zeros(0, np.int64)
+        return none, none, none, np.zeros((0, WORDS - SHINGLE + 1), np.uint64), np.zeros((0, 0 if a is None else len(a) // ROWS), np.int64)
     s = shingle_hashes(hashes, SHINGLE)[at[:, None] + np.arange(WORDS - SHINGLE + 1)]
     node = np.zeros(len(at), np.uint64)
     for j in range(s.shape[1]):
         node = node * np.uint64(0x9E3779B97F4A7C15) + s[:, j]
+    bands = 0 if a is None else len(a) // ROWS
     buckets = np.empty((len(at), bands), np.uint64)
     for k in range(bands):
         h = np.full(len(at), k + 1, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for r in range(k * ROWS, (k + 1) * ROWS):
             h = mixed(h ^ (s * a[r] + b[r]).min(axis=1))
         buckets[:, k] = h
-    return at, mixed(node).view(np.int64), buckets.view(np.int64)
+    return doc, place, mixed(node).view(np.int64), s, buckets.view(np.int64)
 
 
 def _given(docs: DataFrame) -> DataFrame:
@@ -98,17 +116,16 @@ def buckets_of(docs: DataFrame, bands: int) -> DataFrame:
 
         cache, (a, b) = WordHashes(), coefficients(bands * ROWS, 23)
         for batch in batches:
-            keys, weights = [], []
-            for text in texts_as_bytes(batch.column(1)):
-                at, _, buckets = paragraphs(text, cache, a, b)
-                flat, place = buckets.ravel(), np.repeat(at, bands)
-                order = np.argsort(flat, kind="stable")  # places stay in order
-                key, first = np.unique(flat[order], return_index=True)
-                last = np.append(first[1:], len(flat)) - 1
-                keys.append(key)
-                weights.append(1 + (place[order][last] - place[order][first] >= WORDS) if len(key) else first)
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(weights).astype(np.int32))], names=["bucket", "weight"])
+            texts = texts_as_bytes(batch.column(1))
+            for x, y in chunks(texts):
+                doc, place, _, _, buckets = paragraphs(texts[x:y], cache, a, b)
+                doc, place, bucket = np.repeat(doc, bands), np.repeat(place, bands), buckets.ravel()
+                order = np.lexsort((place, bucket, doc))
+                doc, place, bucket = doc[order], place[order], bucket[order]
+                first = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(bucket, prepend=0) != 0))
+                last = np.append(first[1:], len(doc)) - 1
+                weight = 1 + (place[last] - place[first] >= WORDS) if len(doc) else first
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(weight.astype(np.int32))], names=["bucket", "weight"])
 
     return _given(docs).mapInArrow(count, "bucket long, weight int")
 
@@ -123,14 +140,10 @@ def places_of(docs: DataFrame, bands: int) -> DataFrame:
         cache, (a, b) = WordHashes(), coefficients(bands * ROWS, 23)
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), texts_as_bytes(batch.column(1))
-            for i in range(0, len(texts), 1000):
-                found = [paragraphs(t, cache, a, b) for t in texts[i : i + 1000]]
-                n = np.array([len(at) for at, _, _ in found])
-                rows = lambda x: pa.array(np.repeat(x, bands))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([x[2].ravel() for x in found])), rows(np.concatenate([x[1] for x in found])), rows(np.repeat(ids[i : i + 1000], n)), rows(np.concatenate([x[0] for x in found]).astype(np.int32))],
-                    names=["bucket", "node", "doc_id", "start"],
-                )
+            for x, y in chunks(texts):
+                doc, place, node, _, buckets = paragraphs(texts[x:y], cache, a, b)
+                rows = lambda v: pa.array(np.repeat(v, bands))
+                yield pa.RecordBatch.from_arrays([pa.array(buckets.ravel()), rows(node), rows(ids[x:y][doc]), rows(place.astype(np.int32))], names=["bucket", "node", "doc_id", "start"])
 
     return _given(docs).mapInArrow(name, "bucket long, node long, doc_id long, start int")
 
@@ -142,19 +155,20 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        cache, (a, b) = WordHashes(), coefficients(ROWS, 23)
+        cache = WordHashes()
         for batch in batches:
-            nodes, sets = [], []
-            for text, want in zip(texts_as_bytes(batch.column(0)), batch.column(1).to_pylist()):
-                at, node, _ = paragraphs(text, cache, a, b)
-                s = shingle_hashes(word_hashes(words_of(text), cache), SHINGLE)
-                here = set(want)
-                for place, n in zip(at.tolist(), node.tolist()):
-                    if n in here:
-                        here.discard(n)
+            texts, want = texts_as_bytes(batch.column(0)), batch.column(1).to_pylist()
+            for x, y in chunks(texts):
+                doc, _, node, s, _ = paragraphs(texts[x:y], cache)
+                asked = [(d, n) for d, nodes in enumerate(want[x:y]) for n in nodes]
+                ends = np.searchsorted(doc, np.arange(y - x + 1))
+                nodes, sets = [], []
+                for d, n in asked:
+                    i = np.flatnonzero(node[ends[d] : ends[d + 1]] == n)
+                    if len(i):
                         nodes.append(n)
-                        sets.append(np.unique(s[place : place + WORDS - SHINGLE + 1]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+                        sets.append(np.unique(s[ends[d] + i[0]]).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
     by_doc = wanted.groupBy("doc_id").agg(F.collect_set("node").alias("nodes"))
     found = _given(docs).join(by_doc, "doc_id").select("text", "nodes").mapInArrow(take, "doc_id long, shingles array<long>")
@@ -191,8 +205,8 @@ def stays() -> str:
 
 def without_repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs less the words of repeated paragraphs, with the long words_removed; white space is that of the words that stay."""
-    gone = repeats(docs, percent).where(f"not ({stays()})").groupBy(F.col("doc_id").alias("__gone_id")).agg(F.sort_array(F.collect_set("start")).alias("__gone"))
-    joined = docs.join(gone, F.col("doc_id") == F.col("__gone_id"), "left")
+    gone = repeats(docs, percent).where(f"not ({stays()})").groupBy(F.col("doc_id").alias("__passages_id")).agg(F.sort_array(F.collect_set("start")).alias("__passages_gone"))
+    joined = docs.join(gone, F.col("doc_id") == F.col("__passages_id"), "left")
 
     @F.pandas_udf("text string, n long")
     def cut(texts, starts):
@@ -217,6 +231,6 @@ def without_repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             removed.append(int((~keep).sum()))
         return pd.DataFrame({"text": out, "n": removed})
 
-    done = joined.withColumn("__cut", F.when(F.col("__gone").isNotNull(), cut(F.col("text"), F.col("__gone"))))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.col("__cut.text"))
-    return done.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], F.coalesce("__cut.n", F.lit(0)).cast("long").alias("words_removed"))
+    done = joined.withColumn("__passages_cut", F.when(F.col("__passages_gone").isNotNull(), cut(F.col("text"), F.col("__passages_gone"))))
+    text = F.when(F.col("__passages_gone").isNull(), F.col("text")).otherwise(F.col("__passages_cut.text"))
+    return done.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], F.coalesce("__passages_cut.n", F.lit(0)).cast("long").alias("words_removed"))

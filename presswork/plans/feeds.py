@@ -126,12 +126,12 @@ def feed_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""{METRICS}, d AS (SELECT DISTINCT story_id, source_id, source, bias, factuality, ownership, owner_id FROM art WHERE story_id IN (SELECT story_id FROM sto WHERE status = 'published' ORDER BY story_id LIMIT 20))
+    f"""{METRICS}, d AS (SELECT DISTINCT story_id, source_id, source, bias, factuality, ownership, owner_id FROM art WHERE story_id IN (SELECT story_id FROM sto WHERE status = 'published'))
 SELECT d.story_id, d.source_id, d.source, bias, o.name AS owner, d.owner_id IS NOT NULL AND o.owner_id IS NULL AS owner_missing, n_sources FROM d LEFT JOIN own o USING (owner_id) JOIN met USING (story_id)"""
 )
 def story_detail(spark: SparkSession, sf: str) -> DataFrame:
     """Stories with their sources and owners; a source's owner that is not known is flagged."""
-    ids = views.stories(spark, sf).where("status = 'published'").select("story_id").orderBy("story_id").limit(20)
+    ids = views.stories(spark, sf).where("status = 'published'").select("story_id")
     d = views.articles(spark, sf).join(ids, "story_id", "left_semi")
     n = d.groupBy("story_id").agg(F.count_distinct("source_id").alias("n_sources"))
     o = views.owners(spark, sf).select("owner_id", F.col("name").alias("owner"), F.lit(True).alias("_known"))
@@ -163,13 +163,13 @@ def promoted_tags(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""{_TAGS}, p AS (SELECT story_id, tag_id FROM st JOIN sto USING (story_id) WHERE status = 'published' AND tag_id % 100 < 10), c AS (SELECT a.tag_id, b.tag_id AS related, count(*) AS n FROM p a JOIN p b ON a.story_id = b.story_id AND a.tag_id <> b.tag_id GROUP BY ALL)
+    f"""{_TAGS}, p AS (SELECT story_id, tag_id FROM st JOIN sto USING (story_id) WHERE status = 'published'), c AS (SELECT a.tag_id, b.tag_id AS related, count(*) AS n FROM p a JOIN p b ON a.story_id = b.story_id AND a.tag_id <> b.tag_id GROUP BY ALL)
 SELECT tag_id, related, n FROM (SELECT *, row_number() OVER (PARTITION BY tag_id ORDER BY n DESC, related) AS k FROM c) WHERE k <= 10"""
 )
 def related_tags(spark: SparkSession, sf: str) -> DataFrame:
     """Tags that occur with a tag in published stories, by count and id. A story has few tags, so pairs stay linear in stories."""
     s = views.stories(spark, sf).where("status = 'published'").select("story_id")
-    p = story_tags(spark, sf).where("tag_id % 100 < 10").join(s, "story_id", "left_semi")
+    p = story_tags(spark, sf).join(s, "story_id", "left_semi")
     c = p.join(p.select("story_id", F.col("tag_id").alias("related")), "story_id").where("tag_id <> related").groupBy("tag_id", "related").agg(F.count(F.lit(1)).alias("n"))
     k = F.row_number().over(Window.partitionBy("tag_id").orderBy(F.desc("n"), "related"))
     return c.withColumn("k", k).where("k <= 10").drop("k")
@@ -199,10 +199,11 @@ def coverage_cube(spark: SparkSession, sf: str) -> DataFrame:
     return s.cube("topic", "region").agg(F.count(F.lit(1)).alias("n"), F.sum("n_sources").alias("sources")).select(F.coalesce("topic", F.lit("all")).alias("topic"), F.coalesce("region", F.lit("all")).alias("region"), "n", "sources")
 
 
-@query(f"{METRICS} SELECT s.story_id FROM sto s JOIN met USING (story_id) WHERE status = 'published' AND n_sources > 1 AND reader_id % 10 = 1 AND story_id NOT IN (SELECT audience FROM eng WHERE action = 'view')")
+@query(f"{METRICS} SELECT s.story_id FROM sto s JOIN met USING (story_id) WHERE status = 'published' AND n_sources > 1 AND reader_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND story_id NOT IN (SELECT audience FROM eng WHERE action = 'view')")
 def saved_unread(spark: SparkSession, sf: str) -> DataFrame:
-    """Saved stories with several sources that nobody has viewed: semi and anti joins."""
-    s = views.stories(spark, sf).where("status = 'published' and reader_id % 10 = 1").select("story_id")
+    """A segment's stories with several sources that nobody has viewed: semi and anti joins."""
+    segment = views.table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("reader_id"))
+    s = views.stories(spark, sf).where("status = 'published'").join(segment, "reader_id", "left_semi").select("story_id")
     several = cov.metrics(views.articles(spark, sf), now()).where("n_sources > 1")
     seen = views.engagement(spark, sf).where("action = 'view'").select(F.col("audience").alias("story_id"))
     return s.join(several, "story_id", "left_semi").join(seen, "story_id", "left_anti")

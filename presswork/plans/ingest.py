@@ -14,14 +14,14 @@ from ..operators import ingest, latest
 from ..registry import query
 from ..views import BIAS_SQL, SQL, TOPIC_SQL
 
-_FP = "trim(regexp_replace(regexp_replace(lower(substr(text, 1, 80)), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_FP = "trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 _ITEMS = f"i AS (SELECT doc_id, 'https://' || source || '.example/' || (doc_id % 400) AS canonical_url, 'raw/' || doc_id AS url, source AS source_id, {_FP} AS fingerprint FROM documents WHERE text IS NOT NULL), old AS (SELECT * FROM i WHERE doc_id % 7 = 0), new AS (SELECT * FROM i WHERE doc_id % 7 <> 0)"
 
 
 def feed_items(spark: SparkSession, sf: str) -> DataFrame:
     d = views.table(spark, sf, "documents").where("text is not null")
     url = F.concat(F.lit("https://"), "source", F.lit(".example/"), (F.col("doc_id") % 400).cast("string"))
-    return d.select("doc_id", url.alias("canonical_url"), F.concat(F.lit("raw/"), F.col("doc_id").cast("string")).alias("url"), F.col("source").alias("source_id"), fingerprint(F.substring("text", 1, 80)).alias("fingerprint"))
+    return d.select("doc_id", url.alias("canonical_url"), F.concat(F.lit("raw/"), F.col("doc_id").cast("string")).alias("url"), F.col("source").alias("source_id"), fingerprint(F.col("text")).alias("fingerprint"))
 
 
 def _split(spark, sf):
@@ -56,12 +56,12 @@ def inserted_per_source(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH {_ITEMS}, r AS (SELECT doc_id, source_id, row_number() OVER (PARTITION BY source_id ORDER BY doc_id) AS round, min(doc_id) OVER (PARTITION BY source_id) AS turn FROM new)
-SELECT doc_id, source_id, round::INT AS round, row_number() OVER (ORDER BY round, turn)::INT AS place FROM r ORDER BY place LIMIT 100"""
+SELECT doc_id, source_id, round::INT AS round, turn FROM r"""
 )
 def interleaved_items(spark: SparkSession, sf: str) -> DataFrame:
-    """Round robin over sources; the first hundred of the queue."""
-    r = latest.interleaved(_split(spark, sf)[0], "source_id", ["doc_id"]).orderBy("round", "turn").limit(100)
-    return r.withColumn("place", F.row_number().over(Window.orderBy("round", "turn"))).select("doc_id", "source_id", "round", "place")
+    """Round robin over sources: the order of the queue is by (round, turn)."""
+    r = latest.interleaved(_split(spark, sf)[0], "source_id", ["doc_id"])
+    return r.select("doc_id", "source_id", "round", F.col("turn.doc_id").alias("turn"))
 
 
 @query(f"WITH {_ITEMS}, u AS (SELECT canonical_url, max(doc_id) AS doc_id FROM (SELECT * FROM old UNION ALL SELECT * FROM new) GROUP BY canonical_url) SELECT canonical_url, doc_id FROM u")
@@ -122,7 +122,7 @@ def median_ratings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT split_part(regexp_replace(lower(url), '^https?://', ''), '/', 1) AS domain, page_id FROM pages), rated AS (SELECT DISTINCT domain FROM p WHERE page_id % 3 = 0), s AS (SELECT DISTINCT domain FROM p WHERE page_id % 2 = 0)
+    """WITH p AS (SELECT split_part(regexp_replace(lower(url), '^https?://', ''), '/', 1) AS domain, page_id FROM pages), rated AS (SELECT DISTINCT domain FROM p WHERE page_id % 3 = 0), s AS (SELECT DISTINCT domain FROM p)
 SELECT domain, domain IN (SELECT domain FROM rated) AS matched FROM s"""
 )
 def rating_matches(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,7 +130,7 @@ def rating_matches(spark: SparkSession, sf: str) -> DataFrame:
     host = F.regexp_extract(F.regexp_replace(F.lower("url"), "^https?://", ""), "^([^/]*)", 1)
     p = views.table(spark, sf, "pages").select("page_id", host.alias("domain"))
     rated = p.where("page_id % 3 = 0").select("domain").distinct().withColumn("matched", F.lit(True))
-    return p.where("page_id % 2 = 0").select("domain").distinct().join(rated, "domain", "left").select("domain", F.coalesce("matched", F.lit(False)).alias("matched"))
+    return p.select("domain").distinct().join(rated, "domain", "left").select("domain", F.coalesce("matched", F.lit(False)).alias("matched"))
 
 
 @query(

@@ -162,21 +162,24 @@ def hot_stories(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _PROFILE = f"""{METRICS}, o AS (SELECT bias, sum(pct) AS s FROM spec JOIN sto USING (story_id) WHERE status = 'published' GROUP BY bias), ov AS (SELECT bias, floor(100.0 * s / (SELECT sum(s) FROM o) + 0.5)::INT AS p FROM o),
-rd AS (SELECT reader_id, story_id FROM sto WHERE status = 'published' AND story_id % 3 = 0), u AS (SELECT reader_id, bias, sum(pct) AS s FROM rd JOIN spec USING (story_id) GROUP BY ALL), ut AS (SELECT reader_id, sum(s) AS t FROM u GROUP BY reader_id),
+rd AS (SELECT reader_id, story_id FROM sto WHERE status = 'published' AND factuality IN ('high', 'very-high')), u AS (SELECT reader_id, bias, sum(pct) AS s FROM rd JOIN spec USING (story_id) GROUP BY ALL), ut AS (SELECT reader_id, sum(s) AS t FROM u GROUP BY reader_id),
 own_ AS (SELECT ut.reader_id, b.bias, CASE WHEN t > 0 THEN floor(100.0 * coalesce(s, 0) / t + 0.5) ELSE 0 END::INT AS p FROM ut CROSS JOIN (SELECT unnest({BIAS_SQL}) AS bias) b LEFT JOIN u ON u.reader_id = ut.reader_id AND u.bias = b.bias)
 """
 
 
+READ = "factuality in ('high', 'very-high')"
+
+
 def _segments(spark, sf):
-    s = views.stories(spark, sf).where("status = 'published'").select("story_id", "reader_id")
+    s = views.stories(spark, sf).where("status = 'published'").select("story_id", "reader_id", "factuality")
     return cov.spectrum(views.articles(spark, sf)).join(s, "story_id")
 
 
 def profiles(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(own by reader, overall): what readers have read is every third story of theirs."""
+    """(own by reader, overall): what readers have read are the stories of theirs with a high factuality."""
     seg = _segments(spark, sf)
     overall = readers.distribution(seg.withColumn("all", F.lit(1)), ["all"]).drop("all")
-    return readers.distribution(seg.where("story_id % 3 = 0"), ["reader_id"]), overall
+    return readers.distribution(seg.where(READ), ["reader_id"]), overall
 
 
 @query(f"{_PROFILE} SELECT reader_id, bias, p AS percentage FROM own_")
@@ -196,7 +199,7 @@ def reader_dominant_bias(spark: SparkSession, sf: str) -> DataFrame:
 
 _FORYOU = f"""{_PROFILE}, gap AS (SELECT reader_id, list(own_.bias) AS gaps FROM own_ JOIN ov USING (bias) WHERE ov.p >= 5 AND own_.p < ov.p / 2 GROUP BY reader_id),
 cand AS (SELECT story_id, topic, region, first_published FROM sto WHERE status = 'published' AND story_id IN (SELECT story_id FROM met) ORDER BY first_published DESC, story_id DESC LIMIT 200),
-rdr AS (SELECT DISTINCT reader_id FROM rd WHERE reader_id % 25 = 1), sim AS (SELECT DISTINCT rd.reader_id, topic, region FROM rd JOIN sto USING (story_id) WHERE rd.reader_id % 25 = 1),
+rdr AS (SELECT DISTINCT reader_id FROM rd), sim AS (SELECT DISTINCT rd.reader_id, topic, region FROM rd JOIN sto USING (story_id)),
 sc AS (SELECT r.reader_id, c.story_id, CASE WHEN topic = (['politics', 'world', 'technology', 'business', 'science', 'health', 'culture', 'sports', 'environment'])[(r.reader_id % 9 + 1)::INT] THEN 40 ELSE 0 END
   + coalesce((SELECT CASE WHEN sum(pct) >= 30 THEN 30 WHEN sum(pct) >= 15 THEN 15 ELSE 0 END FROM spec WHERE spec.story_id = c.story_id AND list_contains(coalesce(g.gaps, []), spec.bias)), 0)
   + CASE WHEN {age('c.first_published')} <= 0 THEN 20 WHEN {age('c.first_published')} >= 48 THEN 0 ELSE floor(20 * (1 - {age('c.first_published')} / 48) + 0.5)::INT END
@@ -219,10 +222,8 @@ def for_you_feed(spark: SparkSession, sf: str) -> DataFrame:
     st = views.stories(spark, sf).where("status = 'published'")
     spec = cov.spectrum_arrays(views.articles(spark, sf))
     cand = st.join(spec, "story_id").orderBy(F.desc("first_published"), F.desc("story_id")).limit(200).select("story_id", "topic", "region", "first_published", "spectrum")
-    with_spectrum = st.join(spec.select("story_id"), "story_id", "left_semi")
-    read = st.where("story_id % 3 = 0 and reader_id % 25 = 1").select("reader_id", "story_id", F.struct("topic", "region").alias("like"))
+    read = st.where(READ).select("reader_id", "story_id", F.struct("topic", "region").alias("like"))
     of = read.groupBy("reader_id").agg(F.collect_set("story_id").alias("read"), F.collect_set("like").alias("likes")).join(gaps, "reader_id", "left")
-    del with_spectrum
     pairs = of.join(F.broadcast(cand))  # 200 rows at most
     share = F.aggregate(F.filter("spectrum", lambda s: F.array_contains(F.coalesce("gaps", F.array().cast("array<string>")), s["bias"])), F.lit(0), lambda a, s: a + s["percentage"])
     unread = ~F.array_contains("read", F.col("story_id"))
@@ -234,7 +235,7 @@ def for_you_feed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""{_PROFILE}, gap AS (SELECT reader_id, own_.bias FROM own_ JOIN ov USING (bias) WHERE ov.p >= 5 AND own_.p < ov.p / 2 AND reader_id % 25 = 1),
+    f"""{_PROFILE}, gap AS (SELECT reader_id, own_.bias FROM own_ JOIN ov USING (bias) WHERE ov.p >= 5 AND own_.p < ov.p / 2),
 cand AS (SELECT story_id, first_published FROM sto WHERE status = 'published' AND story_id IN (SELECT story_id FROM met) ORDER BY first_published DESC, story_id DESC LIMIT 100),
 g AS (SELECT reader_id, c.story_id, first_published, sum(pct) AS share FROM gap CROSS JOIN cand c JOIN spec ON spec.story_id = c.story_id AND spec.bias = gap.bias GROUP BY ALL),
 f AS (SELECT * FROM g WHERE share >= 30 AND NOT EXISTS (SELECT 1 FROM rd WHERE rd.reader_id = g.reader_id AND rd.story_id = g.story_id))
@@ -242,12 +243,12 @@ SELECT reader_id, story_id, share::BIGINT AS share, k::INT AS place FROM (SELECT
 )
 def blindspot_suggestions(spark: SparkSession, sf: str) -> DataFrame:
     """Unread stories of the 100 newest with 30 % or more from a reader's blindspots."""
-    gaps = readers.reader_blindspots(*profiles(spark, sf)).where("reader_id % 25 = 1").select("reader_id", "bias")
+    gaps = readers.reader_blindspots(*profiles(spark, sf)).select("reader_id", "bias")
     st = views.stories(spark, sf).where("status = 'published'")
     spec = cov.spectrum(views.articles(spark, sf))
     cand = st.join(spec.select("story_id").distinct(), "story_id", "left_semi").orderBy(F.desc("first_published"), F.desc("story_id")).limit(100).select("story_id", "first_published")
     share = spec.join(F.broadcast(cand), "story_id").join(gaps, "bias").groupBy("reader_id", "story_id", "first_published").agg(F.sum("percentage").alias("share")).where("share >= 30")
-    read = st.where("story_id % 3 = 0").select("reader_id", "story_id")
+    read = st.where(READ).select("reader_id", "story_id")
     best = Window.partitionBy("reader_id").orderBy(F.desc("share"), F.desc("first_published"), F.desc("story_id"))
     return share.join(read, ["reader_id", "story_id"], "left_anti").withColumn("place", F.row_number().over(best)).where("place <= 10").select("reader_id", "story_id", "share", "place")
 

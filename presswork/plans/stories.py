@@ -150,12 +150,12 @@ def latest_article_per_source(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""{SQL}, h AS (SELECT *, row_number() OVER (PARTITION BY story_id, source ORDER BY {_DESC}) AS k FROM art WHERE story_id % 50 = 1)
+    f"""{SQL}, h AS (SELECT *, row_number() OVER (PARTITION BY story_id, source ORDER BY {_DESC}) AS k FROM art)
 SELECT story_id, source, bias, tag_id, row_number() OVER (PARTITION BY story_id ORDER BY list_position({BIAS_SQL}, bias), source)::INT AS place FROM h WHERE k = 1"""
 )
 def headlines_by_bias(spark: SparkSession, sf: str) -> DataFrame:
     """Each source's newest headline of a story, ordered from left to right."""
-    a = latest.latest(views.articles(spark, sf).where("story_id % 50 = 1"), ["story_id", "source"], views.TIES)
+    a = latest.latest(views.articles(spark, sf), ["story_id", "source"], views.TIES)
     place = F.row_number().over(Window.partitionBy("story_id").orderBy(ordinal(F.col("bias"), BIASES), "source"))
     return a.select("story_id", "source", "bias", "tag_id", place.alias("place"))
 
@@ -218,13 +218,13 @@ def headline_roundup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""{SQL}, w AS (SELECT story_id, label, e.embedding, CASE factuality WHEN 'very-low' THEN 0.5 WHEN 'low' THEN 0.75 WHEN 'mixed' THEN 1.0 WHEN 'high' THEN 1.25 ELSE 1.5 END * exp(-ln(2.0) * greatest({age('published_at')}, 0) / 24) AS w
-  FROM (SELECT DISTINCT story_id, tag_id, factuality, published_at FROM art WHERE story_id % 20 = 1) a JOIN embeddings e ON e.vec_id = a.tag_id % 400),
+  FROM (SELECT DISTINCT story_id, tag_id, factuality, published_at FROM art) a JOIN embeddings e ON e.vec_id = a.tag_id % 400),
 x AS (SELECT story_id, w, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM w) 
 SELECT story_id, round(sum(v * v), 6) AS norm2, round(sum(v), 6) AS total FROM (SELECT story_id, i, sum(w * x) / sum(w) AS v FROM x GROUP BY story_id, i) GROUP BY story_id"""
 )
 def weighted_centroids(spark: SparkSession, sf: str) -> DataFrame:
     """Centroids of stories' vectors, weighted by factuality and age; shown by norm and sum."""
-    a = views.articles(spark, sf).where("story_id % 20 = 1").select("story_id", "tag_id", "factuality", "published_at").distinct()
+    a = views.articles(spark, sf).select("story_id", "tag_id", "factuality", "published_at").distinct()
     a = a.withColumn("vec_id", F.col("tag_id") % 400).join(views.table(spark, sf, "embeddings"), "vec_id")
     c = cov.weighted_centroid(a.withColumn("w", cov.article_weight(F.col("factuality"), F.col("published_at"), now())), "story_id", "embedding", "w")
     norm = F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x * x)

@@ -69,7 +69,7 @@ def public_urls(spark: SparkSession, sf: str) -> DataFrame:
     return views.table(spark, sf, "pages").select("page_id", tx.is_public_url(F.col("url")).alias("is_public"))
 
 
-_SAMPLE = "CASE doc_id % 12 WHEN 0 THEN 'NASA research on space' WHEN 1 THEN 'Bank of England and inflation' WHEN 2 THEN 'Films at a festival in Toronto' WHEN 3 THEN 'Paid maids in Spain' WHEN 4 THEN 'Wildfire and storm in Europe' WHEN 5 THEN 'The summit of the G20' WHEN 6 THEN 'AI chip makers' WHEN 7 THEN 'A vaccine for the UK now' ELSE '' END || ' ' || substr(text, 1, 200)"
+_SAMPLE = "CASE doc_id % 12 WHEN 0 THEN 'NASA research on space' WHEN 1 THEN 'Bank of England and inflation' WHEN 2 THEN 'Films at a festival in Toronto' WHEN 3 THEN 'Paid maids in Spain' WHEN 4 THEN 'Wildfire and storm in Europe' WHEN 5 THEN 'The summit of the G20' WHEN 6 THEN 'AI chip makers' WHEN 7 THEN 'A vaccine for the UK now' ELSE '' END || ' ' || text"
 
 
 def sample_titles(spark: SparkSession, sf: str) -> DataFrame:

@@ -71,13 +71,15 @@ def without_repeats(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     stay = f"filter({P}spans, x -> not array_contains({P}gone, x.a))"
     text = F.expr(f"case when {P}gone is null then text else array_join(transform({stay}, x -> {CHUNK}), '\n') end")
     lines = F.expr(f"aggregate(filter({P}spans, x -> array_contains({P}gone, x.a)), 0L, (n, x) -> n + x.b - x.a)")
-    keep = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    return out.select(*keep, F.coalesce(lines, F.lit(0)).alias("lines_removed"), F.coalesce(F.size(P + "gone"), F.lit(0)).cast("long").alias("chunks_removed"))
+    # as a generator's output: a condition on it is not pushed down into what makes the chunks, which would make them again for each use
+    done = F.struct(text.alias("text"), F.coalesce(lines, F.lit(0)).cast("long").alias("lines_removed"), F.coalesce(F.size(P + "gone"), F.lit(0)).cast("long").alias("chunks_removed"))
+    out = out.withColumn(P + "done", F.explode(F.array(done)))
+    keep = [F.col(f"{P}done.text").alias(c) if c == "text" else F.col(c) for c in docs.columns]
+    return out.select(*keep, f"{P}done.lines_removed", f"{P}done.chunks_removed")
 
 
 def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """The documents without repeated chunks, n_chars counted anew; a document that repeats left nothing of goes."""
     out = without_repeats(docs, min_lines).where("chunks_removed = 0 or text <> ''")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("chunks_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    n = F.when(F.col("chunks_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    return out.select(*[n.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])

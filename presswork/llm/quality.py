@@ -11,8 +11,8 @@ probability by which documents are selected.
 taken by a hash of the id), by rounds of local training and averaging: each
 round every part of the staged features starts from the shared state and makes
 one pass of FTRL-proximal, whose L1 term keeps the weights of words that tell
-nothing at 0; the states are averaged, by rows. Only states (2^BITS pairs of
-floats for each of PARTS parts) reach the driver, never documents. `scored`
+nothing at 0; the states are averaged, by rows, and only their mean (2^BITS
+pairs of floats) reaches the driver, never documents. `scored`
 covers every document.
 
 Null texts are empty documents: their score is the model's for no features.
@@ -170,12 +170,22 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, max_rows: int = MAX_RO
 
         return train
 
+    def average(table):
+        import numpy as np
+        import pyarrow as pa
+
+        sizes, states = table.column("n").to_pylist(), table.column("state")
+        n = sum(sizes)
+        mean = [sum(np.frombuffer(states[i][k].as_py()) * (size / n) for i, size in enumerate(sizes)) for k in range(4)]
+        return pa.table({"n": [n], "state": [[x.tobytes() for x in mean]]})
+
     for _ in range(rounds if counts else 0):
         shared = docs.sparkSession.sparkContext.broadcast(state)
-        got = rows.groupBy("part").applyInArrow(trainer(shared), "n long, state array<binary>").collect()
-        n = sum(x.n for x in got)
-        state = [sum(np.frombuffer(x.state[k]) * (x.n / n) for x in got) for k in range(4)]
-        shared.unpersist()
+        trained = rows.groupBy("part").applyInArrow(trainer(shared), "n long, state array<binary>")
+        # PARTS rows meet in one task, and the driver gets their mean alone
+        mean = trained.withColumn("whole", F.lit(0)).groupBy("whole").applyInArrow(average, "n long, state array<binary>").first()
+        state = [np.frombuffer(x) for x in mean.state]
+        shared.destroy()
     return Model(weights_of(state[0], state[1]), np.sort(state[2]))
 
 

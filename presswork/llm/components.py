@@ -55,6 +55,7 @@ def linked(
     roots: DataFrame | None = None,
     rounds: int | None = None,
     order: tuple[str, ...] = ("node",),
+    width: int = 1,
     possible: str = "true",
 ) -> tuple[DataFrame, DataFrame]:
     """From (bucket, node long) and an exact test of pairs (a, b): rows (node, root) as `components` gives, and what is still open.
@@ -62,12 +63,12 @@ def linked(
     verify takes pairs (a, b, u, v), a > b, u and v being their roots so far,
     and returns those that are linked. roots, if given, are links known before.
     After `rounds` (None: as many as it takes) the buckets' nodes that are not
-    yet tested against each other are left as the second result. Centres are
-    taken by `order`; `possible` may name a condition on the columns of a
+    yet tested against each other are left as the second result. The first
+    round takes `width` centres of each bucket, by `order`; `possible` may name a condition on the columns of a
     centre (with c_ before their names) and of a node that linked pairs fulfil
     in at least one of their buckets.
     """
-    live, width, done = buckets, 1, 0
+    live, done = buckets, 0
     more = [c for c in buckets.columns if c not in ("bucket", "node")]
     while True:
         live = live.select("bucket", "node", *more)

@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     roots, open_ = linked(buckets, verify, "near", rounds=ROUNDS)
     if not open_.isEmpty():
         narrow = by_rare_shingles(open_.select(F.col("node").alias("doc_id")).distinct().join(sets, "doc_id"), percent)
-        roots, _ = linked(narrow, verify, "rare", roots=roots, order=("place", "node"), possible=f"(100 + {percent}) * (1 + least(size - place, c_size - c_place)) >= {percent} * (size + c_size)")
+        roots, _ = linked(narrow, verify, "rare", roots=roots, order=("place", "node"), width=4, possible=f"(100 + {percent}) * (1 + least(size - place, c_size - c_place)) >= {percent} * (size + c_size)")
     named = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.coalesce("component_id", "doc_id")

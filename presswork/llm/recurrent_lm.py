@@ -9,15 +9,13 @@ softmaxes over at most a few dozen outputs, and sums to one over the training
 vocabulary and one unknown word.
 
 Training is truncated backpropagation through time: the training documents of a
-part are laid end to end in LANES lanes, windows of WINDOW tokens follow each
+part are laid end to end in at most LANES lanes, windows of WINDOW tokens follow each
 other with the state carried from one to the next, and Adam takes a step for
-each. A part starts from the shared parameters; parts' results are averaged,
-first within groups of parts on executors, then on the driver (as many rows as
-there are groups). The biases begin at the logarithms of the counts, so the
-model begins as the unigram one.
-
-Gradient steps take the documents of one in TRAIN_EVERY hashes of the id; counts
-take all. See the README for what steps over all documents would cost.
+each. The parts are dealt over ROUNDS rounds, and every training document is in
+one of them. A part starts from the parameters of its round; its results are
+averaged on executors, slice by slice of the parameters, so that the driver gets
+one set of them a round, and the next round starts from there. The biases begin
+at the logarithms of the counts, so the model begins as the unigram one.
 
 Scores run every document whole: documents of a batch share lanes, the state
 is carried across the windows of a document and starts anew with the next one.
@@ -38,10 +36,10 @@ from ._shared import staged, texts_as_bytes, words_of
 
 SHORTLIST, CLASSES = 1024, 32
 HEAD, HEAD_BYTES = 100_000, 48
-HIDDEN, LANES, WINDOW = 24, 64, 24
+HIDDEN, LANES, WINDOW = 24, 128, 24
 SCORE_LANES = 256
-TRAIN_EVERY = 8
-PART_ROWS, GROUP = 2000, 16
+TRAIN_EVERY = 1
+PART_ROWS, ROUNDS, SLICE = 10_000, 2, 4096
 STEP, CLIP = 0.01, 5.0
 END = b" "  # no word holds a space
 COUNT_CACHE = 300_000
@@ -243,7 +241,9 @@ class Net:
         """One pass over documents (arrays of ids, the end last), laid in lanes; returns the number of tokens."""
         import numpy as np
 
-        lanes: list[list] = [[] for _ in range(min(LANES, max(1, len(documents))))]
+        # few tokens go in fewer lanes, for enough steps
+        most = max(LANES // 4, min(LANES, sum(map(len, documents)) // (WINDOW * 256)))
+        lanes: list[list] = [[] for _ in range(min(most, max(1, len(documents))))]
         sizes = [0] * len(lanes)
         for i in np.random.default_rng(seed).permutation(len(documents)):
             k = int(np.argmin(sizes))
@@ -299,48 +299,58 @@ class Net:
         return out / np.log(10)
 
 
-def fit(docs: DataFrame, vocabulary: Vocabulary, train_every: int = TRAIN_EVERY) -> Net:
-    """The net after one pass over the parts of the training documents chosen by train_every, averaged by their tokens."""
+def fit(docs: DataFrame, vocabulary: Vocabulary, train_every: int = TRAIN_EVERY, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> Net:
+    """The net after one pass over the training documents in parts; each round's parts start from the mean, by tokens, of those of the round before."""
     import numpy as np
 
     spark = docs.sparkSession
     net = Net(vocabulary)
-    chosen = docs.where(F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(train_every)) == 0).select("doc_id", F.col("text").cast("string").alias("text"))
-    n = chosen.count()
-    if not n:
-        return net
-    parts = max(1, -(-n // PART_ROWS))
-    shared = spark.sparkContext.broadcast((net, vocabulary))
+    net.trained = 0
+    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    if train_every > 1:
+        chosen = chosen.where(F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(train_every)) == 0)
+    parts = -(-chosen.count() // part_rows)
+    rounds = min(rounds, parts)
     names = list(net.p)
-
-    def train(table):
-        import pyarrow as pa
-
-        net, vocabulary = shared.value
-        mine = Net()
-        mine.p, mine.first = {k: v.copy() for k, v in net.p.items()}, net.first
-        table = table.sort_by("doc_id").combine_chunks()
-        get = vocabulary.ids.get
-        documents = [np.array([get(w, SHORTLIST) for w in _words(t)]) for t in texts_as_bytes(table.column("text"))]
-        part = table.column("part")[0].as_py()
-        tokens = mine.train(documents, part)
-        return pa.table({"tokens": [tokens], "bucket": [part // GROUP], "state": [[mine.p[k].tobytes() for k in names]]})
+    chosen = chosen.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(max(1, parts))))
 
     def average(table):
         import pyarrow as pa
 
+        table = table.sort_by("part")
         tokens = table.column("tokens").to_pylist()
-        states = table.column("state")
-        total = sum(tokens)
-        mean = [sum(np.frombuffer(states[i][k].as_py(), np.float32) * np.float32(n / total) for i, n in enumerate(tokens)) for k in range(len(names))]
-        return pa.table({"tokens": [total], "state": [[x.astype(np.float32).tobytes() for x in mean]]})
-
-    part = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(parts))
-    trained = chosen.withColumn("part", part).groupBy("part").applyInArrow(train, "tokens long, bucket long, state array<binary>")
-    rows = staged(trained.groupBy("bucket").applyInArrow(average, "tokens long, state array<binary>"), "net").collect()
-    total = sum(r.tokens for r in rows)
-    for k, name in enumerate(names):
-        net.p[name] = sum(np.frombuffer(r.state[k], np.float32) * np.float32(r.tokens / total) for r in rows).reshape(net.p[name].shape).astype(np.float32)
+        mean = sum(np.frombuffer(x.as_py(), np.float32) * (n / sum(tokens)) for n, x in zip(tokens, table.column("state")))
+        return pa.table({"slice": table.column("slice")[:1], "tokens": [sum(tokens)], "state": [mean.astype(np.float32).tobytes()]})
+
+    def trains(shared):
+        def train(table):
+            import pyarrow as pa
+
+            net, vocabulary = shared.value
+            mine = Net()
+            mine.p, mine.first = {k: v.copy() for k, v in net.p.items()}, net.first
+            table = table.sort_by("doc_id").combine_chunks()
+            get = vocabulary.ids.get
+            documents = [np.array([get(w, SHORTLIST) for w in _words(t)]) for t in texts_as_bytes(table.column("text"))]
+            part = table.column("part")[0].as_py()
+            tokens = mine.train(documents, part)
+            state = np.concatenate([mine.p[k].ravel() for k in names])
+            slices = [state[i : i + SLICE].tobytes() for i in range(0, len(state), SLICE)]
+            return pa.table({"part": [part] * len(slices), "slice": list(range(len(slices))), "tokens": [tokens] * len(slices), "state": slices})
+
+        return train
+
+    for r in range(rounds):
+        train = trains(spark.sparkContext.broadcast((net, vocabulary)))
+        trained = chosen.where(F.col("part") % rounds == r).groupBy("part").applyInArrow(train, "part long, slice long, tokens long, state binary")
+        rows = sorted(staged(trained.groupBy("slice").applyInArrow(average, "slice long, tokens long, state binary"), "net").collect())
+        if not rows:  # no document's hash is in the round's parts
+            continue
+        state, at = np.concatenate([np.frombuffer(x.state, np.float32) for x in rows]), 0
+        for k in names:
+            net.p[k] = state[at : at + net.p[k].size].reshape(net.p[k].shape).copy()
+            at += net.p[k].size
+        net.trained += rows[0].tokens
     return net
 
 

@@ -277,6 +277,22 @@ def test_language_model_learns_what_follows_what(spark):
     assert r[2] > 0 and r[0] > 0.5 * r[1]
 
 
+def test_every_training_document_is_stepped_on_and_rounds_go_on(spark):
+    """Tokens of all steps are those of the counts, by default; a second round of parts starts from the mean of the first."""
+    cycle = [f"c{i}" for i in range(6)]
+    d = spark.createDataFrame([(i, " ".join(cycle[(i + k) % 6] for k in range(300))) for i in range(160)], "doc_id long, text string")
+    training = d.where(~recurrent_lm.held_out(F.col("doc_id")))
+    counts = recurrent_lm.counted(training)
+    head = sorted(((bytes(r.word), r.c) for r in counts.collect()), key=lambda x: (-x[1], x[0]))
+    v = recurrent_lm.Vocabulary(head, sum(c for _, c in head), len(head))
+    test = [np.array([v.ids[w] for w in [*words(r.text), recurrent_lm.END]]) for r in d.where(recurrent_lm.held_out(F.col("doc_id"))).collect()]
+    assert recurrent_lm.fit(training, v).trained == v.tokens
+    nets = [recurrent_lm.fit(training, v, part_rows=20, rounds=n) for n in (1, 2)]
+    assert [n.trained for n in nets] == [v.tokens] * 2
+    once, twice = (n.score(test).sum() for n in nets)
+    assert twice > once
+
+
 def test_pipeline_is_its_stages_and_keeps_columns(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     columns, before = docs.columns, None

@@ -1,12 +1,15 @@
 """Gated recurrent language model in numpy, and scores of whole documents (operator 10).
 
 Tokens are words, A-Z lower-cased, and one end for each document. Counts of all
-training tokens are grouped and summed by Spark. The SHORTLIST most frequent
-tokens are the model's words, dealt by frequency into classes of equal size;
-all others are the class of rare words, in which a word's probability is that
-of its count. So P(token | history) = P(class | h) * P(token | class, h), both
-softmaxes over at most a few dozen outputs, and sums to one over the training
-vocabulary and one unknown word.
+training tokens are grouped and summed by Spark. Words of a count of LEAST or
+more, the MOST most frequent of them at most, are outputs of their own; all
+others share outputs by a hash, one for every PER_BUCKET of them up to BUCKETS,
+in which a word's probability is that of its count. Outputs are dealt by
+frequency into about the square root of their number of classes, of equal size.
+So P(token | history) = P(class | h) * P(output | class, h) * P(token | output),
+the first two softmaxes, the last a share of counts, and it sums to one over the
+training vocabulary and one unknown word for each shared output. Inputs have an
+embedding for each output, so a rare word's hash reaches the state too.
 
 Training is truncated backpropagation through time: the training documents of a
 part are laid end to end in at most LANES lanes, windows of WINDOW tokens follow each
@@ -34,7 +37,9 @@ from pyspark.sql import functions as F
 
 from ._shared import staged, texts_as_bytes, words_of
 
-SHORTLIST, CLASSES = 1024, 32
+#: SHORTLIST is the least number of places for words of their own, filled or not
+SHORTLIST, LEAST, MOST = 1024, 20, 32_768
+PER_BUCKET, BUCKETS = 64, 8192
 HEAD, HEAD_BYTES = 100_000, 48
 HIDDEN, LANES, WINDOW = 24, 128, 24
 SCORE_LANES = 256
@@ -97,43 +102,73 @@ def most_frequent(counts: DataFrame) -> DataFrame:
     return counts.where(over | (F.col("word") == END))
 
 
+class Ids(dict):
+    """word -> output; words without one of their own share one of `buckets` from `size` on."""
+
+    size, buckets = SHORTLIST, 1
+
+    def __missing__(self, word: bytes) -> int:
+        import zlib
+
+        return self.size + zlib.crc32(word) % self.buckets
+
+
 class Vocabulary:
-    """ids of the shortlist by frequency, counts of the head, and sums over the training tokens."""
+    """Outputs of the frequent words and of the shared ones, counts of the head, and sums over the training tokens."""
 
     def __init__(self, head: list[tuple[bytes, int]], tokens: int, types: int):
         self.counts = dict(head)
-        self.short = [w for w, _ in head[:SHORTLIST]]
+        self.short = [w for i, (w, c) in enumerate(head) if i < SHORTLIST or (i < MOST and c >= LEAST)]
         if head and END not in self.short:
             self.short[-1] = END
         self.tokens, self.types = tokens, types
-        self.ids = {w: i for i, w in enumerate(self.short)}
-        known = sum(self.counts[w] for w in self.short)
-        self.rare_mass = tokens - known + 0.1 * (max(0, types - len(self.short)) + 1)
+        self.ids = Ids({w: i for i, w in enumerate(self.short)})
+        self.size = self.ids.size = max(SHORTLIST, len(self.short))
+        rare = max(0, types - len(self.short))
+        self.buckets = self.ids.buckets = max(1, min(BUCKETS, rare // PER_BUCKET))
+        self.known = sum(self.counts[w] for w in self.short)
+        self.masses = [(tokens - self.known + 0.1 * rare) / self.buckets + 0.1] * self.buckets
+
+    def weigh(self, counts: DataFrame) -> None:
+        """Masses of the shared outputs, each with one unknown word, from the table of counts (BUCKETS rows at most)."""
+        import zlib
+
+        tokens, types = [0] * self.buckets, [0] * self.buckets
+        for b, n, v in counts.groupBy(F.crc32("word") % self.buckets).agg(F.sum("c"), F.count(F.lit(1))).collect():
+            tokens[b], types[b] = n, v
+        for w in self.short:
+            b = zlib.crc32(w) % self.buckets
+            tokens[b] -= self.counts[w]
+            types[b] -= 1
+        self.masses = [n + 0.1 * (v + 1) for n, v in zip(tokens, types)]
 
 
 class Net:
-    """Parameters by name; class 0 .. CLASSES - 1 of the shortlist, CLASSES for rare words. `first` is the id of the end, which also begins a document."""
+    """Parameters by name. `first` is the id of the end, which also begins a document."""
 
     def __init__(self, vocabulary: Vocabulary | None = None, seed: int = 5):
         import numpy as np
 
         if vocabulary is None:
             return
-        self.first = vocabulary.ids.get(END, SHORTLIST)
+        self.first = vocabulary.ids[END]
         rng, h, f = np.random.default_rng(seed), HIDDEN, np.float32
-        size = SHORTLIST // CLASSES
-        counts = np.full(SHORTLIST, 1e-9)
+        total = vocabulary.size + vocabulary.buckets
+        size = int(np.ceil(total**0.5))
+        classes = -(-total // size)
+        counts = np.full(classes * size, 1e-9)
         counts[: len(vocabulary.short)] = [vocabulary.counts[w] + 0.1 for w in vocabulary.short]
-        counts = counts.reshape(CLASSES, size)
-        mass = np.append(counts.sum(1), vocabulary.rare_mass)
+        counts[vocabulary.size : total] = vocabulary.masses
+        counts = counts.reshape(classes, size)
+        mass = counts.sum(1)
         self.p = {
-            "e": rng.normal(0, 0.3, (SHORTLIST + 1, h)).astype(f),
+            "e": rng.normal(0, 0.3, (total, h)).astype(f),
             "w": rng.normal(0, h**-0.5, (h, 3 * h)).astype(f),
             "u": rng.normal(0, h**-0.5, (h, 3 * h)).astype(f),
             "b": np.zeros(3 * h, f),
-            "c": np.zeros((h, CLASSES + 1), f),
+            "c": np.zeros((h, classes), f),
             "cb": np.log(mass / mass.sum()).astype(f),
-            "o": np.zeros((CLASSES, h, size), f),
+            "o": np.zeros((classes, h, size), f),
             "ob": np.log(counts / counts.sum(1, keepdims=True)).astype(f),
         }
 
@@ -164,7 +199,8 @@ class Net:
         """log P(y | h) of rows; with grads, adds the gradients of its negative mean and returns that for h too."""
         import numpy as np
 
-        p, size = self.p, SHORTLIST // CLASSES
+        p = self.p
+        classes, size = p["ob"].shape
         cls = y // size
         rows = np.arange(len(y))
         z = h @ p["c"] + p["cb"]
@@ -182,9 +218,9 @@ class Net:
             grads["cb"] += d.sum(0)
             dh = d @ p["c"].T
         order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        ends = np.searchsorted(cls[order], np.arange(classes + 1))
         hs, ys = h[order], y[order] % size
-        for k in range(CLASSES):
+        for k in range(classes):
             a, b = ends[k], ends[k + 1]
             if a == b:
                 continue
@@ -262,13 +298,28 @@ class Net:
         for step, t in enumerate(windows, 1):
             live = y[t : t + WINDOW] >= 0
             grads, h = self.window(np.maximum(x[t : t + WINDOW], 0), np.maximum(y[t : t + WINDOW], 0), h, live)
-            norm = sum(float((g * g).sum()) for g in grads.values()) ** 0.5
+            ids = np.unique(np.maximum(x[t : t + WINDOW], 0))
+            grads["e"] = grads["e"][ids]  # embeddings that the window does not read keep still
+            norm = sum(float(np.vdot(g, g)) for g in grads.values()) ** 0.5
             rate = STEP * min(1.0, step / 20) * (1 - 0.9 * step / (len(windows) + 1))
+            rate, least = rate * (1 - 0.99**step) ** 0.5 / (1 - 0.9**step), 1e-6 * (1 - 0.99**step) ** 0.5
             for k, g in grads.items():
+                at = ids if k == "e" else ...
                 g *= min(1.0, CLIP / (norm + 1e-9))
-                m[k] += 0.1 * (g - m[k])
-                s[k] += 0.01 * (g * g - s[k])
-                self.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-6)
+                mk, sk = m[k][at], s[k][at]
+                mk *= 0.9
+                mk += 0.1 * g
+                sk *= 0.99
+                g *= g
+                g *= 0.01
+                sk += g
+                np.sqrt(sk, out=g)
+                g += least
+                np.divide(mk, g, out=g)
+                g *= rate
+                self.p[k][at] -= g
+                if k == "e":
+                    m[k][at], s[k][at] = mk, sk
         return sum(sizes)
 
     def score(self, documents: list):
@@ -330,8 +381,8 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, train_every: int = TRAIN_EVERY,
             mine = Net()
             mine.p, mine.first = {k: v.copy() for k, v in net.p.items()}, net.first
             table = table.sort_by("doc_id").combine_chunks()
-            get = vocabulary.ids.get
-            documents = [np.array([get(w, SHORTLIST) for w in _words(t)]) for t in texts_as_bytes(table.column("text"))]
+            get = vocabulary.ids.__getitem__
+            documents = [np.fromiter(map(get, _words(t)), np.int32) for t in texts_as_bytes(table.column("text"))]
             part = table.column("part")[0].as_py()
             tokens = mine.train(documents, part)
             state = np.concatenate([mine.p[k].ravel() for k in names])
@@ -363,32 +414,33 @@ def scored(docs: DataFrame, net: Net, vocabulary: Vocabulary, counts: DataFrame)
         import pyarrow as pa
 
         net, v = shared.value
-        ids = v.ids.get
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))]
-        names = ["doc_id", "n_tokens", "head_known", "head_logs", "net_score", "rare", "tail"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))]
+        names = ["doc_id", "n_tokens", "head_known", "head_logs", "net_score", "tail"]
         codes = {w: i for i, w in enumerate(v.counts)}
-        short, logs = (np.array(x) for x in zip(*[(ids(w, SHORTLIST), np.log10(c + 0.1)) for w, c in v.counts.items()])) if codes else (np.zeros(0, int), np.zeros(0))
-        short, logs = np.append(short, SHORTLIST).astype(np.int16), np.append(logs, 0.0)  # the last: words beyond the head
+        short, logs = (np.array(x) for x in zip(*[(v.ids[w], np.log10(c + 0.1)) for w, c in v.counts.items()])) if codes else (np.zeros(0, int), np.zeros(0))
+        short, logs = np.append(short, v.size).astype(np.int32), np.append(logs, 0.0)  # the last: words beyond the head
+        masses = np.log10(v.masses)
         beyond = len(codes)
         for batch in batches:
-            rows: list[list] = [batch.column(0).to_pylist(), [], [], [], [], [], []]
+            rows: list[list] = [batch.column(0).to_pylist(), [], [], [], [], []]
             documents = []
             for text in texts_as_bytes(batch.column(1)):
                 words = _words(text)
                 code = np.fromiter((codes.get(w, beyond) for w in words), np.int32, len(words))
                 tail: dict[bytes, int] = {}
+                k = short[code]
                 for i in np.flatnonzero(code == beyond).tolist():
                     tail[words[i]] = tail.get(words[i], 0) + 1
-                k = short[code]
+                    k[i] = v.ids[words[i]]
                 documents.append(k)
-                rare, log = k == SHORTLIST, logs[code]
-                for c, x in zip(rows[1:], (len(words), len(words) - sum(tail.values()), float(log.sum()), float(log[rare].sum()), int(rare.sum()), [{"word": w, "n": n} for w, n in tail.items()])):
+                rare, log = k >= v.size, logs[code]
+                for c, x in zip(rows[1:], (len(words), len(words) - sum(tail.values()), float(log.sum()), float(log[rare].sum() - masses[k[rare] - v.size].sum()), [{"word": w, "n": n} for w, n in tail.items()])):
                     c.append(x)
             rows[4] = list(net.score(documents) + np.array(rows[4]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=names)
 
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    raw = staged(given.mapInArrow(run, "doc_id long, n_tokens long, head_known long, head_logs double, net_score double, rare long, tail array<struct<word:binary,n:bigint>>"), "lm")
+    raw = staged(given.mapInArrow(run, "doc_id long, n_tokens long, head_known long, head_logs double, net_score double, tail array<struct<word:binary,n:bigint>>"), "lm")
     raw = raw.withColumn("row", F.struct("_metadata.file_name", "_metadata.row_index"))
     found = raw.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.n").join(counts, "word", "left")
     c = F.coalesce("c", F.lit(0))
@@ -397,7 +449,7 @@ def scored(docs: DataFrame, net: Net, vocabulary: Vocabulary, counts: DataFrame)
     zero = F.lit(0.0)
     logs = F.col("head_logs") + F.coalesce("tail_logs", zero)
     base = logs - F.col("n_tokens") * float(_log10(vocabulary.tokens + 0.1 * (vocabulary.types + 1)))
-    score = F.col("net_score") + F.coalesce("tail_logs", zero) - F.col("rare") * float(_log10(vocabulary.rare_mass))
+    score = F.col("net_score") + F.coalesce("tail_logs", zero)
     return out.select("doc_id", "n_tokens", (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), base.alias("base_score"), score.alias("score"))
 
 
@@ -415,6 +467,7 @@ def language_model_scores(docs: DataFrame, train_every: int = TRAIN_EVERY) -> Da
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     head = sorted(((bytes(r.word), r.c) for r in most_frequent(counts).collect()), key=lambda x: (-x[1], x[0]))
     vocabulary = Vocabulary(head, sums.n, sums.v)
+    vocabulary.weigh(counts)
     net = fit(training, vocabulary, train_every)
     out = scored(given, net, vocabulary, counts)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(sums.n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -277,6 +277,26 @@ def test_language_model_learns_what_follows_what(spark):
     assert r[2] > 0 and r[0] > 0.5 * r[1]
 
 
+def test_vocabulary_follows_the_counts(spark):
+    """Every word of a count of LEAST or more has an output of its own; rarer ones share several by a hash, whose masses are their counts'."""
+    often = [b"w%d" % i for i in range(3000)]
+    table = [(b" ", 900), *((w, recurrent_lm.LEAST + i % 7) for i, w in enumerate(often)), *((b"r%d" % i, 1 + i % 19) for i in range(2000))]
+    head = sorted(table, key=lambda x: (-x[1], x[0]))
+    v = recurrent_lm.Vocabulary(head, sum(c for _, c in head), len(head))
+    v.weigh(spark.createDataFrame([(bytearray(w), c) for w, c in head], "word binary, c long"))
+    assert sorted(v.ids[w] for w in [b" ", *often]) == list(range(3001))
+    shared = defaultdict(float)
+    for i in range(2000):
+        shared[v.ids[b"r%d" % i]] += 1 + i % 19 + 0.1
+    assert v.size <= min(shared) and len(shared) > 20
+    assert v.masses == pytest.approx([shared[v.size + k] + 0.1 for k in range(v.buckets)])
+    net = recurrent_lm.Net(v)
+    net.p["c"] += 0.1
+    n = v.size + v.buckets
+    h = np.random.default_rng(0).normal(size=(1, recurrent_lm.HIDDEN)).astype(np.float32)
+    assert np.exp(net.outputs(np.repeat(h, n, 0), np.arange(n))[0]).sum() == pytest.approx(1.0, abs=1e-3)
+
+
 def test_every_training_document_is_stepped_on_and_rounds_go_on(spark):
     """Tokens of all steps are those of the counts, by default; a second round of parts starts from the mean of the first."""
     cycle = [f"c{i}" for i in range(6)]

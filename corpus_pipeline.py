@@ -22,8 +22,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
-    return near_dup.deduplicated(docs)
+    """One document of each group stays; documents are linked from a similarity of 0.8 on."""
+    return near_dup.deduplicated(docs, 80)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -277,6 +277,15 @@ def test_language_model_learns_what_follows_what(spark):
     assert r[2] > 0 and r[0] > 0.5 * r[1]
 
 
+def test_near_dedup_stage_links_from_eighty_per_cent(spark):
+    w = [f"w{i}" for i in range(104)]
+    x, y = list(w), list(w)
+    x[30], y[70] = "x", "y"  # each alone spoils five of a hundred shingles
+    d = spark.createDataFrame([(1, " ".join(x)), (2, " ".join(y)), (3, "something else entirely is here")], "doc_id long, text string")
+    assert 0.8 <= likeness(" ".join(x), " ".join(y)) < 0.85
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, d, SMALL).collect()) == [1, 3]
+
+
 def test_vocabulary_follows_the_counts(spark):
     """Every word of a count of LEAST or more has an output of its own; rarer ones share several by a hash, whose masses are their counts'."""
     often = [b"w%d" % i for i in range(3000)]

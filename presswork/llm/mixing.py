@@ -5,7 +5,7 @@
    labelled documents (a documented bound); BUCKETS rows whatever the input.
 2. `memberships`: for every document its number of words and its posterior of
    each domain, from all its words.
-3. `rates`: document rates r >= 0 by projected gradient on
+3. `rates`: document rates r >= 1 (r >= 0 for a given budget) by projected gradient on
    the squared distances of sum_i r_i n_i p_i from T, the targets times the
    budget of tokens. A step needs only the K sums over all documents of r n p:
    one small aggregate. A document's rate is a fold over the K residuals of
@@ -17,8 +17,8 @@
 4. `mixed` repeats each document floor(rate) times, and once more with the
    remainder as probability, decided by a hash of its id.
 
-Null and empty texts have no words: their posterior is the prior and their rate
-the starting one. Rows without doc_id take no part in rates; `mixed` passes
+Null and empty texts have no words: their posterior is the prior, and their rate
+follows from it as any other. Rows without doc_id take no part in rates; `mixed` passes
 them once. Equal rows count once in the fit and are repeated each. A domain with a target but no labelled
 documents has posterior 0 everywhere and is left out of the fit. Without
 labels every rate is 1.
@@ -80,20 +80,21 @@ def memberships(docs: DataFrame, model: DataFrame, priors: dict[str, float]) ->
     return soft.select("doc_id", "row_id", "n", F.expr("transform(e, x -> x / aggregate(e, 0D, (a, y) -> a + y))").alias("p"))
 
 
-def _rate(steps: list[list[float]]) -> Column:
-    """The rate after projected steps: each row is step size times residual by domain."""
+def _rate(steps: list[list[float]], least: float) -> Column:
+    """The rate after steps projected onto r >= least: each row is step size times residual by domain."""
     if not steps:
         return F.lit(1.0)
     done = F.array(*[F.array(*map(F.lit, s)) for s in steps])
     dot = lambda s: F.aggregate(F.zip_with("p", s, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return F.aggregate(done, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - dot(s)))
+    return F.aggregate(done, F.lit(1.0), lambda r, s: F.greatest(F.lit(least), r - dot(s)))
 
 
 def rates(members: DataFrame, domains: list[str], targets: dict[str, float], budget: float | None = None, steps: int = STEPS) -> DataFrame:
-    """Adds rate to members (n, p): nonnegative rates whose expected domain tokens meet targets times the budget.
+    """Adds rate to members (n, p): rates whose expected domain tokens meet targets times the budget.
 
     targets need not sum to 1; domains without one keep what they have. budget
-    is in tokens; by default the smallest for which no domain has to shrink.
+    is in tokens; by default the smallest for which no domain has to shrink, and
+    no rate is less than 1. With a budget rates may fall to 0.
     """
     if not domains:
         return members.withColumn("rate", F.lit(1.0))
@@ -104,6 +105,7 @@ def rates(members: DataFrame, domains: list[str], targets: dict[str, float], bud
     have, gram = first[:k], first[k:]
     share = {d: v for d, v in targets.items() if d in domains and have[domains.index(d)] > 0}
     scale = sum(share.values()) or 1.0
+    least = 1.0 if budget is None else 0.0
     if budget is None:
         budget = max([have[domains.index(d)] * scale / v for d, v in share.items() if v > 0], default=0.0)
     goal = [budget * share[d] / scale if d in share else have[i] for i, d in enumerate(domains)]
@@ -115,8 +117,8 @@ def rates(members: DataFrame, domains: list[str], targets: dict[str, float], bud
         if max(abs(x) for x in gap) <= 1e-6 * max(budget, 1.0):
             break
         done.append([x / b if b > 0 else 0.0 for x, b in zip(gap, bounds)])
-        now = list(members.agg(*sums(_rate(done))).first())
-    return members.withColumn("rate", _rate(done))
+        now = list(members.agg(*sums(_rate(done, least))).first())
+    return members.withColumn("rate", _rate(done, least))
 
 
 def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None) -> tuple[DataFrame, list[str]]:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from presswork.llm import _shared, fingerprints, maxscore, near_dup, packing, passages, quality, queries, recurrent_lm, token_counts
+from presswork.llm import _shared, fingerprints, maxscore, mixing, near_dup, packing, passages, quality, queries, recurrent_lm, token_counts
 
 from ..conftest import SMALL, same_rows
 
@@ -90,6 +90,17 @@ def test_mixing_meets_its_targets(spark):
         assert sums[n] / total == pytest.approx(queries.LANGUAGE_WEIGHTS[n], abs=0.01)
 
 
+def test_mixing_drops_no_document(spark):
+    """Soft members of other domains add tokens to the domain that sets the budget; its own documents stay all the same."""
+    rows = [(i, i, 100, [1.0, 0.0] if i < 10 else [0.1, 0.9]) for i in range(20)]
+    members = spark.createDataFrame(rows, "doc_id long, row_id long, n long, p array<double>")
+    rates = mixing.rates(members, ["a", "b"], {"a": 0.5, "b": 0.5}).agg(F.min("rate"), F.max("rate")).first()
+    assert rates[0] >= 1 and rates[1] > 1.1
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    out = mixing.mixed(docs, queries.languages(docs), queries.LANGUAGE_WEIGHTS)
+    assert docs.join(out, "doc_id", "left_anti").count() == 0
+
+
 def test_fingerprints(spark, documents):
     got = {r.doc_id: r for r in queries.op4_fingerprints(spark, SMALL).collect()}
     order = sorted(documents, reverse=True)

@@ -1,51 +1,57 @@
 """Connected components, and links found inside buckets without listing all pairs.
 
 `components` alternates large-star and small-star (Kiveris et al., 2014) until
-the edges no longer change: every round is two grouped minima with a join back,
-staged in the shared folder, so no round holds a neighbourhood in one task.
+the edges no longer change: every round is two grouped minima with a join back
+and one table in the shared folder, so no round holds a neighbourhood in one
+task.
 
 `linked` finds the components that buckets of nodes and an exact test of pairs
-define. In each round the few smallest nodes of a bucket are its centres: they
-are tested against every node of the bucket that is not yet in their
-component, and then leave the bucket, as all that they could add is known. The
-number of centres doubles each round, and buckets whose nodes are in one
-component are done. So a bucket of m linked nodes costs m tests, not m * m,
-no link between different components goes untested, and there is no cap. A
-caller that has narrower buckets for nodes that do not link asks for a few
-rounds, and gets what is open after them.
+define. In each round some nodes of a bucket are its centres, the smallest of
+each part of it: they are tested against every node of the bucket that is not
+yet in their component, and then leave the bucket, as all that they could add
+is known. There are GROWTH times as many parts each round, and buckets whose nodes are
+in one component are done. So a bucket of m linked nodes costs m tests, not
+m * m, no link between different components goes untested, and there is no
+cap. A caller that has narrower buckets for nodes that do not link asks for a
+few rounds, and gets what is open after them.
+
+All joins are sort-merge joins by name: their sides grow with the input, Spark
+splits their skewed partitions, and nothing passes through the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import staged
+from ._shared import measured, unstage
+
+GROWTH = 4
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+def merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    return left.join(right.hint("merge"), on, how)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """From edges (u long, v long) rows (node, root): root is the smallest node reachable; nodes that are their own root have no row."""
-    e = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
-    before = _state(e)
-    while before[0]:
+    """From edges (u long, v long), a staged table or as cheap to read twice, rows (node, root): root is the smallest node reachable; nodes that are their own root have no row."""
+    e, before, last = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), None, None
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = staged(large, name)
+        large = merged(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name)
-        after = _state(e)
-        if after == before:
-            break
+        small = merged(large, least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e, n, found = measured(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name, F.bit_xor(F.xxhash64("u", "v")).alias("edges"))
+        unstage(last)
+        after, last = (n, found.get("edges")), e
+        if after == before or not n:
+            out = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out.staged_path = e.staged_path
+            return out
         before = after
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def linked(
@@ -57,41 +63,43 @@ def linked(
     order: tuple[str, ...] = ("node",),
     width: int = 1,
     possible: str = "true",
-) -> tuple[DataFrame, DataFrame]:
-    """From (bucket, node long) and an exact test of pairs (a, b): rows (node, root) as `components` gives, and what is still open.
+) -> tuple[DataFrame | None, DataFrame, int]:
+    """From staged (bucket, node long) and an exact test of pairs (a, b): rows (node, root) as `components` gives (None where nothing is linked), what is still open, and its number of rows.
 
     verify takes pairs (a, b, u, v), a > b, u and v being their roots so far,
     and returns those that are linked. roots, if given, are links known before.
     After `rounds` (None: as many as it takes) the buckets' nodes that are not
     yet tested against each other are left as the second result. The first
-    round takes `width` centres of each bucket, by `order`; `possible` may name a condition on the columns of a
-    centre (with c_ before their names) and of a node that linked pairs fulfil
-    in at least one of their buckets.
+    round takes `width` centres of each bucket, the first of each part by
+    `order`; `possible` may name a condition on the columns of a centre (with
+    c_ before their names) and of a node that linked pairs fulfil in at least
+    one of their buckets.
     """
-    live, done = buckets, 0
     more = [c for c in buckets.columns if c not in ("bucket", "node")]
+    live, open_, done, n = None, buckets, 0, 1
     while True:
-        live = live.select("bucket", "node", *more)
-        if roots is not None:
-            live = live.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        else:
-            live = live.withColumn("root", F.col("node"))
-        open_ = live.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        live = staged(live.join(open_.select("bucket"), "bucket"), name)
-        if done == rounds or live.isEmpty():
-            return roots if roots is not None else live.select("node", "root"), live
-        best = Window.partitionBy("bucket").orderBy(*order)
-        centres = live.withColumn("k", F.row_number().over(best)).where(F.col("k") <= width)
-        centres = staged(centres.select("bucket", *[F.col(c).alias(f"c_{c}") for c in ("node", "root", *more)]), name)
-        pairs = live.join(centres, "bucket").where(f"root <> c_root and ({possible})")
-        pairs = pairs.select(F.greatest("node", "c_node").alias("a"), F.least("node", "c_node").alias("b"), F.greatest("root", "c_root").alias("u"), F.least("root", "c_root").alias("v"))
-        found = staged(verify(pairs.distinct()).select("u", "v").distinct(), name)
-        merged = components(found, name)
-        live = live.join(centres.select("bucket", F.col("c_node").alias("node")), ["bucket", "node"], "left_anti")
         if roots is None:
-            roots = merged
+            fresh = open_.withColumn("root", F.col("node"))
         else:
-            step = merged.select(F.col("node").alias("root"), F.col("root").alias("new"))
-            moved = roots.join(step, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
-            roots = staged(moved.unionByName(merged.join(roots.select("node"), "node", "left_anti")), name)
-        width, done = 2 * width, done + 1
+            fresh = merged(open_, roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        if done or roots is not None:
+            several = fresh.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+            fresh, n, _ = measured(merged(fresh, several, "bucket"), name)
+            unstage(live)
+        live = fresh
+        if done == rounds or not n:
+            return roots, live, n
+        part = F.pmod(F.xxhash64("node"), F.lit(width)).alias("part")
+        first = F.min(F.struct(*order, *[c for c in ("node", "root", *more) if c not in order])).alias("c")
+        centres = live.groupBy("bucket", part).agg(first).select("bucket", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("node", "root", *more)])
+        pairs = merged(live, centres, "bucket").where(f"root <> c_root and ({possible})")
+        pairs = pairs.select(F.greatest("node", "c_node").alias("a"), F.least("node", "c_node").alias("b"), F.greatest("root", "c_root").alias("u"), F.least("root", "c_root").alias("v"))
+        found, links, _ = measured(verify(pairs.distinct()).select("u", "v").distinct(), name)
+        if links:
+            known = roots
+            roots = components(found if known is None else found.unionByName(known.select(F.col("node").alias("u"), F.col("root").alias("v"))), name)
+            if done:
+                unstage(known)
+        unstage(found)
+        open_ = merged(live.select("bucket", "node", *more), centres.select("bucket", F.col("c_node").alias("node")), ["bucket", "node"], "left_anti")
+        width, done = GROWTH * width, done + 1

@@ -27,12 +27,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import WordHashes, shingle_hashes, staged, texts_as_bytes, word_hashes, words_of
-from .components import linked
+from ._shared import WordHashes, shingle_hashes, staged, texts_as_bytes, unstage, word_hashes, words_of
+from .components import linked, merged
 
 BANDS, ROWS = 25, 4
-#: of tests against centres of the bands' buckets; the nodes that are open after them go by their rare shingles
-ROUNDS = 2
+#: of tests against centres of the bands' buckets; the nodes that are open after them go by their rare shingles, against so many centres of each first
+ROUNDS, RARE_CENTRES = 1, 16
 BLOCK = 2048
 
 
@@ -117,7 +117,7 @@ def likely(pairs: DataFrame, signatures: DataFrame, similarity: float, n: int) -
             yield batch.select([0, 1, 2, 3]).filter(pa.array((x == y).sum(axis=1) >= least))
 
     x, y = (signatures.select(F.col("node").alias(c), F.col("signature").alias(s)) for c, s in (("a", "sa"), ("b", "sb")))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "u", "v", "sa", "sb").mapInArrow(agree, "a long, b long, u long, v long")
+    return merged(merged(pairs, x, "a"), y, "b").select("a", "b", "u", "v", "sa", "sb").mapInArrow(agree, "a long, b long, u long, v long")
 
 
 def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -125,7 +125,7 @@ def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     x, y = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "sa"), ("b", "sb")))
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - F.col("common")
-    return pairs.join(x, "a").join(y, "b").withColumn("common", common).where(100 * F.col("common") >= percent * union).select("a", "b", "u", "v")
+    return merged(merged(pairs, x, "a"), y, "b").withColumn("common", common).where(100 * F.col("common") >= percent * union).select("a", "b", "u", "v")
 
 
 def by_rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
@@ -139,9 +139,27 @@ def by_rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
     each = staged(sets.select(F.col("doc_id").alias("node"), F.size("shingles").alias("size"), F.explode("shingles").alias("bucket")), "rarity")
     often = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("n", "bucket"))
-    first = each.join(often, "bucket").withColumn("place", place).where(f"100 * (place - 1) <= (100 - {percent}) * size")
+    first = merged(each, often, "bucket").withColumn("place", place).where(f"100 * (place - 1) <= (100 - {percent}) * size")
+    first = staged(first.select("bucket", "node", "place", "size"), "rare")
     shared = first.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    return first.select("bucket", "node", "place", "size").join(shared, "bucket")
+    out = staged(merged(first, shared, "bucket"), "rare-shared")
+    unstage(each)
+    unstage(first)
+    return out
+
+
+def grouped(buckets: DataFrame, verify, sets: DataFrame, percent: int, name: str) -> DataFrame | None:
+    """(node, root) of the nodes that the test links: ROUNDS rounds of centres of the bands' buckets, then the rare shingles of the nodes still open."""
+    roots, open_, n = linked(buckets, verify, name, rounds=ROUNDS)
+    if n:
+        nodes = open_.select(F.col("node").alias("doc_id")).distinct()
+        narrow = by_rare_shingles(merged(sets, nodes, "doc_id", "left_semi"), percent)
+        possible = f"(100 + {percent}) * (1 + least(size - place, c_size - c_place)) >= {percent} * (size + c_size)"
+        roots, left, _ = linked(narrow, verify, name + "-rare", roots=roots, order=("place", "node"), width=RARE_CENTRES, possible=possible)
+        unstage(left)
+        unstage(narrow)
+    unstage(open_)
+    return roots
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -151,19 +169,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     nodes = staged(nodes, "nodes")
     buckets = nodes.select(F.explode("buckets").alias("bucket"), "node")
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    buckets = staged(buckets.join(shared, "bucket"), "buckets")
+    buckets = staged(merged(buckets, shared, "bucket"), "buckets")
     wanted = buckets.select(F.col("node").alias("doc_id")).distinct()
-    sets = staged(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "sets")
+    sets = staged(shingle_sets(merged(docs.select("doc_id", "text"), wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
         return alike(likely(pairs, nodes, percent / 100, bands * rows), sets, percent)
 
-    roots, open_ = linked(buckets, verify, "near", rounds=ROUNDS)
-    if not open_.isEmpty():
-        narrow = by_rare_shingles(open_.select(F.col("node").alias("doc_id")).distinct().join(sets, "doc_id"), percent)
-        roots, _ = linked(narrow, verify, "rare", roots=roots, order=("place", "node"), width=4, possible=f"(100 + {percent}) * (1 + least(size - place, c_size - c_place)) >= {percent} * (size + c_size)")
-    named = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    roots = grouped(buckets, verify, sets, percent, "near")
+    unstage(buckets)
+    unstage(sets)
+    named = nodes.select("digest", "node").withColumn("root", F.col("node")) if roots is None else merged(nodes.select("digest", "node"), roots, "node", "left")
+    named = named.select("digest", F.coalesce("root", "node").alias("component_id"))
+    out = merged(signed.select("doc_id", "n_shingles", "digest"), named, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 

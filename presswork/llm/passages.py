@@ -20,24 +20,24 @@ passage of some fifty words has the same paragraphs wherever it stands.
 
 Null and empty texts, and texts of fewer than WORDS words, have no paragraphs;
 rows without doc_id take no part and are passed unchanged by `without_repeats`.
-Equal rows count as one document. Rows with the same doc_id and different texts
-share their places' names: each is cut where its own words are repeated.
+A document is known by row_id, a hash of doc_id and text: equal rows count as
+one document, and rows with the same doc_id and different texts are documents
+of their own, each cut at its own places alone.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WordHashes, mixed, shingle_hashes, staged, texts_as_bytes, word_hashes, words_of
-from .components import linked
-from .near_dup import alike, by_rare_shingles, coefficients
+from ._shared import WordHashes, mixed, shingle_hashes, staged, texts_as_bytes, unstage, word_hashes, words_of
+from .components import merged
+from .near_dup import alike, coefficients, grouped
 
 WORDS, RADIUS, SHINGLE, ROWS = 20, 5, 5, 2
 RECALL, PERCENT = 0.98, 80
-ROUNDS = 2
 
 
 def tuned(percent: int = PERCENT, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -104,7 +104,12 @@ def paragraphs(texts: list, cache: WordHashes, a=None, b=None):
 
 
 def _given(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    given = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return given.select("doc_id", "text", row_id())
+
+
+def row_id() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("row_id")
 
 
 def buckets_of(docs: DataFrame, bands: int) -> DataFrame:
@@ -131,7 +136,7 @@ def buckets_of(docs: DataFrame, bands: int) -> DataFrame:
 
 
 def places_of(docs: DataFrame, bands: int) -> DataFrame:
-    """(bucket, node, doc_id, start int) of every paragraph and band."""
+    """(bucket, row_id, place int) of every paragraph and band; place is bands * its first word + the band."""
 
     def name(batches):
         import numpy as np
@@ -139,74 +144,93 @@ def places_of(docs: DataFrame, bands: int) -> DataFrame:
 
         cache, (a, b) = WordHashes(), coefficients(bands * ROWS, 23)
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(), texts_as_bytes(batch.column(1))
+            ids, texts = batch.column(2).to_numpy(), texts_as_bytes(batch.column(1))
             for x, y in chunks(texts):
-                doc, place, node, _, buckets = paragraphs(texts[x:y], cache, a, b)
-                rows = lambda v: pa.array(np.repeat(v, bands))
-                yield pa.RecordBatch.from_arrays([pa.array(buckets.ravel()), rows(node), rows(ids[x:y][doc]), rows(place.astype(np.int32))], names=["bucket", "node", "doc_id", "start"])
+                doc, place, _, _, buckets = paragraphs(texts[x:y], cache, a, b)
+                at = place[:, None] * bands + np.arange(bands)
+                yield pa.RecordBatch.from_arrays([pa.array(buckets.ravel()), pa.array(np.repeat(ids[x:y][doc], bands)), pa.array(at.ravel().astype(np.int32))], names=["bucket", "row_id", "place"])
 
-    return _given(docs).mapInArrow(name, "bucket long, node long, doc_id long, start int")
+    return _given(docs).mapInArrow(name, "bucket long, row_id long, place int")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, shingles) with the node as doc_id: the shingle sets of wanted (doc_id, start, node)."""
+def members_of(docs: DataFrame, places: DataFrame, bands: int) -> DataFrame:
+    """(node, doc_id, row_id, start int, buckets, shingles) of the paragraphs at `places`: the buckets of these bands, and the set where a task's run of texts meets the node first, else null."""
 
     def take(batches):
         import numpy as np
         import pyarrow as pa
 
-        cache = WordHashes()
+        cache, (a, b) = WordHashes(), coefficients(bands * ROWS, 23)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        names = ["node", "doc_id", "row_id", "start", "buckets", "shingles"]
         for batch in batches:
-            texts, want = texts_as_bytes(batch.column(0)), batch.column(1).to_pylist()
+            ids, rows, texts, wanted = batch.column(0).to_numpy(), batch.column(2).to_numpy(), texts_as_bytes(batch.column(1)), batch.column(3)
             for x, y in chunks(texts):
-                doc, _, node, s, _ = paragraphs(texts[x:y], cache)
-                asked = [(d, n) for d, nodes in enumerate(want[x:y]) for n in nodes]
+                doc, place, node, s, buckets = paragraphs(texts[x:y], cache, a, b)
+                mine, seen = ([], [], [], [], [], []), set()
                 ends = np.searchsorted(doc, np.arange(y - x + 1))
-                nodes, sets = [], []
-                for d, n in asked:
-                    i = np.flatnonzero(node[ends[d] : ends[d + 1]] == n)
-                    if len(i):
-                        nodes.append(n)
-                        sets.append(np.unique(s[ends[d] + i[0]]).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+                for d in range(y - x):
+                    lo, hi = ends[d], ends[d + 1]
+                    asked = np.sort(np.asarray(wanted[x + d].values))
+                    at = np.searchsorted(place[lo:hi], asked // bands)
+                    fits = at < hi - lo
+                    fits[fits] = place[lo:hi][at[fits]] == asked[fits] // bands
+                    at, band = at[fits] + lo, asked[fits] % bands
+                    for i, of in zip(*_runs(at, band)):
+                        n = int(node[i])
+                        for c, v in zip(mine, (n, ids[x + d], rows[x + d], place[i], buckets[i, of], None if n in seen else np.unique(s[i]).view(np.int64))):
+                            c.append(v)
+                        seen.add(n)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(mine, kinds)], names=names)
+
+    by_row = places.groupBy("row_id").agg(F.collect_list("place").alias("places"))
+    found = merged(_given(docs), by_row, "row_id").select("doc_id", "text", "row_id", "places")
+    return found.mapInArrow(take, "node long, doc_id long, row_id long, start int, buckets array<long>, shingles array<long>")
+
+
+def _runs(at, values) -> tuple[list, list]:
+    """The distinct items of the sorted `at`, and the values of each."""
+    import numpy as np
 
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_set("node").alias("nodes"))
-    found = _given(docs).join(by_doc, "doc_id").select("text", "nodes").mapInArrow(take, "doc_id long, shingles array<long>")
-    return found.dropDuplicates(["doc_id"])
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    return at[first].tolist(), np.split(values, first[1:]) if len(first) else []
 
 
 def repeats(docs: DataFrame, percent: int = PERCENT, recall: float = RECALL) -> DataFrame:
-    """(doc_id, start, first_doc_id, first_start): every paragraph that has a like elsewhere; `first` is the place that stays."""
+    """(doc_id, row_id, start, first_doc_id, first_row_id, first_start): every paragraph that has a like elsewhere; `first` is the place that stays."""
     bands = tuned(percent, recall)
     often = buckets_of(docs, bands).groupBy("bucket").agg(F.sum("weight").alias("n")).where("n > 1").select("bucket")
-    places = staged(places_of(docs, bands).join(often, "bucket"), "places")
-    members = staged(places.select("node", "doc_id", "start").distinct(), "members")
-    buckets = places.select("bucket", "node").distinct()
+    places = merged(places_of(docs, bands), often, "bucket").select("row_id", "place")
+    members = staged(members_of(docs, places, bands), "members")
+    buckets = members.select(F.explode("buckets").alias("bucket"), "node").distinct()
     several = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    buckets = staged(buckets.join(several, "bucket"), "passages")
-    wanted = members.join(buckets.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("doc_id", "start")).alias("at")).select("node", "at.doc_id")
-    sets = staged(sets_of(docs, wanted), "passage-sets")
-    verify = lambda pairs: alike(pairs, sets, percent)
-    roots, open_ = linked(buckets, verify, "passages", rounds=ROUNDS)
-    if not open_.isEmpty():
-        narrow = by_rare_shingles(open_.select(F.col("node").alias("doc_id")).distinct().join(sets, "doc_id"), percent)
-        roots, _ = linked(narrow, verify, "rare", roots=roots, order=("place", "node"), possible=f"(100 + {percent}) * (1 + least(size - place, c_size - c_place)) >= {percent} * (size + c_size)")
-    named = members.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "doc_id", "start").distinct()
+    buckets = staged(merged(buckets, several, "bucket"), "passages")
+    wanted = buckets.select("node").distinct()
+    sets = members.where("shingles is not null").select("node", "shingles")
+    sets = staged(merged(sets, wanted, "node", "left_semi").dropDuplicates(["node"]).withColumnRenamed("node", "doc_id"), "passage-sets")
+    roots = grouped(buckets, lambda pairs: alike(pairs, sets, percent), sets, percent, "passages")
+    unstage(buckets)
+    unstage(sets)
+    place = F.struct("doc_id", "start", "row_id")
+    named = members.select("node", "doc_id", "row_id", "start").distinct()
+    named = named.withColumnRenamed("node", "root") if roots is None else merged(named, roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "doc_id", "row_id", "start")
     # a place overlaps the first if it is in the same document within WORDS words
-    ends = named.groupBy("root").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last"))
-    ends = ends.where((F.col("first.doc_id") != F.col("last.doc_id")) | (F.col("last.start") - F.col("first.start") >= WORDS))
-    return named.join(ends, "root").select("doc_id", "start", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"))
+    ends = named.groupBy("root").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("row_id").alias("lo"), F.max("row_id").alias("hi"))
+    ends = ends.where((F.col("lo") != F.col("hi")) | (F.col("last.start") - F.col("first.start") >= WORDS)).select("root", "first")
+    out = merged(named, ends, "root")
+    return out.select("doc_id", "row_id", "start", F.col("first.doc_id").alias("first_doc_id"), F.col("first.row_id").alias("first_row_id"), F.col("first.start").alias("first_start"))
 
 
 def stays() -> str:
     """Condition on rows of `repeats`: the place that stays, or one that overlaps it."""
-    return f"doc_id = first_doc_id and start - first_start < {WORDS}"
+    return f"row_id = first_row_id and start - first_start < {WORDS}"
 
 
 def without_repeats(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs less the words of repeated paragraphs, with the long words_removed; white space is that of the words that stay."""
-    gone = repeats(docs, percent).where(f"not ({stays()})").groupBy(F.col("doc_id").alias("__passages_id")).agg(F.sort_array(F.collect_set("start")).alias("__passages_gone"))
-    joined = docs.join(gone, F.col("doc_id") == F.col("__passages_id"), "left")
+    gone = repeats(docs, percent).where(f"not ({stays()})").groupBy(F.col("row_id").alias("__passages_id")).agg(F.sort_array(F.collect_set("start")).alias("__passages_gone"))
+    joined = docs.withColumn("__passages_row", F.when(F.col("doc_id").isNotNull() & F.col("text").isNotNull(), row_id()))
+    joined = joined.join(gone, F.col("__passages_row") == F.col("__passages_id"), "left")
 
     @F.pandas_udf("text string, n long")
     def cut(texts, starts):

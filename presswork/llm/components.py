@@ -29,12 +29,21 @@ from pyspark.sql import functions as F
 from ._shared import measured, unstage
 
 GROWTH = 4
+#: parts that the rows of a hot key are dealt over where they meet a table that has each key once
+SALTS = 4
 
 
 def merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     return left.join(right.hint("merge"), on, how)
 
 
+def salted(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """Inner join of rows whose `on` may be hot with right, which has each `on` once and is repeated for each of SALTS parts."""
+    salt = F.pmod(F.xxhash64(*[c for c in left.columns if c != on]), F.lit(SALTS)).cast("int").alias("__salt")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt")
+    return merged(left.select("*", salt), right.select("*", parts), [on, "__salt"]).drop("__salt")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """From edges (u long, v long), a staged table or as cheap to read twice, rows (node, root): root is the smallest node reachable; nodes that are their own root have no row."""
     e, before, last = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), None, None
@@ -84,7 +93,7 @@ def linked(
             fresh = merged(open_, roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         if done or roots is not None:
             several = fresh.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-            fresh, n, _ = measured(merged(fresh, several, "bucket"), name)
+            fresh, n, _ = measured(salted(fresh, several, "bucket"), name)
             unstage(live)
         live = fresh
         if done == rounds or not n:

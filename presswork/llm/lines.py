@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import staged
+from .components import salted
 
 MIN_LINES = 2
 
@@ -53,13 +54,13 @@ def removals(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     keyed = chunked(given).select("doc_id", "row_id", F.explode(F.expr(keys)).alias("x")).select("doc_id", "row_id", "x.a", "x.key").distinct()
     keyed = staged(keyed, "chunks")
     repeated = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    places = keyed.join(repeated, "key").groupBy("doc_id", "row_id").agg(F.collect_set("a").alias("places"))
+    places = salted(keyed, repeated, "key").groupBy("doc_id", "row_id").agg(F.collect_set("a").alias("places"))
     texts = chunked(given.join(places, ["doc_id", "row_id"]).dropDuplicates(["doc_id", "row_id"]))
     texts = texts.select("doc_id", "row_id", F.explode(F.expr(f"transform(filter({P}spans, x -> array_contains(places, x.a)), x -> struct(x.a as a, {CHUNK} as chunk))")).alias("x"))
     texts = staged(texts.select("doc_id", "row_id", "x.a", "x.chunk"), "repeated-chunks")
     place = F.struct("doc_id", "a", "row_id")
     first = texts.groupBy("chunk").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = texts.join(first, "chunk").where(place != F.col("first"))
+    gone = salted(texts, first, "chunk").where(place != F.col("first"))
     return gone.groupBy("doc_id", "row_id").agg(F.collect_set("a").alias("gone"))
 
 

@@ -27,6 +27,7 @@ labels every rate is 1.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ from ._shared import staged
 BUCKETS = 1 << 14
 MAX_ROWS = 20_000
 STEPS = 40
+#: of the budget: totals that move or miss by no more are at rest
+TOLERANCE = 1e-5
 P = "__mix_"
 
 
@@ -111,13 +114,14 @@ def rates(members: DataFrame, domains: list[str], targets: dict[str, float], bud
     goal = [budget * share[d] / scale if d in share else have[i] for i, d in enumerate(domains)]
     bounds = [sum(gram[i * k : i * k + k]) for i in range(k)]
     done: list[list[float]] = []
-    now = have
-    for _ in range(steps):
-        gap = [x - g for x, g in zip(now, goal)]
-        if max(abs(x) for x in gap) <= 1e-6 * max(budget, 1.0):
+    now, before = have, [math.inf] * k
+    near = lambda x, y: max(abs(a - b) for a, b in zip(x, y)) <= TOLERANCE * max(budget, 1.0)
+    while not near(now, goal) and not near(now, before):  # where the bound on rates keeps the goal out of reach, the totals come to rest before it
+        if len(done) == steps:
+            warnings.warn(f"the rates did not come to rest in {steps} steps: domain tokens {now}, goal {goal}")
             break
-        done.append([x / b if b > 0 else 0.0 for x, b in zip(gap, bounds)])
-        now = list(members.agg(*sums(_rate(done, least))).first())
+        done.append([(x - g) / b if b > 0 else 0.0 for x, g, b in zip(now, goal, bounds)])
+        now, before = list(members.agg(*sums(_rate(done, least))).first()), now
     return members.withColumn("rate", _rate(done, least))
 
 

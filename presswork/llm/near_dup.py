@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import WordHashes, shingle_hashes, staged, texts_as_bytes, unstage, word_hashes, words_of
-from .components import linked, merged
+from .components import linked, merged, salted
 
 BANDS, ROWS = 25, 4
 #: of tests against centres of the bands' buckets; the nodes that are open after them go by their rare shingles, against so many centres of each first
@@ -139,10 +139,10 @@ def by_rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
     each = staged(sets.select(F.col("doc_id").alias("node"), F.size("shingles").alias("size"), F.explode("shingles").alias("bucket")), "rarity")
     often = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("n", "bucket"))
-    first = merged(each, often, "bucket").withColumn("place", place).where(f"100 * (place - 1) <= (100 - {percent}) * size")
+    first = salted(each, often, "bucket").withColumn("place", place).where(f"100 * (place - 1) <= (100 - {percent}) * size")
     first = staged(first.select("bucket", "node", "place", "size"), "rare")
     shared = first.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    out = staged(merged(first, shared, "bucket"), "rare-shared")
+    out = staged(salted(first, shared, "bucket"), "rare-shared")
     unstage(each)
     unstage(first)
     return out
@@ -169,7 +169,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     nodes = staged(nodes, "nodes")
     buckets = nodes.select(F.explode("buckets").alias("bucket"), "node")
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    buckets = staged(merged(buckets, shared, "bucket"), "buckets")
+    buckets = staged(salted(buckets, shared, "bucket"), "buckets")
     wanted = buckets.select(F.col("node").alias("doc_id")).distinct()
     sets = staged(shingle_sets(merged(docs.select("doc_id", "text"), wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "sets")
 

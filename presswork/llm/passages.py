@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import WordHashes, mixed, shingle_hashes, staged, texts_as_bytes, unstage, word_hashes, words_of
-from .components import merged
+from .components import merged, salted
 from .near_dup import alike, coefficients, grouped
 
 WORDS, RADIUS, SHINGLE, ROWS = 20, 5, 5, 2
@@ -200,11 +200,11 @@ def repeats(docs: DataFrame, percent: int = PERCENT, recall: float = RECALL) ->
     """(doc_id, row_id, start, first_doc_id, first_row_id, first_start): every paragraph that has a like elsewhere; `first` is the place that stays."""
     bands = tuned(percent, recall)
     often = buckets_of(docs, bands).groupBy("bucket").agg(F.sum("weight").alias("n")).where("n > 1").select("bucket")
-    places = merged(places_of(docs, bands), often, "bucket").select("row_id", "place")
+    places = salted(places_of(docs, bands), often, "bucket").select("row_id", "place")
     members = staged(members_of(docs, places, bands), "members")
     buckets = members.select(F.explode("buckets").alias("bucket"), "node").distinct()
     several = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    buckets = staged(merged(buckets, several, "bucket"), "passages")
+    buckets = staged(salted(buckets, several, "bucket"), "passages")
     wanted = buckets.select("node").distinct()
     sets = members.where("shingles is not null").select("node", "shingles")
     sets = staged(merged(sets, wanted, "node", "left_semi").dropDuplicates(["node"]).withColumnRenamed("node", "doc_id"), "passage-sets")
@@ -217,7 +217,7 @@ def repeats(docs: DataFrame, percent: int = PERCENT, recall: float = RECALL) ->
     # a place overlaps the first if it is in the same document within WORDS words
     ends = named.groupBy("root").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("row_id").alias("lo"), F.max("row_id").alias("hi"))
     ends = ends.where((F.col("lo") != F.col("hi")) | (F.col("last.start") - F.col("first.start") >= WORDS)).select("root", "first")
-    out = merged(named, ends, "root")
+    out = salted(named, ends, "root")
     return out.select("doc_id", "row_id", "start", F.col("first.doc_id").alias("first_doc_id"), F.col("first.row_id").alias("first_row_id"), F.col("first.start").alias("first_start"))
 
 

@@ -12,16 +12,16 @@ training vocabulary and one unknown word for each shared output. Inputs have an
 embedding for each output, so a rare word's hash reaches the state too.
 
 Training is truncated backpropagation through time: the training documents of a
-part are laid end to end in at most LANES lanes, windows of WINDOW tokens follow each
-other with the state carried from one to the next, and Adam takes a step for
-each. The parts are dealt over ROUNDS rounds, and every training document is in
+part are laid end to end and cut into at most LANES lanes of one length, windows of WINDOW
+tokens follow each other with the state carried from one to the next, and Adam
+takes a step for each. The parts are dealt over ROUNDS rounds, and every training document is in
 one of them. A part starts from the parameters of its round; its results are
 averaged on executors, slice by slice of the parameters, so that the driver gets
 one set of them a round, and the next round starts from there. The biases begin
 at the logarithms of the counts, so the model begins as the unigram one.
 
-Scores run every document whole: documents of a batch share lanes, the state
-is carried across the windows of a document and starts anew with the next one.
+Scores run every document whole: documents of a batch are laid end to end in lanes, the
+state is carried across the windows of a document and starts anew with the next one.
 Rare words' counts are joined from the table of counts; no vocabulary is ever
 broadcast but the HEAD most frequent words of at most HEAD_BYTES bytes.
 
@@ -38,12 +38,13 @@ from pyspark.sql import functions as F
 from ._shared import staged, texts_as_bytes, words_of
 
 #: SHORTLIST is the least number of places for words of their own, filled or not
-SHORTLIST, LEAST, MOST = 1024, 20, 32_768
-PER_BUCKET, BUCKETS = 64, 8192
+SHORTLIST, LEAST, MOST = 1024, 20, 16_384
+PER_BUCKET, BUCKETS = 64, 4096
 HEAD, HEAD_BYTES = 100_000, 48
-HIDDEN, LANES, WINDOW = 24, 128, 24
-SCORE_LANES = 256
+HIDDEN, LANES, WINDOW = 24, 256, 32
+SCORE_LANES = 512
 TRAIN_EVERY = 1
+STEPS_AT_LEAST = 256
 PART_ROWS, ROUNDS, SLICE = 10_000, 2, 4096
 STEP, CLIP = 0.01, 5.0
 END = b" "  # no word holds a space
@@ -143,6 +144,23 @@ class Vocabulary:
         self.masses = [n + 0.1 * (v + 1) for n, v in zip(tokens, types)]
 
 
+def _softmax(z, y, scale=None):
+    """log of the share of y in each row of exp(z), and, given scales, each row's gradient of -scale * log share; z is overwritten."""
+    import numpy as np
+
+    rows = np.arange(len(y))
+    if z.max() > 60:
+        z -= z.max(1, keepdims=True)
+    logs = z[rows, y]
+    np.exp(z, out=z)
+    total = z.sum(1)
+    logs = logs - np.log(total)
+    if scale is not None:
+        z *= (scale / total)[:, None]
+        z[rows, y] -= scale
+    return logs, z
+
+
 class Net:
     """Parameters by name. `first` is the id of the end, which also begins a document."""
 
@@ -196,56 +214,49 @@ class Net:
         return (x != self.first)[..., None].astype("float32")
 
     def outputs(self, h, y, grads: dict | None = None, live=None):
-        """log P(y | h) of rows; with grads, adds the gradients of its negative mean and returns that for h too."""
+        """log P(y | h) of rows; with grads, sets the gradients of its negative mean and returns that for h too."""
         import numpy as np
 
         p = self.p
         classes, size = p["ob"].shape
         cls = y // size
-        rows = np.arange(len(y))
-        z = h @ p["c"] + p["cb"]
-        z -= z.max(1, keepdims=True)
-        e = np.exp(z)
-        total = e.sum(1, keepdims=True)
-        out = z[rows, cls] - np.log(total[:, 0])
+        order = np.argsort(cls, kind="stable")
+        ends = np.searchsorted(cls[order], np.arange(classes + 1)).tolist()
+        hs, cls, ys = h[order], cls[order], y[order] % size
+        scale = None if grads is None else (live / max(1, live.sum())).astype(np.float32)[order]
+        logs, e = _softmax(hs @ p["c"] + p["cb"], cls, scale)
         dh = None
         if grads is not None:
-            scale = live / max(1, live.sum())
-            d = e / total
-            d[rows, cls] -= 1
-            d *= scale[:, None]
-            grads["c"] += h.T @ d
-            grads["cb"] += d.sum(0)
-            dh = d @ p["c"].T
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(classes + 1))
-        hs, ys = h[order], y[order] % size
+            grads["c"] = hs.T @ e
+            grads["cb"] = e.sum(0)
+            grads["o"], grads["ob"] = np.zeros_like(p["o"]), np.zeros_like(p["ob"])
+            dh = e @ p["c"].T
         for k in range(classes):
             a, b = ends[k], ends[k + 1]
             if a == b:
                 continue
-            z = hs[a:b] @ p["o"][k] + p["ob"][k]
-            z -= z.max(1, keepdims=True)
-            e = np.exp(z)
-            total = e.sum(1, keepdims=True)
-            at = np.arange(b - a)
-            out[order[a:b]] += z[at, ys[a:b]] - np.log(total[:, 0])
+            mine = hs[a:b]
+            part, e = _softmax(mine @ p["o"][k] + p["ob"][k], ys[a:b], None if scale is None else scale[a:b])
+            logs[a:b] += part
             if grads is not None:
-                d = e / total
-                d[at, ys[a:b]] -= 1
-                d *= scale[order[a:b]][:, None]
-                grads["o"][k] += hs[a:b].T @ d
-                grads["ob"][k] += d.sum(0)
-                dh[order[a:b]] += d @ p["o"][k].T
+                np.matmul(mine.T, e, out=grads["o"][k])
+                grads["ob"][k] = e.sum(0)
+                dh[a:b] += e @ p["o"][k].T
+        out = np.empty_like(logs)
+        out[order] = logs
+        if dh is not None:
+            back = np.empty_like(dh)
+            back[order] = dh
+            dh = back
         return out, dh
 
     def window(self, x, y, h, live):
-        """Gradients of the mean loss of one window (truncated there) and the state after it."""
+        """Gradients of the mean loss of one window (truncated there), those of the embeddings for the ids it reads, which come next, and the state after it."""
         import numpy as np
 
         p, n = self.p, HIDDEN
         hs, gates = self.states(x, h)
-        grads = {k: np.zeros_like(v) for k, v in p.items()}
+        grads = {k: np.zeros_like(p[k]) for k in ("u", "b", "w")}
         # y[t] follows the state after x[t]
         _, dh = self.outputs(hs[1:].reshape(-1, n), y.reshape(-1), grads, live.reshape(-1).astype(np.float32))
         dh = dh.reshape(len(x), -1, n)
@@ -269,37 +280,33 @@ class Net:
         de = flat @ p["w"].T
         ids = x.reshape(-1)
         order = np.argsort(ids, kind="stable")
-        starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        grads["e"][ids[order][starts]] += np.add.reduceat(de[order], starts)
-        return grads, hs[-1]
+        ids = ids[order]
+        starts = np.flatnonzero(np.diff(ids, prepend=-1))
+        grads["e"] = np.add.reduceat(de[order], starts)
+        return grads, ids[starts], hs[-1]
 
     def train(self, documents: list, seed: int) -> int:
         """One pass over documents (arrays of ids, the end last), laid in lanes; returns the number of tokens."""
         import numpy as np
 
-        # few tokens go in fewer lanes, for enough steps
-        most = max(LANES // 4, min(LANES, sum(map(len, documents)) // (WINDOW * 256)))
-        lanes: list[list] = [[] for _ in range(min(most, max(1, len(documents))))]
-        sizes = [0] * len(lanes)
-        for i in np.random.default_rng(seed).permutation(len(documents)):
-            k = int(np.argmin(sizes))
-            lanes[k].append(documents[i])
-            sizes[k] += len(documents[i])
-        longest = max(sizes)
-        y = np.full((longest, len(lanes)), -1, np.int64)
-        for k, lane in enumerate(lanes):
-            if lane:
-                y[: sizes[k], k] = np.concatenate(lane)
-        x = np.vstack([np.full((1, len(lanes)), self.first), y[:-1]])
+        if not documents:
+            return 0
+        stream = np.concatenate([documents[i] for i in np.random.default_rng(seed).permutation(len(documents))]).astype(np.int64)
+        # few tokens go in fewer lanes, for enough steps; a lane may begin within a document, with the state of a beginning
+        lanes = max(1, min(LANES, len(stream) // (WINDOW * STEPS_AT_LEAST)))
+        longest = -(-len(stream) // lanes)
+        y = np.full(longest * lanes, -1, np.int64)
+        y[: len(stream)] = stream
+        x = np.concatenate([[self.first], y[:-1]]).reshape(lanes, longest).T
+        y = y.reshape(lanes, longest).T
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
-        h = np.zeros((len(lanes), HIDDEN), np.float32)
+        h = np.zeros((lanes, HIDDEN), np.float32)
         windows = range(0, longest, WINDOW)
         for step, t in enumerate(windows, 1):
             live = y[t : t + WINDOW] >= 0
-            grads, h = self.window(np.maximum(x[t : t + WINDOW], 0), np.maximum(y[t : t + WINDOW], 0), h, live)
-            ids = np.unique(np.maximum(x[t : t + WINDOW], 0))
-            grads["e"] = grads["e"][ids]  # embeddings that the window does not read keep still
+            # embeddings that the window does not read keep still
+            grads, ids, h = self.window(np.maximum(x[t : t + WINDOW], 0), np.maximum(y[t : t + WINDOW], 0), h, live)
             norm = sum(float(np.vdot(g, g)) for g in grads.values()) ** 0.5
             rate = STEP * min(1.0, step / 20) * (1 - 0.9 * step / (len(windows) + 1))
             rate, least = rate * (1 - 0.99**step) ** 0.5 / (1 - 0.9**step), 1e-6 * (1 - 0.99**step) ** 0.5
@@ -320,33 +327,40 @@ class Net:
                 self.p[k][at] -= g
                 if k == "e":
                     m[k][at], s[k][at] = mk, sk
-        return sum(sizes)
+        return len(stream)
 
     def score(self, documents: list):
-        """log10 P of each document (arrays of ids, the end last)."""
+        """log10 P of each document (arrays of ids, the end last): whole documents end to end in lanes of about the length of the longest, so that one long document does not run alone."""
+        import heapq
+
         import numpy as np
 
         out = np.zeros(len(documents))
-        order = np.argsort([-len(d) for d in documents], kind="stable")
-        for a in range(0, len(order), SCORE_LANES):
-            lanes = order[a : a + SCORE_LANES]
-            sizes = np.array([len(documents[i]) for i in lanes])
-            h = np.zeros((len(lanes), HIDDEN), np.float32)
-            last = np.full(len(lanes), self.first)
-            for t in range(0, sizes[0], WINDOW):
-                n = int(np.searchsorted(-sizes, -t, "left"))  # lanes that go on, the longest first
-                y = np.full((min(WINDOW, sizes[0] - t), n), -1, np.int64)
-                for k in range(n):
-                    part = documents[lanes[k]][t : t + WINDOW]
-                    y[: len(part), k] = part
-                x = np.vstack([last[:n], np.maximum(y[:-1], 0)])
-                hs, _ = self.states(x, h[:n])
-                live = y >= 0
-                p, _ = self.outputs(hs[1:][live], y[live])
-                sums = np.zeros(y.shape)
-                sums[live] = p
-                out[lanes[:n]] += sums.sum(0)
-                h, last = hs[-1], np.maximum(y[-1], 0)
+        if not documents:
+            return out
+        order = np.argsort([-len(d) for d in documents], kind="stable").tolist()
+        lanes = max(1, min(SCORE_LANES, sum(map(len, documents)) // max(WINDOW, len(documents[order[0]]))))
+        loads, begins = [(0, k) for k in range(lanes)], []
+        for i in order:
+            load, k = heapq.heappop(loads)
+            begins.append((i, k, load))
+            heapq.heappush(loads, (load + len(documents[i]), k))
+        longest = max(load for load, _ in loads)
+        y = np.full((lanes, longest), -1, np.int32)
+        for i, k, at in begins:
+            y[k, at : at + len(documents[i])] = documents[i]
+        x = np.concatenate([np.full((lanes, 1), self.first, np.int32), np.maximum(y[:, :-1], 0)], axis=1).T
+        y = np.ascontiguousarray(y.T)
+        logs, h = np.zeros((longest, lanes)), np.zeros((lanes, HIDDEN), np.float32)
+        wide = max(WINDOW, SCORE_LANES * WINDOW // lanes)
+        for t in range(0, longest, wide):
+            hs, _ = self.states(x[t : t + wide], h)
+            live = y[t : t + wide] >= 0
+            logs[t : t + wide][live] = self.outputs(hs[1:][live], y[t : t + wide][live])[0]
+            h = hs[-1]
+        logs = logs.T.copy()
+        for i, k, at in begins:
+            out[i] = logs[k, at : at + len(documents[i])].sum()
         return out / np.log(10)
 
 

@@ -178,6 +178,67 @@ def test_planted_passages_are_cut_but_their_first(spark):
     assert all(40 <= cut[i].words_removed <= 60 for i in (9, 27))
 
 
+def test_passages_of_rows_with_one_id_are_their_own(spark):
+    rnd = random.Random(9)
+    text = lambda n: " ".join(f"v{rnd.randrange(10**6)}" for _ in range(n))
+    passage = text(60)
+    rows = [(1, text(30) + " " + passage), (5, passage + " " + text(40)), (5, text(150)), (7, text(90)), (7, text(90))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = {(r.doc_id, r.text): r.words_removed for r in passages.without_repeats(d).collect()}
+    assert all((i, t) in cut and cut[i, t] == 0 for i, t in rows if (i, t) != rows[1])
+    assert sorted(cut.values())[:-1] == [0] * 4 and max(cut.values()) >= 30
+
+
+def test_edited_passages_are_found(spark):
+    """Passages of 60 words of which one is changed stand in pairs of documents: nine in ten pairs are found, and nothing else."""
+    rnd = random.Random(11)
+    text = lambda n: [f"v{rnd.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for i in range(40):
+        passage = text(60)
+        edited = list(passage)
+        edited[rnd.randrange(60)] = "changed"
+        rows += [(2 * i, " ".join(text(25) + passage + text(30))), (2 * i + 1, " ".join(text(40) + edited + text(9)))]
+    rows += [(1000 + i, " ".join(text(120))) for i in range(20)]
+    found = {r.doc_id for r in passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").distinct().collect()}
+    assert found <= set(range(80)) and sum(2 * i + 1 in found for i in range(40)) >= 36
+
+
+def test_passage_rows_are_those_of_all_pairs(spark):
+    """Every column of repeats against all pairs of paragraphs compared by their full shingle sets."""
+    rnd = random.Random(13)
+    text = lambda n: [f"v{rnd.randrange(10**6)}" for _ in range(n)]
+    shared = [text(70) for _ in range(3)]
+    texts = {i: " ".join(text(rnd.randrange(20)) + rnd.choice(shared) + text(rnd.randrange(20)) + rnd.choice(shared)) for i in range(12)}
+    places = []
+    for i, t in texts.items():
+        _, at, _, s, _ = passages.paragraphs([t.encode()], _shared.WordHashes())
+        places += [((i, int(a)), set(x.tolist())) for a, x in zip(at, s)]
+    root = list(range(len(places)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(places)):
+        for b in range(a):
+            x, y = places[a][1], places[b][1]
+            if 100 * len(x & y) >= 80 * len(x | y):
+                p, q = sorted((find(a), find(b)), key=lambda k: places[k][0])
+                root[q] = p
+    groups = defaultdict(list)
+    for k, (p, _) in enumerate(places):
+        groups[find(k)].append(p)
+    wanted = set()
+    for g in groups.values():
+        (d0, s0), (d1, s1) = min(g), max(g)
+        if d0 != d1 or s1 - s0 >= passages.WORDS:
+            wanted |= {(d, s, d0, s0) for d, s in g}
+    got = passages.repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {(r.doc_id, r.start, r.first_doc_id, r.first_start) for r in got.collect()} == wanted and wanted
+
+
 def encoded(texts):
     from tokenizers import Tokenizer
 
@@ -242,7 +303,10 @@ def test_gradients_of_the_recurrent_net():
         out, _ = net.outputs(hs[1:].reshape(-1, recurrent_lm.HIDDEN), y.reshape(-1))
         return -(out * live.reshape(-1)).sum() / live.sum()
 
-    grads, _ = net.window(x, y, h, live)
+    grads, ids, _ = net.window(x, y, h, live)
+    assert ids.tolist() == sorted(set(x.ravel().tolist()))
+    read, grads["e"] = grads["e"], np.zeros_like(net.p["e"])
+    grads["e"][ids] = read
     for k in ("w", "u", "b", "c", "cb", "e"):
         i = tuple(rng.integers(0, n) for n in net.p[k].shape)
         i = (x[2, 2], i[1]) if k == "e" else i
@@ -254,6 +318,31 @@ def test_gradients_of_the_recurrent_net():
         assert (ups[0] - ups[1]) / 0.02 == pytest.approx(grads[k][i], abs=2e-4)
 
 
+def test_scores_are_those_of_a_plain_forward_pass():
+    """Each document alone, token by token, with explicit gates and both softmaxes over all their outputs."""
+    head = [(b"w%d" % i, 1000 - i) for i in range(1000)] + [(b" ", 50)]
+    v = recurrent_lm.Vocabulary(head, 600_000, 2000)
+    net, rng = recurrent_lm.Net(v), np.random.default_rng(4)
+    for k in net.p:
+        net.p[k] = (net.p[k] + rng.normal(0, 0.2, net.p[k].shape)).astype(np.float32)
+    end = v.ids[b" "]
+    draw = lambda n: np.append(rng.choice([i for i in range(1040) if i != end], n), end)
+    documents = [draw(n) for n in (0, 1, 40, 700, 3, 33, 90)]
+    p = {k: x.astype(float) for k, x in net.p.items()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    n, size = recurrent_lm.HIDDEN, p["ob"].shape[1]
+    for d, got in zip(documents, net.score(documents)):
+        h, last, total = np.zeros(n), end, 0.0
+        for y in d:
+            g, u = p["e"][last] @ p["w"] + p["b"], h @ p["u"]
+            z, r = sigmoid(g[:n] + u[:n]), sigmoid(g[n : 2 * n] + u[n : 2 * n])
+            h = z * h + (1 - z) * np.tanh(g[2 * n :] + r * u[2 * n :])
+            c, w = h @ p["c"] + p["cb"], h @ p["o"][y // size] + p["ob"][y // size]
+            total += c[y // size] - np.log(np.exp(c).sum()) + w[y % size] - np.log(np.exp(w).sum())
+            last = y
+        assert got == pytest.approx(total / math.log(10), rel=1e-4)
+
+
 def test_probabilities_sum_to_one():
     head = [(b"w%d" % i, 1000 - i) for i in range(1000)] + [(b" ", 50)]
     v = recurrent_lm.Vocabulary(head, sum(c for _, c in head) + 500, 1101)

@@ -49,6 +49,16 @@ def age_hours(since: Column, as_of: Column) -> Column:
     return F.greatest(hours_between(since, as_of), F.lit(0.0))
 
 
+def effective_time(published: Column, fetched: Column) -> Column:
+    """When an article counts as published: where no time was given, when it was fetched."""
+    return F.coalesce(published, fetched)
+
+
+def within(published: Column, fetched: Column, since: Column) -> Column:
+    """Published since, or without a time and fetched since."""
+    return (published >= since) | (published.isNull() & (fetched >= since))
+
+
 def instant(text: str) -> Column:
     """A time without zone, as the tables have them."""
     return F.lit(text).cast("timestamp_ntz")

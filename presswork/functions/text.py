@@ -35,6 +35,16 @@ def source_slug(name: Column) -> Column:
     return slug(F.regexp_replace(name, "&", " and "), 10_000)
 
 
+def embedding_text(title: Column, description: Column) -> Column:
+    """What a vector is made of: title and description, or the title alone."""
+    return F.when(F.coalesce(description, F.lit("")) != "", F.concat(title, F.lit(" \u2014 "), description)).otherwise(title)
+
+
+def entity_id(uri: Column) -> Column:
+    """The id at the end of a knowledge base's URI, null where there is none."""
+    return F.nullif(F.regexp_extract(uri, "(Q[0-9]+)$", 1), F.lit(""))
+
+
 def domain(url: Column) -> Column:
     """Host of a URL or domain: no protocol, www, port, path, query, fragment or trailing dots."""
     d = F.regexp_replace(F.lower(F.trim(url)), "^https?://", "")
@@ -64,7 +74,9 @@ def canonical_url(url: Column) -> Column:
 def is_public_url(url: Column) -> Column:
     """http or https to a host that is neither local nor in a private range, plain or as a mapped IPv4 address."""
     host = F.regexp_replace(F.lower(F.regexp_extract(url, "^[A-Za-z]+://(?:[^@/?#]*@)?(\\[[^\\]]*\\]|[^:/?#]*)", 1)), "^\\[|\\]$", "")
-    v4 = F.regexp_replace(host, "^::ffff:", "")
+    pair = [F.conv(F.regexp_extract(host, "^::ffff:([0-9a-f]{1,4}):([0-9a-f]{1,4})$", k), 16, 10).cast("int") for k in (1, 2)]
+    octets = [F.floor(x / d) % 256 for x in pair for d in (256, 1)]
+    v4 = F.when(host.rlike("^::ffff:[0-9a-f]{1,4}:[0-9a-f]{1,4}$"), F.concat_ws(".", *[o.cast("string") for o in octets])).otherwise(F.regexp_replace(host, "^::ffff:", ""))
     private = v4.rlike("^(0|10|127)\\.|^169\\.254\\.|^192\\.168\\.|^172\\.(1[6-9]|2[0-9]|3[01])\\.|^100\\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\\.")
     v6 = host.rlike("^(::1?$|f[cd]|fe[89ab])") & host.contains(":")
     named = host.isin("localhost", "metadata.google.internal") | host.rlike("\\.(local|internal|localhost)$")

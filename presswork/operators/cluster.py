@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
 from . import coverage
+from .lineage import shared_checkpoint
 
 THRESHOLD, SPLIT = 0.70, 0.60
 BLOCK = 2048
@@ -61,25 +62,16 @@ def similar_pairs(rows: DataFrame, id_: str, vector: str, threshold: float = THR
 def components(edges: DataFrame, nodes: DataFrame, id_: str) -> DataFrame:
     """(id, component): the smallest id reachable, by large-star and small-star rounds until nothing changes.
 
-    Lineage is cut by checkpoint() into the session's checkpoint folder, if it has one.
+    Lineage is cut by checkpoint() into the shared folder.
     """
-    spark = edges.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="presswork-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder)
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    e = shared_checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        new = shared_checkpoint(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         same = [tuple(x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()) for x in (e, new)]
         e = new
         if same[0] == same[1]:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.basics import percent
+from ..functions.basics import lookup, percent
+from .lineage import shared_checkpoint
 
 
 def distribution(rows: DataFrame, key: str, owner: str) -> DataFrame:
@@ -25,37 +26,70 @@ def concentration(rows: DataFrame, key: str, owner: str, name: str) -> DataFrame
     return g.select(key, "total", "unknown", hhi.alias("hhi"), F.when(-2 * F.col("first.n") >= F.col("total"), F.col("first.name")).alias("dominant"))
 
 
-def hierarchy(owners: DataFrame, most: int = 16) -> DataFrame:
-    """(owner_id, ancestor_id, depth) of owners (owner_id, parent_id), up to `most` levels; cycles end there.
+def hierarchy(owners: DataFrame) -> DataFrame:
+    """(owner_id, ancestor_id, depth) of owners (owner_id, parent_id): every ancestor at the least depth it is met; cycles end where they would repeat.
 
-    A loop of joins on the parent: each step's frontier is what the one before found.
+    A loop of joins on the parent: each step's frontier is what the one before
+    found and no earlier one had, so there are as many steps as levels.
     """
-    parents = owners.where("parent_id is not null and parent_id <> owner_id").select(F.col("owner_id").alias("child"), "parent_id")
-    step = owners.select("owner_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth")).where("ancestor_id is not null and ancestor_id <> owner_id")
-    out = step
-    for depth in range(2, most + 1):
-        step = step.join(parents, step.ancestor_id == parents.child).select("owner_id", F.col("parent_id").alias("ancestor_id"), F.lit(depth).alias("depth")).where("ancestor_id <> owner_id")
+    parents = owners.where("parent_id is not null and parent_id <> owner_id").select(F.col("owner_id").alias("child"), "parent_id").distinct()
+    step = parents.select(F.col("child").alias("owner_id"), F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth"))
+    out, depth = step, 1
+    while True:
+        depth += 1
+        further = step.join(parents, step.ancestor_id == parents.child).select("owner_id", F.col("parent_id").alias("ancestor_id"), F.lit(depth).alias("depth")).where("ancestor_id <> owner_id")
+        step = shared_checkpoint(further.distinct().join(out.select("owner_id", "ancestor_id"), ["owner_id", "ancestor_id"], "left_anti"))
         if step.isEmpty():
-            break
+            return out
         out = out.unionByName(step)
-    return out
 
 
-def resolved(statements: DataFrame, strength: dict[str, int]) -> DataFrame:
-    """(subject, owner, ambiguous): the best statement (rank, owner, property) of each subject; a tie of different owners is ambiguous."""
-    from ..functions.basics import lookup
+# Properties of ownership, the strongest first.
+PROPERTY_PLACE = {"P127": 0, "P749": 1, "P123": 2}
 
-    rank = F.when(F.col("rank") == "preferred", 0).when(F.col("rank") == "normal", 1).otherwise(2)
-    s = statements.where(F.col("rank") != "deprecated").select("subject", "owner", F.struct(rank.alias("r"), lookup(F.col("property"), strength).alias("p")).alias("place"))
-    best = s.groupBy("subject").agg(F.min("place").alias("best"))
-    top = s.join(best, "subject").where("place = best").groupBy("subject").agg(F.min("owner").alias("owner"), F.count_distinct("owner").alias("n"))
-    return top.select("subject", F.when(F.col("n") == 1, F.col("owner")).alias("owner"), (F.col("n") > 1).alias("ambiguous"))
+
+def resolved(statements: DataFrame) -> DataFrame:
+    """(subject, owner, ambiguous) of statements (subject, owner, property, rank).
+
+    An owner stands for its best statement (preferred rank, then the stronger
+    property). A single owner is taken; of several, the one of the better rank,
+    provided that their best statements have one property and no two share the
+    best rank. All else is ambiguous.
+    """
+    rank = F.when(F.col("rank") == "preferred", 0).otherwise(1)
+    s = statements.where(F.col("rank") != "deprecated").select("subject", "owner", F.struct(rank.alias("r"), F.coalesce(lookup(F.col("property"), PROPERTY_PLACE), F.lit(len(PROPERTY_PLACE))).alias("p")).alias("place"))
+    each = s.groupBy("subject", "owner").agg(F.min("place").alias("place"))
+    best = each.groupBy("subject").agg(F.min("place").alias("best"), F.count(F.lit(1)).alias("n"), F.min("place.p").alias("lo"), F.max("place.p").alias("hi"))
+    top = each.join(best, "subject").where("place = best").groupBy("subject", "n", "lo", "hi").agg(F.min("owner").alias("owner"), F.count(F.lit(1)).alias("winners"))
+    sure = (F.col("n") == 1) | ((F.col("lo") == F.col("hi")) & (F.col("winners") == 1))
+    return top.select("subject", F.when(sure, F.col("owner")).alias("owner"), (~sure).alias("ambiguous"))
+
+
+# Owner types by the classes of a public knowledge base.
+CLASS_KINDS = {
+    "Q891723": "public_company",
+    "Q4830453": "private_company",
+    "Q17343363": "private_company",
+    "Q163740": "nonprofit",
+    "Q4287745": "nonprofit",
+    "Q5": "individual",
+    "Q157031": "public_broadcaster",
+    "Q483551": "public_broadcaster",
+    "Q131589": "cooperative",
+    "Q157857": "state_adjacent",
+    "Q18199255": "state_adjacent",
+    "Q20530050": "trust",
+}
 
 
 def owner_kind(instance_of: Column) -> Column:
-    """Owner type by the class of an entity."""
-    # Classes of the public knowledge base.
-    kinds = {"Q891723": "public_company", "Q5621421": "private_company", "Q4539": "cooperative", "Q1126006": "public_broadcaster", "Q5": "individual", "Q163740": "nonprofit"}
-    from ..functions.basics import lookup
+    """Owner type by the first known class of an entity's array of classes; a private company if there is none."""
+    kinds = F.filter(F.transform(instance_of, lambda c: lookup(c, CLASS_KINDS)), lambda k: k.isNotNull())
+    return F.coalesce(F.get(kinds, F.lit(0)), F.lit("private_company"))
+
 
-    return lookup(instance_of, kinds)
+def backfill(owner: Column, current: Column, proposed: Column, overwrite: bool, confidence: Column) -> Column:
+    """(action, confidence): what to do with a source that has an owner or none, given the entity its owner has now and the proposed one."""
+    same = F.coalesce(current == proposed, F.lit(False))
+    action = F.when(owner.isNull(), "insert").when(same, "confirmed").otherwise("link" if overwrite else "mismatch")
+    return F.struct(action.alias("action"), F.when(owner.isNull() | same, confidence).otherwise("low").alias("confidence"))

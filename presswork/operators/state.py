@@ -18,6 +18,22 @@ def auto_disabled(failures: Column, successes: Column) -> Column:
     return (failures >= 10) & (successes < 20)
 
 
+def reactivated(sources: DataFrame, ids: DataFrame) -> DataFrame:
+    """sources (source_id, failures, cooldown_until, disabled_at) with these cleared for the ids that are in cooldown or disabled; `cleared` tells which."""
+    chosen = ids.select("source_id", F.lit(True).alias("_chosen")).distinct()
+    out = sources.join(chosen, "source_id", "left")
+    cleared = F.coalesce("_chosen", F.lit(False)) & ((F.col("failures") > 0) | F.col("cooldown_until").isNotNull() | F.col("disabled_at").isNotNull())
+    out = out.withColumn("cleared", cleared).drop("_chosen")
+    return out.withColumn("failures", F.when(F.col("cleared"), 0).otherwise(F.col("failures"))).withColumn("cooldown_until", F.when(~F.col("cleared"), F.col("cooldown_until"))).withColumn("disabled_at", F.when(~F.col("cleared"), F.col("disabled_at")))
+
+
+def runs(rows: DataFrame, status: str | None, limit: int) -> DataFrame:
+    """The newest runs (run_id, started_at, status), of one status if given."""
+    if status:
+        rows = rows.where(F.col("status") == status)
+    return rows.orderBy(F.desc("started_at"), F.desc("run_id")).limit(limit)
+
+
 def eligible(active: Column, disabled: Column, cooldown_until: Column, as_of: Column) -> Column:
     return active & ~disabled & (cooldown_until.isNull() | (cooldown_until <= as_of))
 

@@ -1,3 +1,3 @@
 """Named queries over the domain views, each registered with its SQL twin."""
 
-from . import admin, feeds, ingest, people, review, stories, text  # noqa: F401
+from . import admin, desk, feeds, ingest, people, review, stories, text  # noqa: F401

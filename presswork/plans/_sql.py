@@ -22,7 +22,7 @@ m0 AS (SELECT story_id, count(*) AS n_articles, count(DISTINCT source_id) AS n_s
   count(*) FILTER ({age('published_at')} <= 24) AS articles_24h, count(*) FILTER ({age('published_at')} <= 48) AS articles_48h, count(*) FILTER ({age('published_at')} <= 168) AS articles_7d,
   CASE WHEN count(*) < 2 THEN 0.0 ELSE {age('min(published_at)', 'max(published_at)')} END AS coverage_hours FROM art GROUP BY story_id),
 met AS (SELECT *, floor(100 * (0.3 * least(n_sources / 20, 1) + 0.3 * least(articles_24h / 10, 1) + 0.2 * least(coverage_hours / 168, 1) + 0.2 * least(source_diversity / 6, 1)) + 0.5)::INT AS impact_score FROM m0),
-aud AS (SELECT audience, count(DISTINCT session_id) AS viewers FROM eng WHERE action IN ('view', 'read_through') AND {age('created_at')} <= 168 AND {age('created_at')} >= 0 GROUP BY audience),
+aud AS (SELECT audience, count(DISTINCT session_id) AS viewers FROM eng WHERE action IN ('view', 'read_through') AND {age('created_at')} <= 6 AND {age('created_at')} >= 0 GROUP BY audience),
 tre AS (SELECT story_id, topic, region, s.factuality, headline, first_published, reader_id, impact_score, articles_24h, n_sources, n_articles, k, l, r, factor, coalesce(viewers, 0) AS viewers,
   CASE WHEN impact_score <= 0 THEN 0.0 ELSE impact_score * (1 + log10(greatest(articles_24h, 1))) * factor * pow(greatest({age('first_published')}, 0) + 2, -1.5) * (1 + log10(1 + coalesce(viewers, 0))) END AS score,
   n_sources > 1 AND (l >= 80 OR r >= 80) AS blind

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import views
 from ..enums import BIASES, TOPICS
-from ..functions.basics import half_up, ordinal, pick, stamp
+from ..functions.basics import half_up, instant, ordinal, pick, stamp
 from ..functions.text import fingerprint
 from ..operators import coverage as cov
-from ..operators import ingest, latest
+from ..operators import ingest, latest, thin
 from ..registry import query
 from ..views import BIAS_SQL, SQL, TOPIC_SQL
 
@@ -82,7 +82,7 @@ def embedding_cache(spark: SparkSession, sf: str) -> DataFrame:
 # ratings and priors
 
 
-_SRC_TOPIC = f"{SQL}, t AS (SELECT source_id, topic, count(*) AS n FROM (SELECT DISTINCT source_id, story_id FROM art) JOIN sto USING (story_id) WHERE status = 'published' GROUP BY ALL), m AS (SELECT source_id, max(n) AS n, sum(n)::BIGINT AS total FROM t GROUP BY source_id)"
+_SRC_TOPIC = f"{SQL}, t AS (SELECT source_id, topic, count(*) AS n FROM (SELECT DISTINCT source_id, story_id FROM art) JOIN sto USING (story_id) WHERE status = 'published' AND first_published >= TIMESTAMP '{views.AS_OF}' - INTERVAL 30 DAY GROUP BY ALL), m AS (SELECT source_id, max(n) AS n, sum(n)::BIGINT AS total FROM t GROUP BY source_id)"
 
 
 @query(f"{_SRC_TOPIC} SELECT m.source_id, CASE WHEN count(*) = 1 THEN min(topic) END AS topic, m.n, total, round(m.n / total, 6) AS confidence FROM m JOIN t ON t.source_id = m.source_id AND t.n = m.n GROUP BY m.source_id, m.n, total")
@@ -91,9 +91,11 @@ def source_topic_priors(spark: SparkSession, sf: str) -> DataFrame:
     return priors(spark, sf).withColumn("confidence", F.round("confidence", 6))
 
 
-def priors(spark: SparkSession, sf: str) -> DataFrame:
+def priors(spark: SparkSession, sf: str, days: int = 30) -> DataFrame:
+    """(source_id, topic, n, total, confidence) of the stories that were published in the last days."""
     pairs = views.articles(spark, sf).select("source_id", "story_id").distinct()
-    s = views.stories(spark, sf).where("status = 'published'").select("story_id", "topic")
+    recent = F.col("first_published") >= instant(views.AS_OF) - F.make_dt_interval(F.lit(days))
+    s = views.stories(spark, sf).where("status = 'published'").where(recent).select("story_id", "topic")
     return cov.dominant_or_null(pairs.join(s, "story_id"), "source_id", "topic").withColumn("confidence", F.col("n") / F.col("total")).select("source_id", "topic", "n", "total", "confidence")
 
 
@@ -104,10 +106,8 @@ x AS (SELECT story_id, max(w) AS w FROM v GROUP BY story_id) SELECT story_id, CA
 )
 def topics_by_priors(spark: SparkSession, sf: str) -> DataFrame:
     """Stories' topics by the confidence of their sources' priors; a tie gives none."""
-    p = priors(spark, sf).where("topic is not null and confidence >= 0.12 and total >= 10").select("source_id", "topic", "confidence")
-    v = views.articles(spark, sf).select("story_id", "source_id").distinct().join(p, "source_id").groupBy("story_id", "topic").agg(F.round(F.sum("confidence"), 9).alias("w"))
-    x = v.groupBy("story_id").agg(F.max("w").alias("w"))
-    return v.join(x, ["story_id", "w"]).groupBy("story_id").agg(F.when(F.count(F.lit(1)) == 1, F.min("topic")).alias("topic"))
+    members = views.articles(spark, sf).select("story_id", "source_id")
+    return thin.by_priors(members, priors(spark, sf), "story_id", confidence=0.12)  # the tables' sources spread their topics evenly
 
 
 @query(

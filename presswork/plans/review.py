@@ -50,16 +50,18 @@ def backlog_series(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""{SQL}, st AS (SELECT source_id AS subject, (source_id * k) % 25 AS owner, ['P127', 'P749', 'P123'][k] AS property, CASE (source_id + k) % 4 WHEN 0 THEN 'preferred' WHEN 1 THEN 'deprecated' ELSE 'normal' END AS rank FROM src CROSS JOIN (SELECT unnest([1, 2, 3]) AS k)),
-p AS (SELECT subject, owner, CASE rank WHEN 'preferred' THEN 0 ELSE 1 END * 10 + CASE property WHEN 'P127' THEN 0 WHEN 'P749' THEN 1 ELSE 1 END AS place FROM st WHERE rank <> 'deprecated'),
-b AS (SELECT subject, min(place) AS place FROM p GROUP BY subject) SELECT subject, CASE WHEN count(DISTINCT owner) = 1 THEN min(owner) END AS owner, count(DISTINCT owner) > 1 AS ambiguous FROM p JOIN b USING (subject, place) GROUP BY subject"""
+    f"""{SQL}, st AS (SELECT source_id AS subject, (source_id * k) % 25 AS owner, ['P127', 'P749', 'P123'][CASE WHEN source_id % 3 = 0 THEN 1 ELSE k END] AS property, CASE (source_id + k) % 4 WHEN 0 THEN 'preferred' WHEN 1 THEN 'deprecated' ELSE 'normal' END AS rank FROM src CROSS JOIN (SELECT unnest([1, 2, 3]) AS k)),
+p AS (SELECT subject, owner, min(CASE rank WHEN 'preferred' THEN 0 ELSE 1 END * 10 + CASE property WHEN 'P127' THEN 0 WHEN 'P749' THEN 1 ELSE 2 END) AS place FROM st WHERE rank <> 'deprecated' GROUP BY ALL),
+b AS (SELECT subject, min(place) AS best, count(*) AS n, count(DISTINCT place % 10) AS kinds FROM p GROUP BY subject),
+w AS (SELECT subject, n, kinds, min(owner) AS owner, count(*) AS winners FROM p JOIN b USING (subject) WHERE place = best GROUP BY ALL)
+SELECT subject, CASE WHEN n = 1 OR (kinds = 1 AND winners = 1) THEN owner END AS owner, NOT (n = 1 OR (kinds = 1 AND winners = 1)) AS ambiguous FROM w"""
 )
 def resolved_owners(spark: SparkSession, sf: str) -> DataFrame:
-    """Best statement of ownership by rank and property; different owners in the first place are ambiguous."""
+    """One owner by its best statement of ownership; owners known by different properties, or of one rank, are ambiguous."""
     s = views.sources(spark, sf).select(F.col("source_id").alias("subject"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k"))
     code = (F.col("subject") + F.col("k")) % 4
-    st = s.select("subject", ((F.col("subject") * F.col("k")) % 25).alias("owner"), F.element_at(F.array(*map(F.lit, ["P127", "P749", "P123"])), F.col("k")).alias("property"), F.when(code == 0, "preferred").when(code == 1, "deprecated").otherwise("normal").alias("rank"))
-    return ownership.resolved(st, {"P127": 0, "P749": 1, "P123": 1})
+    st = s.select("subject", ((F.col("subject") * F.col("k")) % 25).alias("owner"), F.element_at(F.array(*map(F.lit, ["P127", "P749", "P123"])), F.when(F.col("subject") % 3 == 0, 1).otherwise(F.col("k"))).alias("property"), F.when(code == 0, "preferred").when(code == 1, "deprecated").otherwise("normal").alias("rank"))
+    return ownership.resolved(st)
 
 
 @query(f"{SQL}, e AS (SELECT source_id FROM src WHERE source_id % 3 = 0), n AS (SELECT source_id % 40 AS source_id, source_id AS line FROM src), k AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY line) AS r FROM n) SELECT line, CASE WHEN source_id IN (SELECT source_id FROM e) THEN 'exists' WHEN r > 1 THEN 'repeated' ELSE 'created' END AS outcome FROM k")

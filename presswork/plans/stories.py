@@ -9,7 +9,7 @@ from .. import views
 from ..enums import BIASES, LEFT, OWNERSHIP, RIGHT
 from ..functions.basics import age_hours, hours_between, instant, ordinal, percent, stamp
 from ..operators import coverage as cov
-from ..operators import latest, readers, timeline
+from ..operators import latest, narrative, readers, timeline
 from ..registry import query
 from ._sql import IN_LEFT, IN_RIGHT, METRICS, NOW, age
 from ..views import BIAS_SQL, FACT_SQL, OWNERSHIP_SQL, SQL
@@ -26,7 +26,7 @@ def story_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return m.withColumn("is_blindspot", cov.blindspot(F.col("spectrum"), F.col("n_sources")))
 
 
-def trending_stories(spark: SparkSession, sf: str, viewers_hours: int = 168) -> DataFrame:
+def trending_stories(spark: SparkSession, sf: str, viewers_hours: int = 6) -> DataFrame:
     """Published stories of the last seven days with their score."""
     s = views.stories(spark, sf).where(F.col("status") == "published")
     s = s.where(hours_between(F.col("first_published"), now()) <= 168)
@@ -97,14 +97,21 @@ def assembly_routing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""{METRICS} SELECT story_id, l::INT AS "left", c::INT AS center, r::INT AS "right", CASE WHEN c = greatest(l, c, r) THEN 'center' WHEN r = greatest(l, c, r) THEN 'right' ELSE 'left' END AS dominant,
-  CASE WHEN n_sources = 1 THEN 'Covered by one source.' ELSE 'Covered by ' || n_sources || ' sources, mostly ' || CASE WHEN c = greatest(l, c, r) THEN 'center' WHEN r = greatest(l, c, r) THEN 'right' ELSE 'left' END || '.' END AS overview
-  FROM side JOIN met USING (story_id)"""
+    f"""{METRICS}, d AS (SELECT story_id, n_sources, l::INT AS l, c::INT AS c, r::INT AS r, CASE WHEN c = greatest(l, c, r) THEN 'center' WHEN r = greatest(l, c, r) THEN 'right' ELSE 'left' END AS dominant,
+  least(l, c, r)::INT AS thin, CASE WHEN l = least(l, c, r) THEN 'left' WHEN c = least(l, c, r) THEN 'center' ELSE 'right' END AS thinnest, (l > 0)::INT + (c > 0)::INT + (r > 0)::INT AS k FROM side JOIN met USING (story_id))
+SELECT story_id, l AS "left", c AS center, r AS "right", dominant, 'Coverage leans ' || dominant || ' overall: ' || l || '% left, ' || c || '% center, ' || r || '% right.' AS overview,
+  CASE WHEN greatest(l, c, r) >= 70 THEN 'Coverage gap: the story is heavily ' || dominant || '-weighted, with only ' || CASE dominant WHEN 'left' THEN c || '% center' ELSE l || '% left' END || ' coverage and '
+    || CASE dominant WHEN 'right' THEN c || '% center' ELSE r || '% right' END || ' coverage.'
+  WHEN thin = 0 THEN 'Coverage gap: ' || thinnest || ' coverage is missing from the current source mix.'
+  WHEN thin < 15 THEN 'Coverage gap: ' || thinnest || ' is the thinnest lane at ' || thin || '%, so it is worth checking additional sources from that perspective.'
+  ELSE 'No major coverage gap is visible: left, center, and right lanes are all represented in the current source mix.' END AS coverage_gap,
+  'This view combines ' || n_sources || ' sources across ' || k || ' active lane' || CASE WHEN k = 1 THEN '' ELSE 's' END || '. Blindspot flags trigger when one lane dominates coverage, and the timeline updates as new sources join the cluster.' AS methodology
+FROM d"""
 )
 def story_intelligence(spark: SparkSession, sf: str) -> DataFrame:
     m = story_metrics(spark, sf).withColumn("lane", cov.lanes(F.col("spectrum")))
-    overview = F.when(F.col("n_sources") == 1, "Covered by one source.").otherwise(F.concat(F.lit("Covered by "), F.col("n_sources").cast("string"), F.lit(" sources, mostly "), F.col("lane.dominant"), F.lit(".")))
-    return m.select("story_id", "lane.left", "lane.center", "lane.right", "lane.dominant", overview.alias("overview"))
+    lane = F.col("lane")
+    return m.select("story_id", "lane.left", "lane.center", "lane.right", "lane.dominant", narrative.overview(lane).alias("overview"), narrative.coverage_gap(lane).alias("coverage_gap"), narrative.methodology(F.col("n_sources"), lane).alias("methodology"))
 
 
 @query(

@@ -22,7 +22,3 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
     return add
 
-
-from . import plans  # noqa: E402, F401  the queries register themselves
-
-FLAGSHIP: Query = QUERIES["trending_feed"]

@@ -105,8 +105,9 @@ def crawl_outcome(results: DataFrame) -> DataFrame:
 
 
 def failure_kind(message: Column) -> Column:
-    m = F.lower(message)
-    return F.when(m.contains("robots"), "robots_blocked").when(m.rlike("private|ssrf|blocked host"), "ssrf_blocked").when(m.rlike("fetch|http|timeout|network"), "fetch_error").otherwise("extraction_failed")
+    """Kind of a page's failure by its message, as it is written; without a message the extraction failed."""
+    m = F.coalesce(message, F.lit(""))
+    return F.when(m.contains("robots.txt"), "robots_blocked").when(m.contains("SSRF") | m.contains("private"), "ssrf_blocked").when(m.contains("HTTP"), "fetch_error").otherwise("extraction_failed")
 
 
 def statements_by_owner(parts: dict[str, DataFrame]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from presswork.enums import BIASES
 from presswork.functions.basics import half_up, instant
 from presswork.operators import coverage as cov
-from presswork.operators import ownership, readers, timeline
+from presswork.operators import narrative, ownership, readers, thin, timeline
 
 AS_OF = "2024-06-15 12:00:00"
 
@@ -60,10 +60,57 @@ def test_concentration_of_owners(spark):
 
 def test_hierarchy_ends_at_cycles(spark):
     o = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 4), (5, None)], "owner_id long, parent_id long")
-    found = {(r.owner_id, r.ancestor_id) for r in ownership.hierarchy(o, 6).collect()}
+    found = {(r.owner_id, r.ancestor_id) for r in ownership.hierarchy(o).collect()}
     assert {(1, 2), (1, 3), (2, 3), (2, 1)} <= found and not any(a == b for a, b in found)
 
 
+def test_hierarchy_has_no_last_level(spark):
+    o = spark.createDataFrame([(i, i + 1) for i in range(20)], "owner_id long, parent_id long")
+    assert ownership.hierarchy(o).where("owner_id = 0").count() == 20
+
+
+def test_owner_of_statements(spark):
+    rows = [
+        ("one", "A", "P127", "normal"), ("rank", "A", "P127", "normal"), ("rank", "B", "P127", "preferred"), ("tie", "A", "P127", "normal"), ("tie", "B", "P127", "normal"),
+        ("mixed", "A", "P127", "normal"), ("mixed", "B", "P749", "preferred"), ("best", "A", "P749", "normal"), ("best", "A", "P127", "normal"), ("best", "B", "P127", "preferred"), ("old", "A", "P127", "deprecated"), ("old", "B", "P123", "normal"),
+    ]
+    got = {r.subject: r.owner for r in ownership.resolved(spark.createDataFrame(rows, "subject string, owner string, property string, rank string")).collect()}
+    assert got == {"one": "A", "rank": "B", "tie": None, "mixed": None, "best": "B", "old": "B"}
+
+
+def test_owner_types_and_backfill(spark):
+    kinds = [["Q4830453"], ["Q0", "Q131589", "Q5"], ["Q17343363"], ["Q20530050"], [], ["Q0"], None]
+    d = spark.createDataFrame(list(enumerate(kinds)), "i int, c array<string>").select("i", ownership.owner_kind(F.col("c")).alias("k")).orderBy("i")
+    assert [r.k for r in d.collect()] == ["private_company", "cooperative", "private_company", "trust", "private_company", "private_company", "private_company"]
+    rows = spark.createDataFrame([(None, None, "Q1"), (1, "Q1", "Q1"), (1, "Q2", "Q1"), (1, None, "Q1")], "o long, c string, p string")
+    for overwrite, last in ((False, "mismatch"), (True, "link")):
+        x = rows.select(ownership.backfill(F.col("o"), F.col("c"), F.col("p"), overwrite, F.lit("high")).alias("x")).collect()
+        assert [tuple(r.x) for r in x] == [("insert", "high"), ("confirmed", "high"), (last, "low"), (last, "low")]
+
+
+def test_sentences_about_coverage(spark):
+    lane = lambda l, c, r, d: F.struct(F.lit(l).alias("left"), F.lit(c).alias("center"), F.lit(r).alias("right"), F.lit(d).alias("dominant"))
+    say = lambda c: spark.range(1).select(c).first()[0]
+    assert say(narrative.overview(lane(60, 25, 15, "left"))) == "Coverage leans left overall: 60% left, 25% center, 15% right."
+    assert say(narrative.coverage_gap(lane(10, 80, 10, "center"))) == "Coverage gap: the story is heavily center-weighted, with only 10% left coverage and 10% right coverage."
+    assert say(narrative.coverage_gap(lane(50, 50, 0, "center"))).startswith("Coverage gap: right coverage is missing")
+    assert say(narrative.coverage_gap(lane(45, 45, 10, "center"))).startswith("Coverage gap: right is the thinnest lane at 10%")
+    assert say(narrative.framing_delta(F.lit("\u2022 Both agree\n\u2022 More"), F.lit("- Cost"), F.lit(None))) == "Shared reporting centers on Both agree. Left-leaning coverage emphasizes Cost, while right-leaning coverage emphasizes additional reporting context."
+    models = F.array(*[F.struct(F.lit(o).alias("ownership"), F.lit(n).alias("n")) for o, n in (("corporate", 2), ("private-equity", 1))])
+    assert say(narrative.ownership_mix(models)) == "Ownership mix spans 2 models: corporate (2), and private equity (1)."
+    wide, narrow = lane(30, 40, 30, "center"), lane(0, 100, 0, "center")
+    assert say(narrative.momentum(F.lit("A"), F.lit(4), F.lit(12), narrow, wide)) == "A opened coverage, and the story grew to 4 sources over 12 hours. The spectrum widened from center-only coverage to include left, center, and right lanes."
+    assert say(narrative.momentum(F.lit("A"), F.lit(2), F.lit(1), narrow, narrow)).endswith("over 1 hours while staying within center-only coverage.")
+    assert say(narrative.momentum(F.lit(None), F.lit(0), F.lit(0), narrow, narrow)).startswith("Coverage momentum will become clearer")
+
+
+def test_thin_topics_go_by_categories_then_priors_then_keywords(spark):
+    rows = [(1, 1, 7, "x", ["Tech", "AI"]), (1, 2, 7, "x", ["markets"]), (1, 3, 8, "x", ["software"]), (2, 1, 7, "x", ["tech"]), (2, 2, 8, "x", ["money"]), (3, 1, 9, "The film festival", None), (4, 1, 9, "x", [])]
+    a = spark.createDataFrame(rows, "k long, article long, source_id long, title string, categories array<string>")
+    p = spark.createDataFrame([(7, "health", 0.8, 20), (8, "world", 0.9, 9), (9, "sports", 0.39, 50)], "source_id long, topic string, confidence double, total long")
+    assert {r.k: r.topic for r in thin.classified(a, p, "k").collect()} == {1: "technology", 2: "health", 3: "culture", 4: "politics"}
+
+
 def test_largest_remainder_sums_to_100(spark):
     rows = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (1, 1, 2)], "k long, n long, o int")
     shares = [r.share for r in cov.largest_remainder(rows, "k", "n", "o").orderBy("o").collect()]

@@ -1,6 +1,6 @@
 import pytest
 
-from presswork import registry
+from presswork import plans, registry  # noqa: F401
 
 from .conftest import SMALL, same_rows
 

@@ -84,7 +84,26 @@ def test_entities(spark):
     found = {(r.label, r.type): r for r in entities.entities(rows, "k").collect()}
     assert ("Angela Merkel", "person") in found and ("Paris", "location") in found and ("NATO", "organization") in found and ("United States", "location") in found
     assert ("Supreme Court", "organization") in found and ("Climate", "topic") in found
-    assert found["Angela Merkel", "person"].relevance == 1.0
+    assert found["Angela Merkel", "person"].relevance == 1.0 and found["Paris", "location"].relevance == 0.68
+
+
+def test_entities_inside_headlines(spark):
+    rows = [(1, 1, "Biden Meets NATO Leaders In Washington"), (2, 1, "Supreme Court Blocks New York Rule"), (3, 1, "COP28 And G7 open As Trump Speaks"), (4, 1, "NATO"), (5, 1, "said an aide")]
+    found = {}
+    for r in entities.entities(spark.createDataFrame(rows, "k long, article long, text string"), "k").collect():
+        found.setdefault(r.k, set()).add((r.label, r.type, r.relevance))
+    assert found[1] == {("NATO", "organization", 1.0), ("Washington", "location", 1.0)}
+    assert found[2] == {("New York", "location", 1.0)}
+    assert found[3] == {("COP28", "organization", 1.0), ("G7", "organization", 1.0), ("Trump Speaks", "person", 1.0)}
+    assert found[4] == {("NATO", "organization", 1.0)} and 5 not in found
+
+
+def test_mapped_addresses_and_failures(spark):
+    assert [one(spark, tx.is_public_url(F.lit(u))) for u in ("http://[::ffff:7f00:1]/", "http://[::ffff:c0a8:101]/", "http://[::ffff:808:808]/", "http://[::ffff:10.0.0.1]/")] == [False, False, True, False]
+    kinds = ["Blocked by robots.txt", "SSRF blocked", "private address", "HTTP 503", "fetch failed", "timeout", None]
+    assert [one(spark, feeds.failure_kind(F.lit(k).cast("string"))) for k in kinds] == ["robots_blocked", "ssrf_blocked", "ssrf_blocked", "fetch_error", "extraction_failed", "extraction_failed", "extraction_failed"]
+    assert one(spark, tx.embedding_text(F.lit("A"), F.lit("b"))) == "A \u2014 b" and one(spark, tx.embedding_text(F.lit("A"), F.lit(None))) == "A"
+    assert one(spark, tx.entity_id(F.lit("http://www.wikidata.org/entity/Q42"))) == "Q42" and one(spark, tx.entity_id(F.lit("x"))) is None
 
 
 def test_pages(spark):

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from ._shared import staged
 
+#: of ids, at most, whatever the number of rows
+RANGES = 4096
 BINS, BITS, TRIES = 256, 4, 8
 SHINGLE = 5
 P = "__print_"
@@ -81,7 +83,7 @@ def neighbours(ids: DataFrame) -> DataFrame:
     and a range's last row is followed by the head of the next range. Only the
     heads, a row for each range, are ordered together.
     """
-    ranged = ids.repartitionByRange(max(1, -(-ids.count() // 4096)), F.desc("doc_id"), F.desc("row_id"))
+    ranged = ids.repartitionByRange(max(1, min(RANGES, -(-ids.count() // 4096))), F.desc("doc_id"), F.desc("row_id"))
     ranged = staged(ranged.withColumn("part", F.spark_partition_id()), "ranges")
     heads = ranged.groupBy("part").agg(F.max(F.struct("doc_id", "row_id")).alias("head"))
     follows = heads.withColumn("after", F.lead("head").over(Window.orderBy(F.desc("head")))).select("part", "after")

@@ -5,8 +5,10 @@ longer than the capacity. `packed` deals the pieces over shards of a bounded
 number of pieces by a hash of the document, so that no task grows with the
 input, and packs each shard by the sum-of-squares rule: a piece goes to the
 residual gap (or to a new sequence) after which the sum over gaps of squared
-counts of open sequences is smallest. A shard holds PIECES_PER_SHARD pieces on
-average, so the sequences that stay open at its end are a few in a thousand.
+counts of open sequences is smallest. At the end of a shard its least full
+sequences are taken apart and their pieces put where they fit best, as long as
+that saves sequences and there are more than the tokens need. A shard holds
+PIECES_PER_SHARD pieces on average.
 
 Null texts count as empty (the end id alone); rows without doc_id take no
 part; repeated rows are packed once each; an empty table gives no rows.
@@ -150,13 +152,62 @@ def sum_of_squares(sizes, capacity: int):
     return bins, offsets
 
 
+def fewer(sizes, bins, capacity: int):
+    """bins after taking apart the least full ones: their pieces, the largest first, go to the smallest gap that holds them."""
+    import bisect
+
+    import numpy as np
+
+    while True:
+        fill = np.bincount(bins, sizes, minlength=1).astype(np.int64)
+        used = np.flatnonzero(fill)
+        spare = len(used) - -(-int(fill.sum()) // capacity)
+        if spare <= 0:
+            return bins
+        apart = used[np.argsort(fill[used], kind="stable")][: 8 * spare + 16]
+        loose = np.flatnonzero(np.isin(bins, apart))
+        loose = loose[np.argsort(-sizes[loose], kind="stable")]
+        fill[apart] = 0
+        kept = used[~np.isin(used, apart) & (fill[used] < capacity)]
+        gaps = sorted(zip((capacity - fill[kept]).tolist(), kept.tolist()))
+        new, fresh = bins.copy(), apart.tolist()
+        for i in loose.tolist():
+            s = int(sizes[i])
+            k = bisect.bisect_left(gaps, (s, -1))
+            gap, b = gaps.pop(k) if k < len(gaps) else (capacity, fresh.pop()) if fresh else (0, -1)
+            if b < 0:  # more sequences than before
+                return bins
+            new[i] = b
+            if gap > s:
+                bisect.insort(gaps, (gap - s, b))
+        if not fresh:
+            return bins
+        bins = new
+
+
+def offsets_of(sizes, bins):
+    """Places one after another within each bin, in the given order."""
+    import numpy as np
+
+    order = np.argsort(bins, kind="stable")
+    ends = np.cumsum(sizes[order])
+    starts = ends - sizes[order]
+    first = np.flatnonzero(np.diff(bins[order], prepend=-1))
+    out = np.empty(len(sizes), np.int64)
+    out[order] = starts - np.repeat(starts[first], np.diff(np.append(first, len(order))))
+    return out
+
+
 def packed(parts: DataFrame, capacity: int = 2048, per_shard: int = PIECES_PER_SHARD) -> DataFrame:
     """Adds sequence_id and offset to pieces."""
     shards = max(1, -(-parts.count() // per_shard))
 
     def pack(frame):
         frame = frame.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        bins, offsets = sum_of_squares(frame["length"].to_numpy(), capacity)
+        sizes = frame["length"].to_numpy()
+        bins, _ = sum_of_squares(sizes, capacity)
+        bins = fewer(sizes, bins, capacity)
+        offsets = offsets_of(sizes, bins)
         shard = int(frame["shard"].iloc[0])
         return frame.drop(columns="shard").assign(sequence_id=bins * shards + shard, offset=offsets)
 

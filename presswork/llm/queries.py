@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +14,10 @@ LANGUAGE_WEIGHTS = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
 
 
 def tokenizer_path(name: str) -> str:
-    """A vocabulary file: in PRESSWORK_TOKENIZERS, or else among the public tokenizers that are installed."""
-    folder = os.environ.get("PRESSWORK_TOKENIZERS")
-    if not folder:
-        spec = importlib.util.find_spec("public_tokenizers")
-        folder = os.path.dirname(spec.origin) if spec else "/opt/tokenizers"
-    return os.path.join(folder, name)
+    """A vocabulary file of the public tokenizers that are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -428,7 +428,7 @@ def scored(docs: DataFrame, net: Net, vocabulary: Vocabulary, counts: DataFrame)
         import pyarrow as pa
 
         net, v = shared.value
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         names = ["doc_id", "n_tokens", "head_known", "head_logs", "net_score", "tail"]
         codes = {w: i for i, w in enumerate(v.counts)}
         short, logs = (np.array(x) for x in zip(*[(v.ids[w], np.log10(c + 0.1)) for w, c in v.counts.items()])) if codes else (np.zeros(0, int), np.zeros(0))
@@ -436,8 +436,8 @@ def scored(docs: DataFrame, net: Net, vocabulary: Vocabulary, counts: DataFrame)
         masses = np.log10(v.masses)
         beyond = len(codes)
         for batch in batches:
-            rows: list[list] = [batch.column(0).to_pylist(), [], [], [], [], []]
-            documents = []
+            rows: list[list] = [batch.column(0).to_pylist(), [], [], [], []]
+            documents, ends, rest, times = [], [0], [], []
             for text in texts_as_bytes(batch.column(1)):
                 words = _words(text)
                 code = np.fromiter((codes.get(w, beyond) for w in words), np.int32, len(words))
@@ -448,10 +448,15 @@ def scored(docs: DataFrame, net: Net, vocabulary: Vocabulary, counts: DataFrame)
                     k[i] = v.ids[words[i]]
                 documents.append(k)
                 rare, log = k >= v.size, logs[code]
-                for c, x in zip(rows[1:], (len(words), len(words) - sum(tail.values()), float(log.sum()), float(log[rare].sum() - masses[k[rare] - v.size].sum()), [{"word": w, "n": n} for w, n in tail.items()])):
+                for c, x in zip(rows[1:], (len(words), len(words) - sum(tail.values()), float(log.sum()), float(log[rare].sum() - masses[k[rare] - v.size].sum()))):
                     c.append(x)
+                rest += tail
+                times += tail.values()
+                ends.append(len(rest))
             rows[4] = list(net.score(documents) + np.array(rows[4]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=names)
+            pairs = pa.StructArray.from_arrays([pa.array(rest, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"])
+            tails = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(rows, kinds)), tails], names=names)
 
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     raw = staged(given.mapInArrow(run, "doc_id long, n_tokens long, head_known long, head_logs double, net_score double, tail array<struct<word:binary,n:bigint>>"), "lm")

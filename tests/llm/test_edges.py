@@ -51,6 +51,7 @@ OPERATORS = {
     "passages": lambda s, d: passages.repeats(d),
     "passages_cut": lambda s, d: passages.without_repeats(d),
     "lines": lambda s, d: lines.without_repeats(d),
+    "lines_filter": lambda s, d: lines.deduplicated(d),
     "packing": lambda s, d: packing.pack_documents(d, TOKENS, 2048),
     "quality": lambda s, d: quality.scored(d, quality.fit(d, ratings(s), 3), 3),
     "quality_filter": lambda s, d: quality.selected(d, quality.fit(d, ratings(s), 3), 3),
@@ -65,6 +66,13 @@ def test_edge_rows_are_defined(spark, docs, name):
     every = [1, 2, 3, 4, 5, 6, 6, 7, 8, 9, 10, 11]
     if name in ("near", "lines", "tokens", "quality", "lm", "passages_cut", "fingerprints"):
         assert ids == every
+    if name == "packing":
+        assert sorted(r.doc_id for r in rows if r.piece == 0) == every and all(r.offset + r.length <= 2048 for r in rows)
+        assert {r.length for r in rows if r.doc_id in (3, 4, 5)} == {1}
+    if name == "passages":  # the long text repeats itself in its longer copy alone; equal rows are one
+        assert {r.doc_id for r in rows} == {6, 7} and all(r.first_doc_id == 6 for r in rows)
+    if name == "lines_filter":  # the later copies of whole texts go
+        assert ids == [1, 2, 3, 4, 5, 6, 6, 7, 8, 10, 11]
     if name == "mixing":  # equal rows have one rate
         assert ids == sorted(set(every))
     if name in ("near_filter", "passages_cut", "lines", "mixed", "quality_filter"):
@@ -76,6 +84,22 @@ def test_empty_tables_give_no_rows(spark, docs, name):
     assert OPERATORS[name](spark, docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rows", [ROWS, []])
+def test_pipeline_on_edge_rows(spark, tmp_path, rows):
+    """Null ids are judged and packed nowhere, null texts are empty, an empty table gives no rows, columns with clashing names stay."""
+    import corpus_pipeline
+
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("long"))
+    for c in ("node", "root", "bucket", "rate", "p"):
+        d = d.withColumn(c, F.lit(c))
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1, 0) for i in (1, 6, 8, 10, 11)] + [(None, 0, 1), (3, None, None)]
+    spark.createDataFrame(labels if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert all(r.doc_id is not None and r.offset + r.length <= 2048 for r in out)
+    assert {r.doc_id for r in out} <= {r[0] for r in rows} and bool(out) == bool(rows)
+
+
 def test_near_duplicates_of_edges(spark, docs):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(docs).collect()}
     assert got[1] == (4, 1, True) and got[2] == (4, 1, False) and got[3] == (0, 3, True) and got[5] == (0, 5, True)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ._shared import measured, unstage
 
-GROWTH = 4
+GROWTH = 16
 #: parts that the rows of a hot key are dealt over where they meet a table that has each key once
 SALTS = 4
 
@@ -87,7 +87,9 @@ def linked(
     more = [c for c in buckets.columns if c not in ("bucket", "node")]
     live, open_, done, n = None, buckets, 0, 1
     while True:
-        if roots is None:
+        if "root" in open_.columns:  # no new links since
+            fresh = open_
+        elif roots is None:
             fresh = open_.withColumn("root", F.col("node"))
         else:
             fresh = merged(open_, roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -110,5 +112,5 @@ def linked(
             if done:
                 unstage(known)
         unstage(found)
-        open_ = merged(live.select("bucket", "node", *more), centres.select("bucket", F.col("c_node").alias("node")), ["bucket", "node"], "left_anti")
+        open_ = merged(live.select("bucket", "node", *more, *([] if links else ["root"])), centres.select("bucket", F.col("c_node").alias("node")), ["bucket", "node"], "left_anti")
         width, done = GROWTH * width, done + 1

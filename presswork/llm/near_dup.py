@@ -32,7 +32,7 @@ from .components import linked, merged, salted
 
 BANDS, ROWS = 25, 4
 #: of tests against centres of the bands' buckets; the nodes that are open after them go by their rare shingles, against so many centres of each first
-ROUNDS, RARE_CENTRES = 1, 16
+ROUNDS, RARE_CENTRES = 1, 64
 BLOCK = 2048
 
 

@@ -2,8 +2,9 @@
 
 `components` alternates large-star and small-star (Kiveris et al., 2014) until
 the edges no longer change: every round is two grouped minima with a join back
-and one table in the shared folder, so no round holds a neighbourhood in one
-task.
+and one table in the shared folder. A round is dealt by its number of edges:
+up to TASK_EDGES of them are one task, more are shuffled by node, and no task
+holds a neighbourhood in memory, as its sorts spill.
 
 `linked` finds the components that buckets of nodes and an exact test of pairs
 define. In each round some nodes of a bucket are its centres, the smallest of
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from ._shared import measured, unstage
 
 GROWTH = 16
+#: edges that one task takes (some 20 MB); Spark plans no exchange over a table of one task
+TASK_EDGES = 500_000
 #: parts that the rows of a hot key are dealt over where they meet a table that has each key once
 SALTS = 4
 
@@ -44,22 +47,28 @@ def salted(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     return merged(left.select("*", salt), right.select("*", parts), [on, "__salt"]).drop("__salt")
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """From edges (u long, v long), a staged table or as cheap to read twice, rows (node, root): root is the smallest node reachable; nodes that are their own root have no row."""
+def dealt(edges: DataFrame, n: int | None) -> DataFrame:
+    """n edges as one task where they fit, else (or where n is not known) as they are."""
+    return edges.coalesce(1) if n is not None and n <= TASK_EDGES else edges
+
+
+def components(edges: DataFrame, name: str = "components", n: int | None = None) -> tuple[DataFrame, int]:
+    """From n edges (u long, v long), a staged table or as cheap to read twice, rows (node, root) and their number: root is the smallest node reachable; nodes that are their own root have no row."""
     e, before, last = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), None, None
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = dealt(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), n)
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = merged(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = merged(large, least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e, n, found = measured(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), name, F.bit_xor(F.xxhash64("u", "v")).alias("edges"))
+        both = dealt(small.unionByName(least.select("u", F.col("m").alias("v"))), n)
+        e, n, found = measured(both.distinct(), name, F.bit_xor(F.xxhash64("u", "v")).alias("edges"))
         unstage(last)
         after, last = (n, found.get("edges")), e
         if after == before or not n:
             out = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
             out.staged_path = e.staged_path
-            return out
+            return out, n
         before = after
 
 
@@ -68,17 +77,18 @@ def linked(
     verify: Callable[[DataFrame], DataFrame],
     name: str = "linked",
     roots: DataFrame | None = None,
+    n_roots: int = 0,
     rounds: int | None = None,
     order: tuple[str, ...] = ("node",),
     width: int = 1,
     possible: str = "true",
-) -> tuple[DataFrame | None, DataFrame, int]:
-    """From staged (bucket, node long) and an exact test of pairs (a, b): rows (node, root) as `components` gives (None where nothing is linked), what is still open, and its number of rows.
+) -> tuple[DataFrame | None, int, DataFrame, int]:
+    """From staged (bucket, node long) and an exact test of pairs (a, b): rows (node, root) as `components` gives (None where nothing is linked), what is still open, and the number of rows of each.
 
     verify takes pairs (a, b, u, v), a > b, u and v being their roots so far,
-    and returns those that are linked. roots, if given, are links known before.
-    After `rounds` (None: as many as it takes) the buckets' nodes that are not
-    yet tested against each other are left as the second result. The first
+    and returns those that are linked. roots, if given, are n_roots links known
+    before. After `rounds` (None: as many as it takes) the buckets' nodes that
+    are not yet tested against each other are left as what is open. The first
     round takes `width` centres of each bucket, the first of each part by
     `order`; `possible` may name a condition on the columns of a centre (with
     c_ before their names) and of a node that linked pairs fulfil in at least
@@ -99,7 +109,7 @@ def linked(
             unstage(live)
         live = fresh
         if done == rounds or not n:
-            return roots, live, n
+            return roots, n_roots, live, n
         part = F.pmod(F.xxhash64("node"), F.lit(width)).alias("part")
         first = F.min(F.struct(*order, *[c for c in ("node", "root", *more) if c not in order])).alias("c")
         centres = live.groupBy("bucket", part).agg(first).select("bucket", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("node", "root", *more)])
@@ -108,7 +118,8 @@ def linked(
         found, links, _ = measured(verify(pairs.distinct()).select("u", "v").distinct(), name)
         if links:
             known = roots
-            roots = components(found if known is None else found.unionByName(known.select(F.col("node").alias("u"), F.col("root").alias("v"))), name)
+            edges = found if known is None else found.unionByName(known.select(F.col("node").alias("u"), F.col("root").alias("v")))
+            roots, n_roots = components(edges, name, links + n_roots)
             if done:
                 unstage(known)
         unstage(found)

@@ -150,12 +150,12 @@ def by_rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
 
 def grouped(buckets: DataFrame, verify, sets: DataFrame, percent: int, name: str) -> DataFrame | None:
     """(node, root) of the nodes that the test links: ROUNDS rounds of centres of the bands' buckets, then the rare shingles of the nodes still open."""
-    roots, open_, n = linked(buckets, verify, name, rounds=ROUNDS)
+    roots, n_roots, open_, n = linked(buckets, verify, name, rounds=ROUNDS)
     if n:
         nodes = open_.select(F.col("node").alias("doc_id")).distinct()
         narrow = by_rare_shingles(merged(sets, nodes, "doc_id", "left_semi"), percent)
         possible = f"(100 + {percent}) * (1 + least(size - place, c_size - c_place)) >= {percent} * (size + c_size)"
-        roots, left, _ = linked(narrow, verify, name + "-rare", roots=roots, order=("place", "node"), width=RARE_CENTRES, possible=possible)
+        roots, _, left, _ = linked(narrow, verify, name + "-rare", roots=roots, n_roots=n_roots, order=("place", "node"), width=RARE_CENTRES, possible=possible)
         unstage(left)
         unstage(narrow)
     unstage(open_)

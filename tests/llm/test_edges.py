@@ -118,9 +118,11 @@ def test_maxscore_edges(spark):
     assert maxscore.search(v.limit(0), v.limit(0)).count() == 0
 
 
-def test_components_of_a_chain_and_a_star(spark):
+@pytest.mark.parametrize("known", [True, False])
+def test_components_of_a_chain_and_a_star(spark, known):
     from presswork.llm.components import components
 
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 100 + i) for i in range(1, 200)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
-    assert all(got[i] == 1 for i in range(2, 41)) and all(got[100 + i] == 100 for i in range(1, 200))
+    rows, n = components(spark.createDataFrame(chain, "u long, v long"), n=len(chain) if known else None)
+    got = {r.node: r.root for r in rows.collect()}
+    assert all(got[i] == 1 for i in range(2, 41)) and all(got[100 + i] == 100 for i in range(1, 200)) and n == len(got)

@@ -146,3 +146,8 @@ def matches(text: Column, search: str) -> Column:
 
 def like_escaped(text: str) -> str:
     return text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+
+
+def embedding_text(title: Column, description: Column) -> Column:
+    """What an article's embedding is made of: its title and, if it has one, its description."""
+    return F.concat_ws(" \u2014 ", title, F.when(description != "", description))

@@ -66,3 +66,22 @@ def tags_upserted(found: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataF
     best = found.groupBy(*keys).agg(F.max("relevance").alias("relevance"))
     touched = stored.join(found.select("story_id").distinct(), "story_id", "left_semi")
     return best, touched.join(best.select(*keys), keys, "left_anti")
+
+
+def link_deltas(changes: DataFrame, published: DataFrame) -> DataFrame:
+    """(tag_id, delta) of links (story_id, tag_id, op 'insert' or 'delete') that came to or went from published stories."""
+    shown = changes.join(published.select("story_id").distinct(), "story_id", "left_semi")
+    return shown.select("tag_id", F.when(F.col("op") == "insert", 1).when(F.col("op") == "delete", -1).otherwise(0).alias("delta"))
+
+
+def publication_deltas(changes: DataFrame, links: DataFrame) -> DataFrame:
+    """(tag_id, delta) of stories (story_id, old_status, new_status) that became published, or are so no longer."""
+    shown = lambda c: F.coalesce(F.col(c) == "published", F.lit(False)).cast("int")
+    moved = changes.select("story_id", (shown("new_status") - shown("old_status")).alias("delta")).where("delta <> 0")
+    return moved.join(links.select("story_id", "tag_id").distinct(), "story_id").select("tag_id", "delta")
+
+
+def counts_applied(counts: DataFrame, deltas: DataFrame) -> DataFrame:
+    """(tag_id, n) after (tag_id, delta): only the tags that changes touch are added up."""
+    d = deltas.groupBy("tag_id").agg(F.sum("delta").alias("delta"))
+    return counts.join(d, "tag_id", "left").select("tag_id", (F.col("n") + F.coalesce("delta", F.lit(0))).alias("n"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..enums import BIASES, FACTUALITY
 from ..functions import text as tx
+from ..functions.basics import ordinal
 
 
 def sources_by_slug(sources: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -17,3 +19,22 @@ def sources_by_slug(sources: DataFrame, wanted: DataFrame) -> DataFrame:
     other = rest.join(derived, F.col("_derived") == F.col("_asked")).groupBy("_asked").agg(F.min("source_id").alias("source_id"))
     both = exact.withColumn("exact", F.lit(True)).unionByName(other.withColumn("exact", F.lit(False)))
     return both.select(F.col("_asked").alias("slug"), "source_id", "exact")
+
+
+def matching(rows: DataFrame, search: str | None, *columns: str) -> DataFrame:
+    """Rows in one of whose columns the text occurs as it is, in either case; all rows without a text."""
+    if not search:
+        return rows
+    found = F.lit(False)
+    for c in columns:
+        found = found | F.coalesce(F.col(c).ilike(f"%{tx.like_escaped(search)}%"), F.lit(False))
+    return rows.where(found)
+
+
+def faceted(sources: DataFrame, chosen: dict[str, list[str]], sort: str = "name") -> DataFrame:
+    """Sources whose columns hold one of the chosen values each (an empty choice takes all), by name, or by the order of bias or factuality."""
+    for column, values in chosen.items():
+        if values:
+            sources = sources.where(F.col(column).isin(values))
+    scale = {"bias": BIASES, "factuality": FACTUALITY}.get(sort)
+    return sources.orderBy(*([ordinal(F.col(sort), scale)] if scale else []), "name", "source_id")

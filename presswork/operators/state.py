@@ -97,3 +97,19 @@ def backlog(rows: DataFrame, as_of: Column, time: str = "created_at") -> DataFra
         F.count_if(F.col("assembled") & ~F.col("reviewed")).alias("review_queue"),
         F.greatest(F.max(old), F.lit(0.0)).alias("oldest_minutes"),
     )
+
+
+def legacy_state(review_status: Column, headline: Column, has_summary: Column) -> Column:
+    """(assembly_status, publication_status, review_status, review_reasons) of a story from before it had them."""
+
+    def state(assembly: str, publication: str, review: str, *reasons: str) -> Column:
+        listed = F.array(*map(F.lit, reasons)).cast("array<string>")
+        return F.struct(F.lit(assembly).alias("assembly_status"), F.lit(publication).alias("publication_status"), F.lit(review).alias("review_status"), listed.alias("review_reasons"))
+
+    return (
+        F.when(review_status == "approved", state("completed", "published", "approved"))
+        .when(review_status == "rejected", state("completed", "rejected", "rejected"))
+        .when(headline == "Pending headline generation", state("pending", "draft", "pending"))
+        .when(~F.coalesce(has_summary, F.lit(False)), state("completed", "needs_review", "pending", "legacy_data_repair"))
+        .otherwise(state("completed", "needs_review", "pending", "legacy_pending_review"))
+    )

@@ -74,14 +74,6 @@ def bulk_sources(spark: SparkSession, sf: str) -> DataFrame:
     return new.withColumn("r", r).join(known, "source_id", "left").select("line", F.when(F.col("known"), "exists").when(F.col("r") > 1, "repeated").otherwise("created").alias("outcome"))
 
 
-@query(f"{SQL} SELECT CASE WHEN source_id % 5 = 0 THEN 'overridden' WHEN source_id % 7 = 0 THEN 'unmatched' WHEN bias = 'center' THEN 'unchanged' ELSE 'updated' END AS outcome, count(*) AS n FROM src GROUP BY ALL")
-def rating_sync(spark: SparkSession, sf: str) -> DataFrame:
-    """Outcome of a sync of ratings; sources with an override keep theirs."""
-    k = F.col("source_id")
-    outcome = F.when(k % 5 == 0, "overridden").when(k % 7 == 0, "unmatched").when(F.col("bias") == "center", "unchanged").otherwise("updated")
-    return views.sources(spark, sf).groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(
     """WITH k AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS k, text FROM conversations), f AS (SELECT conv_id, k, min(turn) AS first, max(turn) AS last FROM k WHERE k <> '' GROUP BY ALL)
 SELECT conv_id, first, last, n::INT AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY first, k) AS n FROM f) WHERE n <= 3"""

@@ -107,3 +107,27 @@ def refreshed(events: DataFrame, table: str, checkpoint: str, merge) -> object:
         merge(old, batch).write.mode("overwrite").parquet(f"{table}/v{batch_id}")
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+# What an event may name.
+ACTIONS = ["view", "dwell", "read_through", "share"]
+REFERRERS = ["feed", "for_you", "search", "direct", "external"]
+CLIENTS = ["web", "mobile"]
+
+
+def checked(events: DataFrame) -> DataFrame:
+    """Events, batch or stream, with the string `problem`: the first of the fields (story_id, action, dwell_bucket, referrer_kind, client) that is not as it must be, null where all are.
+
+    A dwell event needs its bucket of 0 to 3; other events need none, and no
+    event needs a referrer. Rows with a problem are what a quarantine takes.
+    """
+    uuid = F.col("story_id").rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
+    bucket = F.when(F.col("dwell_bucket").isNull(), F.col("action") != "dwell").otherwise(F.col("dwell_bucket").between(0, 3))
+    rules = {
+        "story_id": uuid,
+        "action": F.col("action").isin(ACTIONS),
+        "dwell_bucket": bucket,
+        "referrer_kind": F.col("referrer_kind").isNull() | F.col("referrer_kind").isin(REFERRERS),
+        "client": F.col("client").isin(CLIENTS),
+    }
+    return events.withColumn("problem", F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()]))

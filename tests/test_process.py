@@ -3,9 +3,10 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from presswork.functions import text as tx
 from presswork.functions.basics import instant
 from presswork.functions.vectors import cosine
-from presswork.operators import cluster, ingest, state
+from presswork.operators import cluster, ingest, lookups, ratings, state
 from presswork.streaming import events as stream
 
 from .conftest import SMALL
@@ -129,3 +130,57 @@ def test_stream_health_and_retries(spark, tmp_path):
     tries = e.select((F.col("event_id") % 10).alias("id"), "event_id", F.lit(False).alias("ok"))
     states = {r.id: (r.retries, r.state) for r in run(stream.retry_states(tries), "t", "update").collect()}
     assert set(states.values()) == {(5, "dead_letter")}
+
+
+RATED = [
+    # the last entry of a domain counts, whatever the URL around it
+    ("mbfc", 1, "https://www.a.example/x", "left", "high"),
+    ("mbfc", 2, "A.example:80", "extreme-right", "mostly-factual"),
+    ("allsides", 1, "a.example", "center", None),
+    ("mbfc", 3, "b.example", "satire", "low"),
+    ("allsides", 2, "b.example", "mixed", None),
+    ("mbfc", 4, "c.example", "unheard of", "very-low"),
+]
+
+
+def test_ratings_of_providers(spark):
+    entries = spark.createDataFrame(RATED, "provider string, position long, url string, bias string, factuality string")
+    sources = [(1, "http://a.example/", "left", "low", None), (2, "b.example", "left", "low", False), (3, "c.example", "left", "low", False), (4, "a.example", "left", "low", True), (5, None, "left", "low", True), (6, "", "left", None, None)]
+    got = ratings.synced(spark.createDataFrame(sources, "source_id long, url string, bias string, factuality string, bias_override boolean"), entries)
+    assert {r.source_id: tuple(r)[1:] for r in got.collect()} == {
+        1: ("updated", 2, "right", "high"),  # the middle of center and far-right is 4.5 of 6, half up
+        2: ("unmatched", 0, "left", "low"),
+        3: ("updated", 1, "left", "very-low"),
+        4: ("overridden", 2, "left", "low"),
+        5: ("skipped", 0, "left", "low"),
+        6: ("skipped", 0, "left", None),
+    }
+    assert ratings.synced(spark.createDataFrame(sources, "source_id long, url string, bias string, factuality string, bias_override boolean"), entries.limit(0)).where("outcome = 'updated'").count() == 0
+
+
+def test_events_are_checked_in_the_batch_and_the_stream(spark):
+    ok = "3F2504E0-4f89-41d3-9a0c-0305e82c3301"
+    rows = [
+        (ok, "view", None, None, "web", None),
+        (ok, "dwell", 3, "feed", "mobile", None),
+        (ok, "dwell", None, "feed", "mobile", "dwell_bucket"),
+        (ok, "view", 4, None, "web", "dwell_bucket"),
+        ("story-1", "view", None, None, "web", "story_id"),
+        (None, "jump", None, None, None, "story_id"),
+        (ok, None, None, None, "web", "action"),
+        (ok, "share", None, "mail", "web", "referrer_kind"),
+        (ok, "share", None, "search", None, "client"),
+    ]
+    given = spark.createDataFrame(rows, "story_id string, action string, dwell_bucket int, referrer_kind string, client string, want string")
+    assert all(r.problem == r.want for r in stream.checked(given).collect())
+
+
+def test_search_takes_signs_as_they_are(spark):
+    rows = spark.createDataFrame([(1, "100% News", "a"), (2, "1000 News", "b"), (3, None, "x_100%"), (4, "under_score", None)], "id long, name string, slug string")
+    found = lambda text: {r.id for r in lookups.matching(rows, text, "name", "slug").collect()}
+    assert found("100%") == {1, 3} and found("R_S") == {4} and found("") == {1, 2, 3, 4} and found("\\") == set()
+
+
+def test_embedding_text(spark):
+    rows = spark.createDataFrame([("T", "D"), ("T", None), ("T", "")], "t string, d string")
+    assert [r[0] for r in rows.select(tx.embedding_text(F.col("t"), F.col("d"))).collect()] == ["T — D", "T", "T"]

@@ -82,10 +82,10 @@ def feed(spark: SparkSession, sf: str, params: FeedParams) -> DataFrame:
         from ..functions.text import matches
 
         s = s.where(matches(F.col("headline"), params.search))
-    s = s.join(story_metrics(spark, sf), "story_id").where(in_bias_range(F.col("spectrum"), params.biases))
+    scored = params.sort == "trending" and params.owner_id is None
+    s = trending_stories(spark, sf, wanted=s) if scored else s.join(story_metrics(spark, sf, s), "story_id")
+    s = s.where(in_bias_range(F.col("spectrum"), params.biases))
     order = {"newest": [F.desc_nulls_last("first_published")], "most_sources": [F.desc("n_sources"), F.desc_nulls_last("first_published")], "trending": [F.desc_nulls_last("score"), F.desc_nulls_last("first_published")]}[params.sort]
-    if params.sort == "trending" and params.owner_id is None:
-        s = s.join(trending_stories(spark, sf).select("story_id", "score"), "story_id")
     if params.owner_id is not None:
         seen = arts.where(F.col("owner_id") == params.owner_id).groupBy("story_id").agg(F.max("published_at").alias("_seen"))
         s, order = s.join(seen.orderBy(F.desc("_seen"), F.desc("story_id")).limit(1000), "story_id"), [F.desc("_seen")]

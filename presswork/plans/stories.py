@@ -19,19 +19,21 @@ def now():
     return instant(views.AS_OF)
 
 
-def story_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """Published and other stories with metrics, spectrum, blindspot and phase."""
+def story_metrics(spark: SparkSession, sf: str, wanted: DataFrame | None = None) -> DataFrame:
+    """All stories, or those that are wanted, with metrics, spectrum, blindspot and phase; other stories' articles are left before they are grouped."""
     arts = views.articles(spark, sf)
+    if wanted is not None:
+        arts = arts.join(wanted.select("story_id"), "story_id", "left_semi")
     m = cov.metrics(arts, now()).join(cov.spectrum_arrays(arts), "story_id")
     return m.withColumn("is_blindspot", cov.blindspot(F.col("spectrum"), F.col("n_sources")))
 
 
-def trending_stories(spark: SparkSession, sf: str, viewers_hours: int = 6) -> DataFrame:
-    """Published stories of the last seven days with their score."""
-    s = views.stories(spark, sf).where(F.col("status") == "published")
+def trending_stories(spark: SparkSession, sf: str, viewers_hours: int = 6, wanted: DataFrame | None = None) -> DataFrame:
+    """Published stories, or those of them that are wanted, of the last seven days with their metrics and score."""
+    s = (views.stories(spark, sf) if wanted is None else wanted).where(F.col("status") == "published")
     s = s.where(hours_between(F.col("first_published"), now()) <= 168)
     seen = readers.unique_viewers(views.engagement(spark, sf), now(), viewers_hours, "audience")
-    out = s.join(story_metrics(spark, sf), "story_id").join(seen, "audience", "left").withColumn("viewers", F.coalesce("viewers", F.lit(0)))
+    out = s.join(story_metrics(spark, sf, s), "story_id").join(seen, "audience", "left").withColumn("viewers", F.coalesce("viewers", F.lit(0)))
     factor = cov.diversity_factor(F.col("spectrum"))
     return out.withColumn("factor", factor).withColumn("score", cov.trending(F.col("impact_score"), F.col("articles_24h"), factor, age_hours(F.col("first_published"), now()), F.col("viewers")))
 

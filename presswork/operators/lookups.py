@@ -38,3 +38,28 @@ def faceted(sources: DataFrame, chosen: dict[str, list[str]], sort: str = "name"
             sources = sources.where(F.col(column).isin(values))
     scale = {"bias": BIASES, "factuality": FACTUALITY}.get(sort)
     return sources.orderBy(*([ordinal(F.col(sort), scale)] if scale else []), "name", "source_id")
+
+
+def journeys(wanted: DataFrame, articles: DataFrame, stories: DataFrame, events: DataFrame, dead_letters: DataFrame) -> DataFrame:
+    """(query, resolved, story_id, n_articles, n_events, n_dead) of wanted (query): what an article's id or URL, or a story's id, leads to.
+
+    An article leads to itself and its story, a story to all its articles;
+    events and dead letters (item_id) are those of these items. Ids are
+    strings; articles have (article_id, url, story_id), stories (story_id).
+    An article comes before a story, an id before a URL, the smallest id first.
+    """
+    asked = wanted.where("query is not null").select(F.trim("query").alias("query")).distinct()
+    keys = articles.select(F.col("article_id").alias("query"), F.lit(0).alias("way"), "article_id", "story_id")
+    keys = keys.unionByName(articles.select(F.col("url").alias("query"), F.lit(1).alias("way"), "article_id", "story_id"))
+    hit = asked.join(keys, "query").groupBy("query").agg(F.min(F.struct("way", "article_id", "story_id")).alias("a"))
+    by_article = hit.select("query", F.lit("article").alias("resolved"), "a.story_id", "a.article_id")
+    rest = asked.join(hit.select("query"), "query", "left_anti")
+    known = rest.join(stories.select(F.col("story_id").alias("query")).distinct(), "query", "left_semi").select("query", F.col("query").alias("story_id"))
+    by_story = known.join(articles.select("story_id", "article_id"), "story_id", "left").select("query", F.lit("story").alias("resolved"), "story_id", "article_id")
+    reached = by_article.unionByName(by_story)
+    items = reached.select("query", F.explode(F.array("story_id", "article_id")).alias("item_id")).where("item_id is not null").distinct()
+    logged = events.groupBy("item_id").agg(F.count(F.lit(1)).alias("e")).join(dead_letters.groupBy("item_id").agg(F.count(F.lit(1)).alias("d")), "item_id", "full")
+    sums = items.join(logged, "item_id").groupBy("query").agg(F.sum("e").alias("e"), F.sum("d").alias("d"))
+    found = reached.groupBy("query").agg(F.min("resolved").alias("resolved"), F.min("story_id").alias("story_id"), F.count_distinct("article_id").alias("n_articles"))
+    zero = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
+    return asked.join(found, "query", "left").join(sums, "query", "left").select("query", F.coalesce("resolved", F.lit("none")).alias("resolved"), "story_id", zero("n_articles", "n_articles"), zero("e", "n_events"), zero("d", "n_dead"))

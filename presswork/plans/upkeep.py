@@ -99,3 +99,26 @@ def event_problems(spark: SparkSession, sf: str) -> DataFrame:
     bucket = F.when(k % 6 != 5, (k % 6).cast("int"))
     e = views.engagement(spark, sf).select("event_id", story.alias("story_id"), "action", bucket.alias("dwell_bucket"), pick([*stream.REFERRERS, None, "mail"], k % 7).alias("referrer_kind"), F.when(k % 11 == 2, "tv").when(k % 11 != 3, pick(stream.CLIENTS, k % 2)).alias("client"))
     return stream.checked(e).select("event_id", "problem")
+
+
+@query(
+    """WITH a AS (SELECT DISTINCT 'a' || l_orderkey || '-' || l_linenumber AS article_id, 'https://n.example/' || l_orderkey || '/' || l_linenumber AS url, 's' || l_orderkey AS story_id, l_orderkey AS k, l_linenumber AS line FROM lineitem),
+i AS (SELECT article_id AS item_id, story_id, k + line AS e FROM a UNION ALL SELECT 's' || o_orderkey, 's' || o_orderkey, o_orderkey FROM orders),
+c AS (SELECT item_id, story_id, CASE WHEN e % 4 > 0 THEN e % 4 ELSE 0 END AS ev, CASE WHEN e % 5 = 0 THEN 1 ELSE 0 END AS dead FROM i),
+q AS (SELECT article_id AS query, 'article' AS resolved, story_id, article_id FROM a WHERE line = 1 AND k % 10 = 1 UNION ALL SELECT url, 'article', story_id, article_id FROM a WHERE line = 2 AND k % 10 = 2),
+r1 AS (SELECT query, resolved, q.story_id, 1 AS n_articles, (SELECT sum(ev) FROM c WHERE item_id = q.article_id) + (SELECT sum(ev) FROM c WHERE item_id = q.story_id) AS n_events, (SELECT sum(dead) FROM c WHERE item_id = q.article_id) + (SELECT sum(dead) FROM c WHERE item_id = q.story_id) AS n_dead FROM q),
+r2 AS (SELECT story_id AS query, 'story' AS resolved, story_id, count(*) - 1 AS n_articles, sum(ev) AS n_events, sum(dead) AS n_dead FROM c WHERE story_id IN (SELECT 's' || o_orderkey FROM orders WHERE o_orderkey % 10 = 3) GROUP BY story_id),
+r3 AS (SELECT 'x' || o_orderkey AS query, 'none' AS resolved, NULL AS story_id, 0 AS n_articles, 0 AS n_events, 0 AS n_dead FROM orders WHERE o_orderkey % 10 = 4)
+SELECT query, resolved, story_id, n_articles::BIGINT AS n_articles, n_events::BIGINT AS n_events, n_dead::BIGINT AS n_dead FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3)"""
+)
+def journeys(spark: SparkSession, sf: str) -> DataFrame:
+    """What ids and URLs of articles, ids of stories and unknown texts lead to, with the events and dead letters on the way."""
+    text = lambda start, c: F.concat(F.lit(start), F.col(c).cast("string"))
+    line = F.col("l_linenumber").cast("string")
+    a = views.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), F.concat(text("a", "l_orderkey"), F.lit("-"), line).alias("article_id"), F.concat(text("https://n.example/", "l_orderkey"), F.lit("/"), line).alias("url"), text("s", "l_orderkey").alias("story_id")).distinct()
+    s = views.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), text("s", "o_orderkey").alias("story_id"), text("x", "o_orderkey").alias("unknown"))
+    items = a.select(F.col("article_id").alias("item_id"), (F.col("k") + F.col("line")).alias("e")).unionByName(s.select(F.col("story_id").alias("item_id"), F.col("k").alias("e")))
+    events = items.where("e % 4 > 0").select("item_id", F.explode(F.sequence(F.lit(1), (F.col("e") % 4).cast("int"))).alias("n"))
+    asked = [a.where("line = 1 and k % 10 = 1").select(F.col("article_id").alias("query")), a.where("line = 2 and k % 10 = 2").select("url"), s.where("k % 10 = 3").select("story_id"), s.where("k % 10 = 4").select("unknown")]
+    wanted = asked[0].union(asked[1]).union(asked[2]).union(asked[3])
+    return lookups.journeys(wanted, a, s, events, items.where("e % 5 = 0"))

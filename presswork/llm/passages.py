@@ -154,7 +154,7 @@ def places_of(docs: DataFrame, bands: int) -> DataFrame:
 
 
 def members_of(docs: DataFrame, places: DataFrame, bands: int) -> DataFrame:
-    """(node, doc_id, row_id, start int, buckets, shingles) of the paragraphs at `places`: the buckets of these bands, and the set where a task's run of texts meets the node first, else null."""
+    """(node, doc_id, row_id, start int, buckets, shingles) of the paragraphs at `places` (row_id, places), each row once: the buckets of these bands, and the set where a task's run of texts meets the node first, else null."""
 
     def take(batches):
         import numpy as np
@@ -183,8 +183,7 @@ def members_of(docs: DataFrame, places: DataFrame, bands: int) -> DataFrame:
                         seen.add(n)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(mine, kinds)], names=names)
 
-    by_row = places.groupBy("row_id").agg(F.collect_list("place").alias("places"))
-    found = merged(_given(docs), by_row, "row_id").select("doc_id", "text", "row_id", "places")
+    found = merged(_given(docs), places, "row_id").select("doc_id", "text", "row_id", "places")
     return found.mapInArrow(take, "node long, doc_id long, row_id long, start int, buckets array<long>, shingles array<long>")
 
 
@@ -200,8 +199,11 @@ def repeats(docs: DataFrame, percent: int = PERCENT, recall: float = RECALL) ->
     """(doc_id, row_id, start, first_doc_id, first_row_id, first_start): every paragraph that has a like elsewhere; `first` is the place that stays."""
     bands = tuned(percent, recall)
     often = buckets_of(docs, bands).groupBy("bucket").agg(F.sum("weight").alias("n")).where("n > 1").select("bucket")
-    places = salted(places_of(docs, bands), often, "bucket").select("row_id", "place")
+    # a table between the shuffles of buckets and that of texts: the first are over before the second begins
+    places = salted(places_of(docs, bands), often, "bucket").groupBy("row_id").agg(F.collect_list("place").alias("places"))
+    places = staged(places, "places")
     members = staged(members_of(docs, places, bands), "members")
+    unstage(places)
     buckets = members.select(F.explode("buckets").alias("bucket"), "node").distinct()
     several = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     buckets = staged(salted(buckets, several, "bucket"), "passages")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """df as a checkpoint in the folder that the cluster names in spark.checkpoint.dir; on a local master without one, in a folder of one's own."""
     spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+    if not spark.sparkContext.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not spark.sparkContext.master.startswith("local"):
@@ -16,6 +16,5 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="presswork-")
-            spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()

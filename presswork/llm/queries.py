@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, lines, maxscore, mixing, near_dup, packing, passages, quality, recurrent_lm, token_counts
+from . import filter_audit, fingerprints, lines, maxscore, mixing, near_dup, packing, passages, quality, recurrent_lm, token_counts, windows, yinyang
 from ._shared import table
 
 CAPACITY = 2048
@@ -104,7 +104,58 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrent_lm.language_model_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_maxscore, op2_near_duplicates, op3_mixing, op4_fingerprints, op5_token_counts, op6_passages, op7_line_dedup, op8_packing, op9_quality, op10_language_model)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove, repeat and lose by source, in all orders of them."""
+    return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.packed(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), CAPACITY)
+
+
+def op13_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all vectors of 64 components after three rounds of k-means with 16 centroids."""
+    return yinyang.clustered(yinyang.quantized(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")), k=16, rounds=3)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_maxscore,
+        op2_near_duplicates,
+        op3_mixing,
+        op4_fingerprints,
+        op5_token_counts,
+        op6_passages,
+        op7_line_dedup,
+        op8_packing,
+        op9_quality,
+        op10_language_model,
+        op11_filter_audit,
+        op12_windows,
+        op13_yinyang,
+    )
+}
+
+
+def _clusters(rounds: int = 3, k: int = 16) -> str:
+    """SQL of op13: each round is an assignment (a) and new centroids (c)."""
+    distance = "list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    parts = [
+        """v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS (SELECT (row_number() OVER (ORDER BY h) - 1)::INTEGER AS cluster, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM v ORDER BY h LIMIT {k}))",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT vec_id, v, least.cluster, least.distance FROM (SELECT vec_id, any_value(v.v) AS v, min(struct_pack(distance := {distance}, cluster := cluster)) AS least FROM v CROSS JOIN c{i} c GROUP BY vec_id))")
+        if i < rounds:
+            parts.append(f"s{i} AS (SELECT cluster, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT cluster, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM a{i}) GROUP BY cluster, i)")
+            parts.append(f"m{i} AS (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM s{i} GROUP BY cluster)")
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m USING (cluster))")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c USING (cluster)"""
+
 
 ORACLES = {
     "op1_maxscore": """
@@ -114,6 +165,25 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.
   FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 50 = 0),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 5
+""",
+    "op13_yinyang": _clusters(),
+    "op11_filter_audit": """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, part, text, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+m AS (SELECT doc_id, part, CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+  + CASE WHEN first < doc_id THEN 16 ELSE 0 END AS mask FROM w),
+b AS (SELECT doc_id, max((coalesce(quality, 0) = 1)::INT) AS good, max((coalesce(toxic, 0) = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+cells AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM m LEFT JOIN b USING (doc_id) GROUP BY part, mask),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM l a JOIN l b ON b.l <> a.l JOIN l c ON c.l NOT IN (a.l, b.l)
+  JOIN l d ON d.l NOT IN (a.l, b.l, c.l) JOIN l e ON e.l NOT IN (a.l, b.l, c.l, d.l)),
+s AS (SELECT filter_order, i::INTEGER AS step, bits[i] AS own, coalesce(list_sum(bits[1 : i - 1]), 0)::INTEGER AS before FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS i FROM o)),
+r AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (mask & (before + own) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & own <> 0 AND mask & before = 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (mask & own <> 0 AND mask & before <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (mask & own <> 0 AND mask & before = 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & own <> 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost
+  FROM cells CROSS JOIN s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r
 """,
     "op7_line_dedup": """
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),

@@ -75,15 +75,16 @@ def bulk_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH k AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS k, text FROM conversations), f AS (SELECT conv_id, k, min(turn) AS first, max(turn) AS last FROM k WHERE k <> '' GROUP BY ALL)
-SELECT conv_id, first, last, n::INT AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY first, k) AS n FROM f) WHERE n <= 3"""
+    """WITH c AS (SELECT conv_id, turn, text, role, CASE WHEN turn % 3 = 0 THEN 'against ' || turn END AS counter, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS k FROM conversations WHERE text IS NOT NULL),
+f AS (SELECT conv_id, k, min(turn) AS first, max(turn) AS last, arg_max(role, turn) AS side, max(turn) FILTER (counter IS NOT NULL) AS held, arg_max(counter, turn) FILTER (counter IS NOT NULL) AS counter_claim FROM c GROUP BY conv_id, k)
+SELECT conv_id, n::INT AS n, last AS turn, side, coalesce(held, last) % 2 = 0 AS disputed, counter_claim FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY first, k) AS n FROM f) WHERE n <= 3"""
 )
 def deduplicated_claims(spark: SparkSession, sf: str) -> DataFrame:
-    """Three claims of each conversation: the place of the first of a key, the content of the last."""
-    c = views.table(spark, sf, "conversations").where("text is not null").withColumn("k", verify.dedupe_key(F.col("text"))).where("k <> ''")
-    f = c.groupBy("conv_id", "k").agg(F.min("turn").alias("first"), F.max("turn").alias("last"))
-    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("first", "k"))
-    return f.withColumn("n", n).where("n <= 3").select("conv_id", "first", "last", "n")
+    """Three claims of each conversation, its turns being rounds: the last of equal ones, with a counter-claim that an earlier one had."""
+    c = views.table(spark, sf, "conversations").where("text is not null")
+    counter = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("against "), F.col("turn").cast("string")))
+    rows = c.select("conv_id", F.col("turn").alias("place"), F.col("text").alias("claim"), F.col("role").alias("side"), (F.col("turn") % 2 == 0).alias("disputed"), counter.alias("counter_claim"))
+    return verify.merged_claims(rows, "conv_id").select("conv_id", "n", F.col("last").alias("turn"), "side", "disputed", "counter_claim")
 
 
 @query(

@@ -102,14 +102,6 @@ def sentence_counts(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.size(verify.sentences(F.col("text"))).cast("long").alias("n_sentences"), F.size(words).cast("long").alias("n_words"))
 
 
-@query()
-def claim_verification(spark: SparkSession, sf: str) -> DataFrame:
-    """The first sentence of every document as a claim, held against the documents of its bucket that could support it."""
-    docs = views.table(spark, sf, "documents").where("text is not null").select("doc_id", F.floor(F.col("doc_id") / 4).alias("bucket"), "text")
-    claims = docs.select("bucket", F.col("doc_id").alias("claim_id"), F.element_at(verify.sentences(F.col("text")), 1).alias("claim"), F.lit("both").alias("side")).where("claim is not null")
-    return verify.verified_claims(claims, docs.select("bucket", "text", F.lit("center").alias("bias")), "bucket").select("claim_id")
-
-
 @query()
 def entity_tags(spark: SparkSession, sf: str) -> DataFrame:
     rows = sample_titles(spark, sf).select((F.col("doc_id") % 100).alias("story_id"), F.col("doc_id").alias("article"), F.col("title").alias("text"))

@@ -11,4 +11,4 @@ def test_rows_are_those_of_the_sql(spark, warehouse, name):
 
 
 def test_every_query_has_a_twin_or_a_reason():
-    assert set(registry.QUERIES) - set(registry.ORACLES) == {"claim_verification", "entity_tags"}
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"entity_tags"}

@@ -71,16 +71,37 @@ def canonical_url(url: Column) -> Column:
     return F.when(u.rlike("^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+"), out).otherwise(u)
 
 
+def plain_ipv4(host: Column) -> Column:
+    """(address, bad): a host whose last part is a number in its dotted form, as URL parsers write it, null for names; bad where such a host is no address.
+
+    Parts are decimal, octal (0...) or hexadecimal (0x...); the last of fewer
+    than four stands for all bytes that are left.
+    """
+    parts = F.split(F.regexp_replace(host, "\\.$", ""), "\\.")
+    n = F.size(parts)
+    value = lambda p: F.when(p.rlike("^0x[0-9a-f]{0,15}$"), F.conv(F.concat(F.lit("0"), F.substring(p, 3, 15)), 16, 10)).when(p.rlike("^0[0-7]{0,20}$"), F.conv(p, 8, 10)).when(p.rlike("^[1-9][0-9]{0,17}$"), p).cast("double")
+    values = F.transform(parts, value)
+    last = F.element_at(values, -1)
+    bytes_ = F.slice(values, 1, n - 1)
+    good = (n <= 4) & ~F.exists(values, lambda v: v.isNull()) & ~F.exists(bytes_, lambda v: v > 255) & (last < F.pow(F.lit(256.0), 5 - n))
+    number = F.aggregate(F.transform(bytes_, lambda v, i: v * F.pow(F.lit(256.0), 3 - i)), last, lambda a, v: a + v).cast("long")
+    octets = [(F.shiftright(number, k) % 256).cast("string") for k in (24, 16, 8, 0)]
+    numeric = F.element_at(parts, -1).rlike("^([0-9]+|0x[0-9a-f]*)$")
+    return F.struct(F.when(numeric & good, F.concat_ws(".", *octets)).alias("address"), (numeric & ~F.coalesce(good, F.lit(False))).alias("bad"))
+
+
 def is_public_url(url: Column) -> Column:
-    """http or https to a host that is neither local nor in a private range, plain or as a mapped IPv4 address."""
+    """http or https to a host that is neither local nor in a private range, whatever form an IPv4 address is written in."""
     host = F.regexp_replace(F.lower(F.regexp_extract(url, "^[A-Za-z]+://(?:[^@/?#]*@)?(\\[[^\\]]*\\]|[^:/?#]*)", 1)), "^\\[|\\]$", "")
     pair = [F.conv(F.regexp_extract(host, "^::ffff:([0-9a-f]{1,4}):([0-9a-f]{1,4})$", k), 16, 10).cast("int") for k in (1, 2)]
     octets = [F.floor(x / d) % 256 for x in pair for d in (256, 1)]
-    v4 = F.when(host.rlike("^::ffff:[0-9a-f]{1,4}:[0-9a-f]{1,4}$"), F.concat_ws(".", *[o.cast("string") for o in octets])).otherwise(F.regexp_replace(host, "^::ffff:", ""))
+    plain = plain_ipv4(F.regexp_replace(host, "^::ffff:", ""))
+    v4 = F.when(host.rlike("^::ffff:[0-9a-f]{1,4}:[0-9a-f]{1,4}$"), F.concat_ws(".", *[o.cast("string") for o in octets])).otherwise(F.coalesce(plain["address"], F.lit("")))
     private = v4.rlike("^(0|10|127)\\.|^169\\.254\\.|^192\\.168\\.|^172\\.(1[6-9]|2[0-9]|3[01])\\.|^100\\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\\.")
     v6 = host.rlike("^(::1?$|f[cd]|fe[89ab])") & host.contains(":")
     named = host.isin("localhost", "metadata.google.internal") | host.rlike("\\.(local|internal|localhost)$")
-    return url.rlike("^https?://") & (host != "") & ~(private | v6 | named)
+    bad = plain["bad"] & ~host.contains(":")
+    return url.rlike("^https?://") & (host != "") & ~(private | v6 | named | bad)
 
 
 def classified(text: Column, groups: dict[str, list[str]], default: str, boundaries: bool) -> Column:

@@ -1,26 +1,90 @@
 """Grouping of articles by similarity of their vectors.
 
-Similar pairs come from a blocked exact join: rows are packed in blocks of
-bounded size and each pair of blocks is one small matrix product in Arrow, so
-no row pair below the threshold is ever emitted.
+Similar pairs come from an exact join by pivots: equal vectors are one node,
+nodes are put into the cells of their nearest pivots, and a node meets only the
+cells that the triangle inequality leaves. Cells are packed in blocks of bounded
+size; two blocks are one small matrix product in Arrow, so no row pair below the
+threshold is ever emitted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.basics import hours_between
 from ..functions.vectors import cosine
 from . import coverage
 from .lineage import shared_checkpoint
 
 THRESHOLD, SPLIT = 0.70, 0.60
 BLOCK = 2048
+#: parts that articles are dealt over where they meet a block of centroids
+SALTS = 16
+
+
+def _unit(vector: str):
+    """A vector as doubles of length one; a zero vector stays."""
+    x = F.transform(vector, lambda v: v.cast("double"))
+    return x, lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v))
+
+
+def distinct_vectors(rows: DataFrame, id_: str, vector: str) -> tuple[DataFrame, DataFrame]:
+    """(rep, v) for each different direction, and (rep, id) for every row: equal vectors are one node from here on."""
+    x, norm = _unit(vector)
+    given = rows.where(F.col(id_).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_).cast("long").alias("id"), x.alias("x")).withColumn("n", norm(F.col("x")))
+    unit = given.select("id", F.transform("x", lambda v: F.when(F.col("n") > 0, v / F.col("n")).otherwise(0.0)).alias("v"))
+    named = unit.groupBy("v").agg(F.min("id").alias("rep"))
+    return named.select("rep", "v"), unit.join(named, "v").select("rep", "id")
+
+
+def pivots_of(nodes: DataFrame, sample: int, most: int) -> list:
+    """At most `most` pivots from a bounded sample of the nodes, each the farthest from those before it; k rows on the driver."""
+    import numpy as np
+
+    rows = nodes.orderBy(F.xxhash64("rep")).limit(sample).collect()
+    if not rows:
+        return []
+    x = np.array([r.v for r in rows], float).reshape(len(rows), -1)
+    k = min(most, max(1, int(len(x) ** 0.5)))
+    chosen, far = [0], ((x - x[0]) ** 2).sum(axis=1)
+    while len(chosen) < k and far.max() > 0:
+        i = int(far.argmax())
+        chosen.append(i)
+        far = np.minimum(far, ((x - x[i]) ** 2).sum(axis=1))
+    return x[chosen].tolist()
+
+
+#: rows that pivots are chosen from, and how many there are at most; both bound what the driver and the tasks hold, not what is joined
+SAMPLE, PIVOTS = 4096, 64
+CELLS = "cell int, far double, id long, v array<double>"
+
+
+def _cells(pivots: list, reach: float, radii: list | None):
+    """Batches of (rep, v) -> their cells with the distance to its pivot: the nearest one's; with radii every one that a row within `reach` may be in."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        p = np.array(pivots)
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            d = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (p * p).sum(axis=1) - 2 * x @ p.T, 0))
+            if radii is None:
+                i, j = np.arange(len(ids)), d.argmin(axis=1)
+            else:  # triangle: a row of the cell is at most its radius from the pivot
+                i, j = np.nonzero(d <= np.array(radii) + reach)
+            yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int32)), pa.array(d[i, j]), pa.array(ids[i]), batch.column(1).take(pa.array(i))], names=["cell", "far", "id", "v"])
 
+    return run
 
-def _packed(rows: DataFrame, id_: str, vector: str, block: int) -> DataFrame:
-    """(block, ids, data): unit vectors as doubles, at most about `block` to a row."""
-    n = max(1, -(-rows.count() // block))
+
+def _blocks(cells: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """(cell, sub, ids, data): the rows of each cell packed, dealt by a hash over as many parts as hold about `block` rows each."""
 
     def pack(table):
         import numpy as np
@@ -28,35 +92,120 @@ def _packed(rows: DataFrame, id_: str, vector: str, block: int) -> DataFrame:
 
         ids = table.column("id").to_numpy()
         x = np.array(table.column("v").to_pylist(), float).reshape(len(ids), -1)
-        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-        return pa.table({"block": [table.column("block")[0].as_py()], "ids": [ids.tobytes()], "data": [x.tobytes()]})
+        return pa.table({"cell": pa.array([table.column("cell")[0].as_py()], pa.int32()), "sub": pa.array([table.column("sub")[0].as_py()], pa.int64()), "ids": [ids.tobytes()], "data": [x.tobytes()]})
 
-    given = rows.where(F.col(id_).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    return given.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n))).groupBy("block").applyInArrow(pack, "block long, ids binary, data binary")
+    dealt = cells.join(sizes.select("cell", F.ceil(F.col("n") / block).alias("parts")), "cell")
+    dealt = dealt.select("cell", F.pmod(F.xxhash64("id"), F.col("parts")).alias("sub"), "id", "v")
+    return dealt.groupBy("cell", "sub").applyInArrow(pack, "cell int, sub long, ids binary, data binary")
 
 
-def similar_pairs(rows: DataFrame, id_: str, vector: str, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """(a, b, similarity): pairs with a < b and a cosine of at least the threshold."""
-    p = _packed(rows, id_, vector, block)
-    n = max(1, -(-rows.count() // block))
-    # each block meets those from its own on: packed rows, so n * n / 2 of them
-    left = p.select(F.col("block").alias("l"), F.col("ids").alias("l_ids"), F.col("data").alias("l_data")).withColumn("block", F.explode(F.sequence("l", F.lit(n - 1))))
+def _forest(i, j, n: int):
+    """For pairs of places of n rows a smallest set of pairs that connects the same rows: each row with the first of its component."""
+    import numpy as np
+
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        least = np.minimum(root[i], root[j])
+        np.minimum.at(root, i, least)
+        np.minimum.at(root, j, least)
+        root = root[root]
+        if (root == before).all():
+            at = np.flatnonzero(root != np.arange(n))
+            return root[at], at
+
+
+def similar_nodes(nodes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, links_only: bool = False) -> DataFrame:
+    """(a, b, similarity): pairs a < b of nodes (rep, v of length one) with a cosine of at least the threshold, by pivots.
+
+    Each node lies in the cell of its nearest pivot. As a cosine of t is a
+    distance of sqrt(2 - 2t), a node meets only cells whose pivot is no farther
+    than that and the cell's radius; others are never joined. Cells are split
+    into packed blocks, so a dense cell is many small matrix products. With
+    links_only a product's pairs are reduced to a forest that connects the same
+    nodes, so a dense group emits rows, not pairs.
+    """
+    spark = nodes.sparkSession
+    nodes = shared_checkpoint(nodes)
+    chosen = pivots_of(nodes, SAMPLE, PIVOTS)
+    if not chosen:
+        return spark.createDataFrame([], "a long, b long, similarity double")
+    reach = max(0.0, 2 - 2 * threshold) ** 0.5 + 1e-6
+    own = shared_checkpoint(nodes.select("rep", "v").mapInArrow(_cells(chosen, reach, None), CELLS))
+    sizes = own.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"))
+    radii = [-9.0] * len(chosen)  # of at most PIVOTS cells
+    for r in sizes.collect():
+        radii[r.cell] = r.radius + 1e-6
+    guests = nodes.select("rep", "v").mapInArrow(_cells(chosen, reach, radii), CELLS)
+    guest_sizes = guests.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    left = _blocks(guests, guest_sizes, block).select("cell", F.col("sub").alias("l_sub"), F.col("ids").alias("l_ids"), F.col("data").alias("l_data"))
+    right = _blocks(own, sizes, block).select("cell", F.col("sub").alias("r_sub"), F.col("ids").alias("r_ids"), F.col("data").alias("r_data"))
 
     def multiply(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for l, r, l_ids, l_data, r_ids, r_data in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for l_ids, l_data, r_ids, r_data in zip(*(batch.column(c).to_pylist() for c in ("l_ids", "l_data", "r_ids", "r_data"))):
                 a, b = np.frombuffer(l_ids, np.int64), np.frombuffer(r_ids, np.int64)
                 s = np.frombuffer(l_data).reshape(len(a), -1) @ np.frombuffer(r_data).reshape(len(b), -1).T
                 i, j = np.nonzero(s >= threshold)
-                x, y = a[i], b[j]
-                keep = x < y if l == r else x != y
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[keep]), pa.array(np.maximum(x, y)[keep]), pa.array(s[i, j][keep])], names=["a", "b", "similarity"])
+                keep = a[i] < b[j]
+                i, j = i[keep], j[keep]
+                if links_only and len(i):
+                    every, place = np.unique(np.concatenate([a[i], b[j]]), return_inverse=True)
+                    u, v = _forest(place[: len(i)], place[len(i) :], len(every))
+                    yield pa.RecordBatch.from_arrays([pa.array(every[u]), pa.array(every[v]), pa.array(np.full(len(u), float(threshold)))], names=["a", "b", "similarity"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[j]), pa.array(s[i, j])], names=["a", "b", "similarity"])
 
-    return left.join(p, "block").select("l", "block", "l_ids", "l_data", "ids", "data").mapInArrow(multiply, "a long, b long, similarity double")
+    # packed rows meet by cell: a hot cell's blocks are dealt over tasks by the left block, its right blocks are repeated
+    return left.join(right, "cell").repartition("cell", "l_sub", "r_sub").mapInArrow(multiply, "a long, b long, similarity double")
+
+
+def similar_pairs(rows: DataFrame, id_: str, vector: str, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """(a, b, similarity): all pairs of rows with a < b and a cosine of at least the threshold. Where groups of equal vectors are large, ask for `similar_links`."""
+    nodes, members = distinct_vectors(rows, id_, vector)
+    members = shared_checkpoint(members)
+    between = similar_nodes(nodes, threshold, block)
+    x, y = (members.select(F.col("rep").alias(r), F.col("id").alias(i)) for r, i in (("a", "x"), ("b", "y")))
+    apart = between.join(x, "a").join(y, "b").select("x", "y", "similarity")
+    zero = nodes.where(~F.exists("v", lambda c: c != 0)).select(F.col("rep").alias("a")) if threshold > 0 else None
+    same = members.select(F.col("rep").alias("a"), F.col("id").alias("x")).join(members.select(F.col("rep").alias("a"), F.col("id").alias("y")), "a").where("x < y and " + str(threshold <= 1).lower())
+    same = same if zero is None else same.join(zero, "a", "left_anti")
+    out = apart.unionByName(same.select("x", "y", F.lit(1.0).alias("similarity")))
+    return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+
+
+def similar_links(rows: DataFrame, id_: str, vector: str, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """(a, b): links that connect what similar_pairs connects; copies are linked with one of them, and no group emits all its pairs."""
+    nodes, members = distinct_vectors(rows, id_, vector)
+    members = shared_checkpoint(members)
+    copies = members.where("rep <> id")
+    if threshold > 0:  # vectors without length are like nothing
+        copies = copies.join(nodes.where(F.exists("v", lambda c: c != 0)).select("rep"), "rep", "left_semi")
+    return similar_nodes(nodes, threshold, block, links_only=True).select("a", "b").unionByName(copies.select(F.col("rep").alias("a"), F.col("id").alias("b")))
+
+
+def packed(rows: DataFrame, id_: str, vector: str, block: int) -> DataFrame:
+    """(block, ids, data): unit vectors as doubles, packed where they are read, at most `block` to a row; block is a number of its own for each."""
+    x, norm = _unit(vector)
+    given = rows.where(F.col(id_).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_).cast("long").alias("id"), x.alias("x"))
+
+    def pack(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for a in range(0, batch.num_rows, block):
+                part = batch.slice(a, block)
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+                norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+                x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([x.tobytes()])], names=["ids", "data"])
+
+    return given.mapInArrow(pack, "ids binary, data binary")
 
 
 def components(edges: DataFrame, nodes: DataFrame, id_: str) -> DataFrame:
@@ -81,7 +230,7 @@ def components(edges: DataFrame, nodes: DataFrame, id_: str) -> DataFrame:
 
 def clustered(articles: DataFrame, threshold: float = THRESHOLD, id_: str = "id", vector: str = "embedding") -> DataFrame:
     """(id, component): articles without a similar one are their own component."""
-    return components(similar_pairs(articles, id_, vector, threshold), articles, id_)
+    return components(similar_links(articles, id_, vector, threshold), articles, id_)
 
 
 def validated(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -97,11 +246,16 @@ def validated(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def best_matches(articles: DataFrame, centroids: DataFrame, threshold: float = THRESHOLD, k: int = 1) -> DataFrame:
     """(id, story_id, similarity): the k most similar stories of each article at or over the threshold, ties to the smaller story.
 
-    Centroids are those of stories of a few days; they are taken in blocks as similar_pairs takes rows.
+    Centroids are those of stories of a few days, packed in blocks; articles are packed where they are read, and their
+    blocks are dealt over tasks whatever the number of centroids, so one block of centroids is no hot key.
     """
-    n = max(1, -(-centroids.count() // BLOCK))
-    c = _packed(centroids, "story_id", "centroid", BLOCK).select("block", F.col("ids").alias("r_ids"), F.col("data").alias("r_data"))
-    a = _packed(articles, "id", "embedding", BLOCK).select(F.col("ids").alias("l_ids"), F.col("data").alias("l_data")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")))
+    c = shared_checkpoint(packed(centroids, "story_id", "centroid", BLOCK))
+    n = max(1, c.count())
+    c = c.select(F.pmod(F.xxhash64("ids"), F.lit(n)).alias("slot"), F.col("ids").alias("r_ids"), F.col("data").alias("r_data"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>"))
+    c = c.withColumn("salt", salts)
+    a = packed(articles, "id", "embedding", BLOCK).select(F.col("ids").alias("l_ids"), F.col("data").alias("l_data"), F.pmod(F.xxhash64("ids"), F.lit(SALTS)).alias("salt"))
+    a = a.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")))
 
     def match(batches):
         import numpy as np
@@ -118,14 +272,14 @@ def best_matches(articles: DataFrame, centroids: DataFrame, threshold: float = T
                 keep = (s[i, j] >= threshold) & (s[i, j] > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(x[i][keep]), pa.array(y[order][j][keep]), pa.array(s[i, j][keep])], names=["id", "story_id", "similarity"])
 
-    found = a.join(c, "block").select("l_ids", "l_data", "r_ids", "r_data").mapInArrow(match, "id long, story_id long, similarity double")
+    found = a.join(c, ["slot", "salt"]).select("l_ids", "l_data", "r_ids", "r_data").mapInArrow(match, "id long, story_id long, similarity double")
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "story_id")
     return found.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= k).drop("_k")
 
 
 def merged_stories(stories: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(story_id, target): stories (story_id, centroid, n_articles) at or over the threshold become one, that with most articles (ties to the smaller id)."""
-    groups = components(similar_pairs(stories, "story_id", "centroid", threshold), stories, "story_id")
+    groups = components(similar_links(stories, "story_id", "centroid", threshold), stories, "story_id")
     sized = groups.join(stories.select("story_id", "n_articles"), "story_id")
     best = sized.groupBy("component").agg(F.max(F.struct("n_articles", (-F.col("story_id")).alias("s"))).alias("b"))
     return sized.join(best, "component").select("story_id", (-F.col("b.s")).alias("target"))
@@ -140,3 +294,47 @@ def attempts(singles: DataFrame, promote_at: int = 3) -> DataFrame:
     """Adds one attempt to singletons (id, attempts); those that reach the limit become stories of their own."""
     n = F.col("attempts") + 1
     return singles.select("id", n.alias("attempts"), F.when(n >= promote_at, "promoted").otherwise("pending").alias("state"))
+
+
+def placed(articles: DataFrame, stories: DataFrame, as_of: Column, threshold: float = THRESHOLD, hours: float = 168, new_id: Callable[[Column], Column] = lambda smallest: smallest) -> DataFrame:
+    """(id, story_id, how) of a batch of articles (id, embedding, weight) against stories (story_id, centroid, last_published).
+
+    `matched`: an article joins its nearest story of the last `hours`. The rest
+    is clustered; members that are not near their cluster's centroid leave it.
+    A cluster of two or more whose own centroid is near a story joins that one
+    (`duplicate`), else it is a new story (`created`), named by its smallest
+    article id and so the same whenever the batch is run again. Others stay
+    `single`, without a story.
+    """
+    recent = shared_checkpoint(stories.where(hours_between(F.col("last_published"), as_of) <= hours).select("story_id", "centroid"))
+    matched = shared_checkpoint(best_matches(articles.select("id", "embedding"), recent, threshold).select("id", "story_id"))
+    rest = shared_checkpoint(articles.join(matched.select("id"), "id", "left_anti").select("id", "embedding", "weight"))
+    kept = validated(rest.join(clustered(rest, threshold), "id"), threshold)
+    kept = shared_checkpoint(kept.withColumn("_kept", F.count("component").over(Window.partitionBy("component"))).withColumn("component", F.when(F.col("_kept") > 1, F.col("component"))).drop("_kept"))
+    members = kept.where("component is not null")
+    centroids = coverage.weighted_centroid(members, "component", "embedding", "weight")
+    twins = best_matches(centroids.select(F.col("component").alias("id"), F.col("centroid").alias("embedding")), recent, threshold).select(F.col("id").alias("component"), F.col("story_id").alias("_twin"))
+    named = members.groupBy("component").agg(new_id(F.min("id")).alias("_new")).join(twins, "component", "left")
+    out = kept.select("id", "component").join(named, "component", "left")
+    how = F.when(F.col("component").isNull(), "single").when(F.col("_twin").isNotNull(), "duplicate").otherwise("created")
+    out = out.select("id", F.coalesce("_twin", "_new").alias("story_id"), how.alias("how"))
+    return matched.select("id", "story_id", F.lit("matched").alias("how")).unionByName(out)
+
+
+def recentred(stories: DataFrame, members: DataFrame) -> DataFrame:
+    """stories (story_id, centroid, last_published) with the centroids of their members (story_id, embedding, weight, published_at) anew; of one member or none they stay as they are. New stories are added."""
+    c = coverage.weighted_centroid(members, "story_id", "embedding", "weight").select("story_id", F.col("centroid").alias("_centroid"))
+    n = members.groupBy("story_id").agg(F.count(F.lit(1)).alias("_n"), F.max("published_at").alias("_last"))
+    out = stories.join(c.join(n, "story_id"), "story_id", "full")
+    moved = F.col("centroid").isNull() | (F.col("_n") > 1)
+    return out.select("story_id", F.when(moved, F.col("_centroid")).otherwise(F.col("centroid")).alias("centroid"), F.greatest("last_published", "_last").alias("last_published"))
+
+
+def batch_step(articles: DataFrame, members: DataFrame, stories: DataFrame, as_of: Column, threshold: float = THRESHOLD, hours: float = 168) -> tuple[DataFrame, DataFrame]:
+    """(members, stories) after one more batch: articles (id, embedding, weight, published_at) that have a story already are left as they are, so a batch that comes again changes nothing. Only stories that gain articles get new centroids."""
+    new = articles.join(members.select("id"), "id", "left_anti")
+    found = placed(new.select("id", "embedding", "weight"), stories, as_of, threshold, hours).where("story_id is not null").select("id", "story_id")
+    gained = shared_checkpoint(new.join(found, "id").select("id", "story_id", "embedding", "weight", "published_at"))
+    all_ = members.select(gained.columns).unionByName(gained)
+    touched = all_.join(gained.select("story_id").distinct(), "story_id", "left_semi")
+    return shared_checkpoint(all_), shared_checkpoint(recentred(stories, touched))

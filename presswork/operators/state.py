@@ -44,12 +44,12 @@ def backoff_seconds(retries: Column, jitter: Column | None = None, base: float =
     return plain if jitter is None else plain * (1 + 0.25 * jitter)
 
 
-def after_failure(rows: DataFrame, stage: str, as_of: Column) -> DataFrame:
-    """Items (id, retries) after a failure: next attempt, or to the dead letters when the stage's budget is spent."""
+def after_failure(rows: DataFrame, stage: str, as_of: Column, *more: str) -> DataFrame:
+    """Items (id, retries) after a failure: next attempt, or to the dead letters when the stage's budget is spent; `more` are columns that stay."""
     n = F.col("retries") + 1
     dead = n >= BUDGETS[stage]
     wait = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), backoff_seconds(n).cast("decimal(18,6)"))
-    return rows.select("id", n.alias("retries"), F.when(dead, "dead_letter").otherwise("retry").alias("state"), F.when(~dead, as_of + wait).alias("next_attempt_at"))
+    return rows.select("id", n.alias("retries"), F.when(dead, "dead_letter").otherwise("retry").alias("state"), F.when(~dead, as_of + wait).alias("next_attempt_at"), *more)
 
 
 def claimable(rows: DataFrame, as_of: Column, ttl_minutes: int, n: int) -> DataFrame:
@@ -73,11 +73,11 @@ def ema(durations: Column, alpha: float = 0.4) -> Column:
 
 
 def recommended_batch(mean: Column, previous: Column, target: float, least: int, most: int) -> Column:
-    """(batch, reason): shrinks by target over mean, grows by a quarter when the mean is 60 % of the target or less."""
+    """(batch, reason): shrinks by target over mean, grows by a quarter when the mean is 60 % of the target or less; what stays is under budget from 60 % on, else at its ceiling."""
     grown = F.least(F.lit(most), F.ceil(previous * 1.25).cast("int"))
     shrunk = F.greatest(F.lit(least), F.floor(previous * target / mean).cast("int"))
     batch = F.when(mean.isNull(), previous).when(mean > target, shrunk).when((mean <= target * 0.6) & (previous < most), grown).otherwise(previous)
-    reason = F.when(mean.isNull(), "no_history").when(mean > target, "over_budget").when((mean <= target * 0.6) & (previous < most), F.when(grown >= most, "at_ceiling").otherwise("under_budget")).otherwise("steady")
+    reason = F.when(mean.isNull(), "no_history").when(mean > target, "over_budget").when((mean <= target * 0.6) & (previous < most), F.when(grown >= most, "at_ceiling").otherwise("under_budget")).when(mean >= target * 0.6, "under_budget").otherwise("at_ceiling")
     return F.struct(batch.cast("int").alias("batch"), reason.alias("reason"))
 
 
@@ -99,6 +99,13 @@ def backlog(rows: DataFrame, as_of: Column, time: str = "created_at") -> DataFra
     )
 
 
+def audited(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(field, changed, n, example): for each field how many rows (key, field, stored_<field>) differ from what is stored, null-safe; example is the smallest key that does."""
+    each = F.array(*[F.struct(F.lit(f).alias("field"), (~F.col(f).eqNullSafe(F.col(f"stored_{f}"))).alias("c")) for f in fields])
+    flat = rows.select(key, F.inline(each))
+    return flat.groupBy("field").agg(F.count_if("c").alias("changed"), F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("c"), F.col(key))).alias("example"))
+
+
 def legacy_state(review_status: Column, headline: Column, has_summary: Column) -> Column:
     """(assembly_status, publication_status, review_status, review_reasons) of a story from before it had them."""
 

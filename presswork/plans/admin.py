@@ -62,19 +62,18 @@ def sliding_viewers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""{METRICS} SELECT count(*) FILTER (status = 'draft') AS unembedded, count(*) FILTER (status <> 'draft' AND m.story_id IS NULL) AS unclustered, count(*) FILTER (m.story_id IS NOT NULL AND status = 'needs_review') AS review_queue,
-  round(greatest(max(CASE WHEN status <> 'published' THEN {age('first_published')} * 60 END), 0), 6) AS oldest_minutes FROM sto LEFT JOIN m0 m USING (story_id)"""
+    f"""{METRICS}, x AS (SELECT status <> 'draft' AS e, m.story_id IS NOT NULL AND status <> 'draft' AS c, m.story_id IS NOT NULL AND status <> 'draft' AND s.story_id % 3 > 0 AS a, status = 'published' AS r, first_published FROM sto s LEFT JOIN m0 m USING (story_id))
+SELECT count(*) FILTER (NOT e) AS unembedded, count(*) FILTER (e AND NOT c) AS unclustered, count(*) FILTER (c AND NOT a) AS unassembled, count(*) FILTER (a AND NOT r) AS review_queue, round(greatest(max(CASE WHEN NOT a THEN {age('first_published')} * 60 END), 0), 6) AS oldest_minutes FROM x"""
 )
 def backlog_gauges(spark: SparkSession, sf: str) -> DataFrame:
+    """Drafts wait for vectors, stories without articles for clusters, every third of the rest for assembly, what is not published for review."""
     has = views.articles(spark, sf).select("story_id").distinct().withColumn("has", F.lit(True))
     s = views.stories(spark, sf).join(has, "story_id", "left")
-    old = F.when(F.col("status") != "published", hours_between(F.col("first_published"), now()) * 60)
-    return s.agg(
-        F.count_if(F.col("status") == "draft").alias("unembedded"),
-        F.count_if((F.col("status") != "draft") & F.col("has").isNull()).alias("unclustered"),
-        F.count_if(F.col("has").isNotNull() & (F.col("status") == "needs_review")).alias("review_queue"),
-        F.round(F.greatest(F.max(old), F.lit(0.0)), 6).alias("oldest_minutes"),
-    )
+    embedded = F.col("status") != "draft"
+    clustered = embedded & F.col("has").isNotNull()
+    flags = {"embedded": embedded, "clustered": clustered, "assembled": clustered & (F.col("story_id") % 3 > 0), "reviewed": F.col("status") == "published"}
+    out = state.backlog(s.withColumns(flags), now(), "first_published")
+    return out.withColumn("oldest_minutes", F.round("oldest_minutes", 6))
 
 
 @query(
@@ -107,9 +106,9 @@ def review_stats(spark: SparkSession, sf: str) -> DataFrame:
 def retry_schedule(spark: SparkSession, sf: str) -> DataFrame:
     """Failures to their next attempt or the dead letters."""
     e = views.table(spark, sf, "events").where("event_type = 'error'")
-    rows = e.select(F.col("event_id").alias("id"), (F.col("event_id") % 7).alias("retries"), "ts")
-    out = state.after_failure(rows, "embed", F.col("ts"))
-    return out.join(e.select(F.col("event_id").alias("id"), "user_id"), "id").select(F.col("user_id").alias("id"), (F.col("retries") - 1).alias("retries"), "state", stamp(F.col("next_attempt_at")).alias("next_attempt_at"), F.col("id").alias("event_id"))
+    rows = e.select(F.col("event_id").alias("id"), (F.col("event_id") % 7).alias("retries"), "ts", "user_id")
+    out = state.after_failure(rows, "embed", F.col("ts"), "user_id")
+    return out.select(F.col("user_id").alias("id"), (F.col("retries") - 1).alias("retries"), "state", stamp(F.col("next_attempt_at")).alias("next_attempt_at"), F.col("id").alias("event_id"))
 
 
 @query(
@@ -125,7 +124,7 @@ def claimable_items(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     """WITH RECURSIVE d AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_type = 'purchase'), l AS (SELECT user_id, list(value ORDER BY k DESC) AS v FROM d WHERE k <= 5 GROUP BY user_id),
 r AS (SELECT user_id, v, 1 AS i, v[1] AS e FROM l UNION ALL SELECT user_id, v, i + 1, 0.4 * v[i + 1] + 0.6 * e FROM r WHERE i < len(v)), m AS (SELECT user_id, e FROM r WHERE i = len(v))
-SELECT user_id, round(e, 6) AS ema, CASE WHEN e > 60 THEN greatest(10, floor(100 * 60.0 / e))::INT WHEN e <= 36 THEN least(120, ceil(100 * 1.25))::INT ELSE 100 END AS batch FROM m"""
+SELECT user_id, round(e, 6) AS ema, CASE WHEN e > 60 THEN greatest(10, floor(100 * 60.0 / e))::INT WHEN e <= 36 THEN least(120, ceil(100 * 1.25))::INT ELSE 100 END AS batch, CASE WHEN e > 60 THEN 'over_budget' WHEN e <= 36 THEN CASE WHEN ceil(100 * 1.25) >= 120 THEN 'at_ceiling' ELSE 'under_budget' END ELSE 'under_budget' END AS reason FROM m"""
 )
 def batch_tuning(spark: SparkSession, sf: str) -> DataFrame:
     """Exponential mean of the last five durations and the batch it recommends."""
@@ -133,7 +132,7 @@ def batch_tuning(spark: SparkSession, sf: str) -> DataFrame:
     k = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
     last = e.withColumn("k", k).where("k <= 5").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), "value"))).alias("l"))
     m = last.withColumn("ema", state.ema(F.transform("l", lambda x: x["value"])))
-    return m.select("user_id", F.round("ema", 6).alias("ema"), state.recommended_batch(F.col("ema"), F.lit(100), 60.0, 10, 120)["batch"].alias("batch"))
+    return m.select("user_id", F.round("ema", 6).alias("ema"), state.recommended_batch(F.col("ema"), F.lit(100), 60.0, 10, 120).alias("r")).select("user_id", "ema", "r.batch", "r.reason")
 
 
 @query(
@@ -170,6 +169,18 @@ def assembly_audit(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("story_id", (~F.col("status").eqNullSafe(F.col("stored"))).alias("status_changed"), (~F.col("topic").eqNullSafe(F.col("stored_topic"))).alias("topic_changed"))
 
 
+_AUDIT = f"{SQL}, a AS (SELECT story_id, status IS DISTINCT FROM CASE WHEN story_id % 6 = 0 THEN NULL ELSE status END AS s, topic IS DISTINCT FROM CASE WHEN story_id % 4 = 0 THEN 'politics' ELSE topic END AS t, region IS DISTINCT FROM CASE WHEN story_id % 5 = 0 THEN 'uk' ELSE region END AS r FROM sto)"
+
+
+@query(f"{_AUDIT} SELECT f AS field, sum(c::INT)::BIGINT AS changed, count(*) AS n, min(story_id) FILTER (c) AS example FROM (SELECT story_id, unnest(['status', 'topic', 'region']) AS f, unnest([s, t, r]) AS c FROM a) GROUP BY f")
+def audit_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How many stories each field would change of, and the first of them."""
+    k = F.col("story_id")
+    s = views.stories(spark, sf)
+    stored = {"status": F.when(k % 6 != 0, F.col("status")), "topic": F.when(k % 4 == 0, "politics").otherwise(F.col("topic")), "region": F.when(k % 5 == 0, "uk").otherwise(F.col("region"))}
+    return state.audited(s.withColumns({f"stored_{c}": v for c, v in stored.items()}), "story_id", list(stored))
+
+
 @query(
     """SELECT user_id, round(100.0 * avg(CAST(json_extract_string(props, '$.k') AS INT)) / 100, 6) AS mean_k, round(max(value) FILTER (event_type = 'purchase'), 6) AS top, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY user_id"""
 )

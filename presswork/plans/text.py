@@ -69,6 +69,23 @@ def public_urls(spark: SparkSession, sf: str) -> DataFrame:
     return views.table(spark, sf, "pages").select("page_id", tx.is_public_url(F.col("url")).alias("is_public"))
 
 
+_NUMBER = "(page_id * 2654435761 % 4294967296)"
+_PRIVATE = " OR ".join(f"n BETWEEN {a} AND {b}" for a, b in [(0, 2**24 - 1), (10 * 2**24, 11 * 2**24 - 1), (127 * 2**24, 128 * 2**24 - 1), (169 * 2**24 + 254 * 2**16, 169 * 2**24 + 255 * 2**16 - 1), (172 * 2**24 + 16 * 2**16, 172 * 2**24 + 32 * 2**16 - 1), (192 * 2**24 + 168 * 2**16, 192 * 2**24 + 169 * 2**16 - 1), (100 * 2**24 + 64 * 2**16, 100 * 2**24 + 128 * 2**16 - 1)])
+
+
+@query(f"SELECT page_id, CASE WHEN page_id % 5 = 4 THEN n % 16777216 + 2130706432 ELSE n END AS address, NOT (page_id % 5 = 4 OR {_PRIVATE}) AS is_public FROM (SELECT page_id, {_NUMBER} AS n FROM pages)")
+def numeric_hosts(spark: SparkSession, sf: str) -> DataFrame:
+    """Hosts given as one number, its parts in hexadecimal or octal, or short, one in five of them local: as an address by page."""
+    k, n = F.col("page_id"), F.expr(_NUMBER)
+    n = F.when(k % 5 == 4, n % 16777216 + 2130706432).otherwise(n)
+    octets = [F.shiftright(n, b) % 256 for b in (24, 16, 8, 0)]
+    hexed = F.concat_ws(".", *[F.concat(F.lit("0X"), F.conv(o.cast("string"), 10, 16)) for o in octets])
+    octal = F.concat_ws(".", *[F.concat(F.lit("0"), F.conv(o.cast("string"), 10, 8)) for o in octets])
+    short = F.concat_ws(".", octets[0].cast("string"), (n % 16777216).cast("string"))
+    host = F.when(k % 4 == 0, n.cast("string")).when(k % 4 == 1, hexed).when(k % 4 == 2, octal).otherwise(short)
+    return views.table(spark, sf, "pages").select("page_id", n.alias("address"), tx.is_public_url(F.concat(F.lit("http://"), host, F.lit("/x"))).alias("is_public"))
+
+
 _SAMPLE = "CASE doc_id % 12 WHEN 0 THEN 'NASA research on space' WHEN 1 THEN 'Bank of England and inflation' WHEN 2 THEN 'Films at a festival in Toronto' WHEN 3 THEN 'Paid maids in Spain' WHEN 4 THEN 'Wildfire and storm in Europe' WHEN 5 THEN 'The summit of the G20' WHEN 6 THEN 'AI chip makers' WHEN 7 THEN 'A vaccine for the UK now' ELSE '' END || ' ' || text"
 
 
@@ -158,3 +175,35 @@ def merged_stories(spark: SparkSession, sf: str) -> DataFrame:
     n = views.table(spark, sf, "embeddings").groupBy(F.col("label").cast("long").alias("story_id")).agg(F.count(F.lit(1)).alias("n_articles"))
     m = cluster.merged_stories(label_centroids(spark, sf).join(n, "story_id"), 0.1)
     return m.select(F.col("story_id").cast("int").alias("label"), F.col("target").cast("int").alias("target"))
+
+
+_SIM = lambda a, b: f"list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[])"
+
+
+def _means(rows: str, key: str) -> str:
+    return f"(SELECT {key}, list(m ORDER BY i) AS c FROM (SELECT {key}, i, avg(x) AS m FROM (SELECT {key}, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM {rows}) GROUP BY ALL) GROUP BY {key})"
+
+
+@query(
+    f"""WITH RECURSIVE {_CENTROIDS}, rc AS (SELECT label::BIGINT AS story_id, c FROM c WHERE label < 4),
+ms AS (SELECT vec_id, story_id FROM (SELECT vec_id, story_id, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, story_id) AS k FROM (SELECT vec_id, story_id, {_SIM('embedding', 'c')} AS s FROM embeddings CROSS JOIN rc) WHERE s >= 0.35) WHERE k = 1),
+re AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM ms)),
+e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM re a JOIN re b ON a.vec_id <> b.vec_id WHERE {_SIM('a.embedding', 'b.embedding')} >= 0.35),
+r AS (SELECT vec_id AS node, vec_id AS root FROM re UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.node),
+g AS (SELECT node AS vec_id, min(root) AS g FROM r GROUP BY node),
+gm AS (SELECT vec_id, g, embedding, count(*) OVER (PARTITION BY g) AS n FROM g JOIN re USING (vec_id)),
+k AS (SELECT vec_id, g, embedding FROM gm JOIN {_means('gm', 'g')} m USING (g) WHERE n > 1 AND {_SIM('embedding', 'm.c')} >= 0.35),
+k2 AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM k) WHERE n > 1),
+du AS (SELECT g, story_id FROM (SELECT g, story_id, row_number() OVER (PARTITION BY g ORDER BY s DESC, story_id) AS k FROM (SELECT g, story_id, {_SIM('m.c', 'rc.c')} AS s FROM {_means('k2', 'g')} m CROSS JOIN rc) WHERE s >= 0.35) WHERE k = 1),
+nw AS (SELECT g, min(vec_id) + 1000000 AS new_id FROM k2 GROUP BY g)
+SELECT vec_id, story_id, 'matched' AS how FROM ms UNION ALL
+SELECT re.vec_id, coalesce(du.story_id, nw.new_id) AS story_id, CASE WHEN k2.g IS NULL THEN 'single' WHEN du.g IS NOT NULL THEN 'duplicate' ELSE 'created' END AS how FROM re LEFT JOIN k2 USING (vec_id) LEFT JOIN du ON du.g = k2.g LEFT JOIN nw ON nw.g = k2.g"""
+)
+def placed_articles(spark: SparkSession, sf: str) -> DataFrame:
+    """All vectors as a batch against five stories, one of them too old to take articles."""
+    age = F.when(F.col("story_id") < 4, 24).otherwise(200)
+    as_of = F.lit(views.AS_OF).cast("timestamp_ntz")
+    stories = label_centroids(spark, sf).where("story_id < 5").withColumn("last_published", as_of - F.make_dt_interval(F.lit(0), age))
+    batch = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.lit(1.0).alias("weight"))
+    out = cluster.placed(batch, stories, as_of, 0.35, new_id=lambda i: i + 1_000_000)
+    return out.select(F.col("id").alias("vec_id"), "story_id", "how")

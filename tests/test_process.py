@@ -87,7 +87,7 @@ def test_state_transitions(spark):
     assert [one(state.backoff_seconds(F.lit(n))) for n in (0, 3, 9)] == [60.0, 480.0, 3600.0] and one(state.backoff_seconds(F.lit(0), F.lit(1.0))) == 75.0
     assert one(state.ema(F.array(F.lit(10.0), F.lit(20.0)))) == pytest.approx(14.0)
     b = lambda m, p: tuple(one(state.recommended_batch(F.lit(m).cast("double"), F.lit(p), 15.0, 10, 100)))
-    assert [b(None, 50), b(30.0, 50), b(5.0, 50), b(5.0, 90), b(12.0, 50)] == [(50, "no_history"), (25, "over_budget"), (63, "under_budget"), (100, "at_ceiling"), (50, "steady")]
+    assert [b(None, 50), b(30.0, 50), b(5.0, 50), b(5.0, 90), b(12.0, 50), b(9.0, 100), b(5.0, 100)] == [(50, "no_history"), (25, "over_budget"), (63, "under_budget"), (100, "at_ceiling"), (50, "under_budget"), (100, "under_budget"), (100, "at_ceiling")]
     rows = spark.createDataFrame([(1, 3, "failed"), (2, 4, "failed")], "id long, version int, state string")
     expected = spark.createDataFrame([(1, 3), (2, 3)], "id long, version int")
     assert {r.id: (r.version, r.state) for r in state.requeued(rows, expected).collect()} == {1: (4, "pending"), 2: (4, "failed")}

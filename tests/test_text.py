@@ -32,7 +32,7 @@ def test_canonical_urls(spark, url, expected):
     assert one(spark, tx.canonical_url(F.lit(url))) == expected
 
 
-@pytest.mark.parametrize("url,public", [("https://a.com/x", True), ("http://localhost/x", False), ("http://10.1.2.3/", False), ("http://172.20.0.1", False), ("http://172.32.0.1", True), ("http://[::ffff:127.0.0.1]/", False), ("http://[fd00::1]/", False), ("ftp://a.com", False), ("http://192.168.1.1:80/a", False)])
+@pytest.mark.parametrize("url,public", [("https://a.com/x", True), ("http://localhost/x", False), ("http://10.1.2.3/", False), ("http://172.20.0.1", False), ("http://172.32.0.1", True), ("http://[::ffff:127.0.0.1]/", False), ("http://[fd00::1]/", False), ("ftp://a.com", False), ("http://192.168.1.1:80/a", False), ("http://2130706433/", False), ("http://0x7f000001/", False), ("http://0177.0.0.1/", False), ("http://127.1/", False), ("http://0X7F.1.", False), ("http://134744072/", True), ("http://8.8.8.8/", True), ("http://1.2.3.4.5/", False), ("http://256.1.1.1/", False), ("http://10.example/", True), ("http://user@0/", False), ("http://4294967296/", False)])
 def test_public_urls(spark, url, public):
     assert one(spark, tx.is_public_url(F.lit(url))) is public
 

@@ -16,13 +16,19 @@ def spectrum(articles: DataFrame, key: str = "story_id") -> DataFrame:
     return counted.withColumn("percentage", percent(F.col("n"), whole))
 
 
+def _bias_counts() -> list[Column]:
+    return [F.count_if(F.col("bias") == b).alias(f"n{i}") for i, b in enumerate(BIASES)]
+
+
+def _spectrum() -> Column:
+    whole = sum((F.col(f"n{i}") for i in range(1, len(BIASES))), F.col("n0"))
+    parts = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(b).alias("bias"), percent(F.col(f"n{i}"), whole).alias("percentage"), F.col(f"n{i}").alias("n")) for i, b in enumerate(BIASES)])
+    return F.filter(parts, lambda s: s["n"] > 0)
+
+
 def spectrum_arrays(articles: DataFrame, key: str = "story_id") -> DataFrame:
     """(key, spectrum): array of (ordinal, bias, percentage) from far left to far right, from one grouped pass."""
-    counts = [F.count_if(F.col("bias") == b).alias(f"n{i}") for i, b in enumerate(BIASES)]
-    wide = articles.groupBy(key).agg(*counts)
-    whole = sum((F.col(f"n{i}") for i in range(1, 7)), F.col("n0"))
-    parts = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(b).alias("bias"), percent(F.col(f"n{i}"), whole).alias("percentage"), F.col(f"n{i}").alias("n")) for i, b in enumerate(BIASES)])
-    return wide.select(key, F.filter(parts, lambda s: s["n"] > 0).alias("spectrum"))
+    return articles.groupBy(key).agg(*_bias_counts()).select(key, _spectrum().alias("spectrum"))
 
 
 def side(spectrum_: Column, biases: list[str]) -> Column:
@@ -43,24 +49,37 @@ def diversity_factor(spectrum_: Column) -> Column:
     return F.when(F.size(kept) > 1, 0.5 + 0.5 * entropy / F.ln(F.size(kept).cast("double"))).otherwise(0.5)
 
 
-def metrics(articles: DataFrame, as_of: Column, key: str = "story_id") -> DataFrame:
-    """One grouped pass: counts, velocity, diversity of owners, duration, and impact with what it is made of."""
+def _measures(as_of: Column) -> list[Column]:
     age = hours_between(F.col("published_at"), as_of)
-    base = articles.groupBy(key).agg(
+    return [
         F.count(F.lit(1)).alias("n_articles"),
         F.count_distinct("source_id").alias("n_sources"),
-        F.count_distinct("ownership").alias("source_diversity"),
+        F.size(F.collect_set("ownership")).cast("long").alias("source_diversity"),  # of a closed vocabulary: a second distinct count would give every row twice
         F.count_if(age <= 24).alias("articles_24h"),
         F.count_if(age <= 48).alias("articles_48h"),
         F.count_if(age <= 168).alias("articles_7d"),
         F.min("published_at").alias("first_article"),
         F.max("published_at").alias("last_article"),
-    )
+    ]
+
+
+def _measured(base: DataFrame) -> DataFrame:
     hours = F.when(F.col("n_articles") < 2, 0.0).otherwise(hours_between(F.col("first_article"), F.col("last_article")))
     out = base.withColumn("coverage_hours", hours)
     return out.withColumn("impact_score", impact(F.col("n_sources"), F.col("articles_24h"), F.col("coverage_hours"), F.col("source_diversity")))
 
 
+def metrics(articles: DataFrame, as_of: Column, key: str = "story_id") -> DataFrame:
+    """One grouped pass: counts, velocity, diversity of owners, duration, and impact with what it is made of."""
+    return _measured(articles.groupBy(key).agg(*_measures(as_of)))
+
+
+def facts(articles: DataFrame, as_of: Column, key: str = "story_id") -> DataFrame:
+    """metrics and spectrum_arrays of each key from the same pass."""
+    base = articles.groupBy(key).agg(*_measures(as_of), *_bias_counts())
+    return _measured(base.withColumn("spectrum", _spectrum()).drop(*[f"n{i}" for i in range(len(BIASES))]))
+
+
 def impact(sources: Column, articles_24h: Column, hours: Column, diversity: Column) -> Column:
     one = F.lit(1.0)
     return half_up(100 * (0.3 * F.least(sources / 20, one) + 0.3 * F.least(articles_24h / 10, one) + 0.2 * F.least(hours / 168, one) + 0.2 * F.least(diversity / 6, one)))

@@ -93,3 +93,11 @@ def backfill(owner: Column, current: Column, proposed: Column, overwrite: bool,
     same = F.coalesce(current == proposed, F.lit(False))
     action = F.when(owner.isNull(), "insert").when(same, "confirmed").otherwise("link" if overwrite else "mismatch")
     return F.struct(action.alias("action"), F.when(owner.isNull() | same, confidence).otherwise("low").alias("confidence"))
+
+
+def buckets(sources: DataFrame, owners: DataFrame) -> DataFrame:
+    """(owner_id, owner, n, members, place): sources' names by owner, the largest group first, then by the owner's name. Sources without an owner are one group with neither id nor place."""
+    named = sources.select("source_id", "name", "owner_id").join(owners.select("owner_id", F.col("name").alias("owner")), "owner_id", "left")
+    g = named.groupBy("owner_id").agg(F.first("owner").alias("owner"), F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("name", "source_id"))), lambda x: x["name"]).alias("members"))
+    place = F.row_number().over(Window.partitionBy(F.col("owner_id").isNull()).orderBy(F.desc("n"), "owner"))
+    return g.withColumn("place", F.when(F.col("owner_id").isNotNull(), place))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..enums import BIASES, MILESTONES
-from ..functions.basics import percent
+from ..functions.basics import half_up, hours_between, percent
 
 SHIFT, MOST = 15, 20
 
@@ -50,3 +50,9 @@ def drift(timeline: DataFrame, key: str, least: int = 3) -> DataFrame:
     first = F.row_number().over(Window.partitionBy(key, "published_at", "n_sources").orderBy("place"))
     points = timeline.withColumn("_k", first).where("_k = 1").drop("_k")
     return points.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key))).where(F.col("_n") >= least).drop("_n")
+
+
+def spans(articles: DataFrame, key: str) -> DataFrame:
+    """(key, total_articles, span_hours): hours between the first and the last article, rounded."""
+    g = articles.groupBy(key).agg(F.count(F.lit(1)).alias("total_articles"), half_up(hours_between(F.min("published_at"), F.max("published_at"))).alias("span_hours"))
+    return g.select(key, "total_articles", "span_hours")

@@ -11,6 +11,9 @@ from ..functions.basics import half_up, hours_between, instant, stamp
 from ..operators import coverage as cov
 from ..operators import state
 from ..registry import query
+from ..streaming.events import dwell_bucket, read_through
+from ..streaming.stateful import health_after
+from ..streaming.trending import pane_of, panes, viewers
 from ..views import AS_OF, SQL
 from ._sql import METRICS, NOW, age
 from .stories import now
@@ -35,13 +38,13 @@ def ingest_breakdown(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH e AS (SELECT * FROM events WHERE event_type IN ('error', 'signup') ORDER BY ts DESC, event_id DESC LIMIT 1000), s AS (SELECT *, user_id % 5 AS stage FROM e)
-SELECT stage, event_type, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen, arg_max(event_id, (ts, event_id)) AS newest FROM s GROUP BY stage, event_type"""
+SELECT stage, event_type, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen, arg_max(event_id, (ts, event_id)) AS newest, arg_max(user_id, (ts, event_id)) AS run, arg_max(props, (ts, event_id)) AS payload FROM s GROUP BY stage, event_type"""
 )
 def top_errors(spark: SparkSession, sf: str) -> DataFrame:
     """Warnings and errors among the newest thousand by stage: the limit is the report's own."""
     e = views.table(spark, sf, "events").where("event_type in ('error', 'signup')").orderBy(F.desc("ts"), F.desc("event_id")).limit(1000)
     g = e.groupBy((F.col("user_id") % 5).alias("stage"), "event_type")
-    return g.agg(F.count(F.lit(1)).alias("n"), stamp(F.min("ts")).alias("first_seen"), stamp(F.max("ts")).alias("last_seen"), F.max(F.struct("ts", "event_id")).alias("m")).select("stage", "event_type", "n", "first_seen", "last_seen", F.col("m.event_id").alias("newest"))
+    return g.agg(F.count(F.lit(1)).alias("n"), stamp(F.min("ts")).alias("first_seen"), stamp(F.max("ts")).alias("last_seen"), F.max(F.struct("ts", "event_id", "user_id", "props")).alias("m")).select("stage", "event_type", "n", "first_seen", "last_seen", F.col("m.event_id").alias("newest"), F.col("m.user_id").alias("run"), F.col("m.props").alias("payload"))
 
 
 @query("SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total, count(DISTINCT user_id) AS users FROM events GROUP BY ALL")
@@ -56,11 +59,38 @@ SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count(DISTINCT user_id)
 )
 def sliding_viewers(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct viewers in six hours, every quarter of an hour."""
-    e = views.table(spark, sf, "events").where("event_type in ('view', 'click')").select("user_id", "ts").distinct()
+    # windows begin and end at quarters, so a viewer counts once in each before the quarter is given to its 24 windows
+    quarter = pane_of(F.col("ts")).cast("timestamp_ntz")
+    e = views.table(spark, sf, "events").where("event_type in ('view', 'click')").select("user_id", quarter.alias("ts")).distinct()
     w = e.groupBy(F.window("ts", "6 hours", "15 minutes").alias("w")).agg(F.count_distinct("user_id").alias("viewers"))
     return w.select(stamp(F.col("w.start")).alias("window_start"), "viewers").where("window_start >= '2024-01-01 00:00:00' and window_start < '2024-02-01 00:00:00'")
 
 
+@query(
+    f"""{SQL} SELECT audience AS story_id, count(DISTINCT session_id) AS viewers FROM eng WHERE action IN ('view', 'read_through') AND created_at <= {NOW} AND created_at >= {NOW} - INTERVAL 6 HOUR GROUP BY audience"""
+)
+def pane_viewers(spark: SparkSession, sf: str) -> DataFrame:
+    """Viewers of the last six hours from panes of a quarter, as the stream keeps them."""
+    e = views.engagement(spark, sf).select(F.col("audience").alias("story_id"), "session_id", "action", F.col("created_at").alias("ts"))
+    return viewers(panes(e), F.lit(views.AS_OF).cast("timestamp"))
+
+
+@query(
+    f"""WITH e AS (SELECT user_id % 50 AS source_id, epoch_us(ts) // 1000 - 1704067200000 AS ms, event_id, event_type IN ('error', 'click', 'signup') AS failed FROM events),
+a AS (SELECT *, sum((NOT failed)::INT) OVER w AS successes, lead(ms) OVER w AS nxt FROM e WINDOW w AS (PARTITION BY source_id ORDER BY ms, event_id)),
+b AS (SELECT *, sum(failed::INT) OVER (PARTITION BY source_id, successes ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS failures FROM a),
+c AS (SELECT *, max((failures >= 10 AND successes < 20)::INT) OVER (PARTITION BY source_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) = 1 AS off, CASE WHEN failed THEN ms + 60000 * least(pow(2, least(failures, 8)), 240)::BIGINT END AS until FROM b)
+SELECT source_id, ms, event_id, failures::INT AS failures, successes::BIGINT AS successes, off AS auto_disabled, until AS cooldown_until, CASE WHEN failed THEN 'failed' ELSE 'ok' END AS told FROM c UNION ALL
+SELECT source_id, until, NULL, failures, successes, off, NULL, 'eligible' FROM c WHERE until IS NOT NULL AND NOT off AND (nxt IS NULL OR nxt >= until)"""
+)
+def source_transitions(spark: SparkSession, sf: str) -> DataFrame:
+    """Health of sources after each fetch, and the ends of their cooldowns: what the stream with timers tells."""
+    e = views.table(spark, sf, "events")
+    h = health_after(e.select((F.col("user_id") % 50).alias("source_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("event_type").isin("error", "click", "signup").alias("failed")))
+    start = F.unix_millis(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return h.withColumns({"ms": F.col("ms") - start, "cooldown_until": F.col("cooldown_until") - start})
+
+
 @query(
     f"""{METRICS}, x AS (SELECT status <> 'draft' AS e, m.story_id IS NOT NULL AND status <> 'draft' AS c, m.story_id IS NOT NULL AND status <> 'draft' AND s.story_id % 3 > 0 AS a, status = 'published' AS r, first_published FROM sto s LEFT JOIN m0 m USING (story_id))
 SELECT count(*) FILTER (NOT e) AS unembedded, count(*) FILTER (e AND NOT c) AS unclustered, count(*) FILTER (c AND NOT a) AS unassembled, count(*) FILTER (a AND NOT r) AS review_queue, round(greatest(max(CASE WHEN NOT a THEN {age('first_published')} * 60 END), 0), 6) AS oldest_minutes FROM x"""
@@ -146,11 +176,11 @@ def in_flight(spark: SparkSession, sf: str) -> DataFrame:
     return g.where("s is not null and (d is null or s > d)").select("user_id")
 
 
-@query("SELECT event_id, CASE WHEN value < 5 THEN 0 WHEN value < 30 THEN 1 WHEN value < 120 THEN 2 ELSE 3 END AS bucket, date_diff('day', TIMESTAMP '2024-01-01', ts)::INT AS day FROM events WHERE event_type = 'signup'")
+@query("SELECT event_id, CASE WHEN value < 5 THEN 0 WHEN value < 30 THEN 1 WHEN value < 120 THEN 2 ELSE 3 END AS bucket, value - floor(value) >= 0.8 AS read_through, date_diff('day', TIMESTAMP '2024-01-01', ts)::INT AS day FROM events WHERE event_type = 'signup'")
 def dwell_buckets(spark: SparkSession, sf: str) -> DataFrame:
     v = F.col("value")
     e = views.table(spark, sf, "events").where("event_type = 'signup'")
-    return e.select("event_id", F.when(v < 5, 0).when(v < 30, 1).when(v < 120, 2).otherwise(3).alias("bucket"), F.date_diff("ts", F.lit("2024-01-01")).alias("day"))
+    return e.select("event_id", dwell_bucket(v).alias("bucket"), read_through(v - F.floor(v)).alias("read_through"), F.date_diff("ts", F.lit("2024-01-01")).alias("day"))
 
 
 @query(

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import views
-from ..enums import BIASES, FACTUALITY, REGIONS, TOPICS
+from ..enums import BIASES, FACTUALITY, PERSPECTIVES, REGIONS, TOPICS
 from ..functions.basics import hours_between, instant, ordinal, stamp
 from ..operators import coverage as cov
+from ..operators import pages
 from ..registry import query
 from ..views import BIAS_SQL, FACT_SQL, SQL
 from ._sql import METRICS, age
@@ -47,7 +48,9 @@ class FeedParams:
     owner_id: int | None = None
     tag_id: int | None = None
     search: str | None = None
-    story_ids: list[int] | None = None
+    story_ids: list[int] | DataFrame | None = None
+    perspective: str | None = None
+    owner_days: int = 180
     sort: str = "newest"
     page: int = 1
     limit: int = 20
@@ -56,16 +59,20 @@ class FeedParams:
         for value, allowed in ((self.topic, TOPICS), (self.region, REGIONS), (self.min_factuality, FACTUALITY)):
             if value is not None and value not in allowed:
                 raise ValueError(f"{value!r} is none of {allowed}")
+        if self.perspective is not None:
+            if self.perspective not in PERSPECTIVES:
+                raise ValueError(f"{self.perspective!r} is none of {list(PERSPECTIVES)}")
+            self.biases = PERSPECTIVES[self.perspective]
         if not set(self.biases) <= set(BIASES):
             raise ValueError("unknown bias")
-        if self.sort not in ("newest", "most_sources", "trending") or self.date_preset not in ("24h", "7d", "30d", "all"):
+        if self.sort not in ("newest", "most_sources", "trending", "list") or self.date_preset not in ("24h", "7d", "30d", "all"):
             raise ValueError("unknown sort or date preset")
         if self.page < 1 or not 1 <= self.limit <= 100:
             raise ValueError("page from 1, limit from 1 to 100")
 
 
-def feed(spark: SparkSession, sf: str, params: FeedParams) -> DataFrame:
-    """Published stories as one lazy plan: filters ahead of order and page, ties by id. An owner's order is by its latest article and overrides the sort."""
+def feed_rows(spark: SparkSession, sf: str, params: FeedParams) -> DataFrame:
+    """The published stories that a feed has, with their metrics, in no order: filters come ahead of what is grouped. A list of ids gives `position`, an owner `_seen`, the time of its latest article."""
     s = views.stories(spark, sf).where("status = 'published'")
     for column in ("topic", "region"):
         if getattr(params, column):
@@ -73,7 +80,7 @@ def feed(spark: SparkSession, sf: str, params: FeedParams) -> DataFrame:
     if params.min_factuality:
         s = s.where(at_least(F.col("factuality"), params.min_factuality))
     if params.story_ids is not None:
-        s = s.where(F.col("story_id").isin(params.story_ids))
+        s = pages.among(s, pages.id_list(spark, params.story_ids))
     s = s.where(since(F.col("first_published"), now(), params.date_preset))
     arts = views.articles(spark, sf)
     if params.tag_id is not None:
@@ -82,13 +89,21 @@ def feed(spark: SparkSession, sf: str, params: FeedParams) -> DataFrame:
         from ..functions.text import matches
 
         s = s.where(matches(F.col("headline"), params.search))
+    if params.owner_id is not None:
+        recent = arts.where((F.col("owner_id") == params.owner_id) & (hours_between(F.col("published_at"), now()) <= 24 * params.owner_days))
+        seen = recent.groupBy("story_id").agg(F.max("published_at").alias("_seen"))
+        s = s.join(seen.orderBy(F.desc("_seen"), F.desc("story_id")).limit(1000), "story_id")
     scored = params.sort == "trending" and params.owner_id is None
     s = trending_stories(spark, sf, wanted=s) if scored else s.join(story_metrics(spark, sf, s), "story_id")
-    s = s.where(in_bias_range(F.col("spectrum"), params.biases))
-    order = {"newest": [F.desc_nulls_last("first_published")], "most_sources": [F.desc("n_sources"), F.desc_nulls_last("first_published")], "trending": [F.desc_nulls_last("score"), F.desc_nulls_last("first_published")]}[params.sort]
+    return s.where(in_bias_range(F.col("spectrum"), params.biases))
+
+
+def feed(spark: SparkSession, sf: str, params: FeedParams) -> DataFrame:
+    """A page of a feed as one lazy plan, ties by id. An owner's order is by its latest article and overrides the sort."""
+    s = feed_rows(spark, sf, params)
+    order = {"newest": [F.desc_nulls_last("first_published")], "most_sources": [F.desc("n_sources"), F.desc_nulls_last("first_published")], "trending": [F.desc_nulls_last("score"), F.desc_nulls_last("first_published")], "list": [F.asc("position")]}[params.sort]
     if params.owner_id is not None:
-        seen = arts.where(F.col("owner_id") == params.owner_id).groupBy("story_id").agg(F.max("published_at").alias("_seen"))
-        s, order = s.join(seen.orderBy(F.desc("_seen"), F.desc("story_id")).limit(1000), "story_id"), [F.desc("_seen")]
+        order = [F.desc("_seen")]
     return s.orderBy(*order, F.desc("story_id")).offset((params.page - 1) * params.limit).limit(params.limit)
 
 
@@ -108,7 +123,7 @@ def feed_by_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""{SQL}, x AS (SELECT story_id, max(published_at) AS seen FROM art WHERE owner_id = 3 GROUP BY story_id ORDER BY seen DESC, story_id DESC LIMIT 1000)
+    f"""{SQL}, x AS (SELECT story_id, max(published_at) AS seen FROM art WHERE owner_id = 3 AND {age('published_at')} <= 4320 GROUP BY story_id ORDER BY seen DESC, story_id DESC LIMIT 1000)
 SELECT story_id, strftime(seen, '%Y-%m-%d %H:%M:%S') AS seen FROM (SELECT story_id, seen FROM x JOIN sto USING (story_id) WHERE status = 'published' ORDER BY seen DESC, story_id DESC LIMIT 20)"""
 )
 def owner_feed(spark: SparkSession, sf: str) -> DataFrame:

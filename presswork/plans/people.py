@@ -197,6 +197,11 @@ def reader_dominant_bias(spark: SparkSession, sf: str) -> DataFrame:
     return readers.dominant_bias(profiles(spark, sf)[0])
 
 
+def newest_covered(stories: DataFrame, articles: DataFrame, n: int) -> DataFrame:
+    """The n newest stories that have an article: picked before anything of their articles is grouped."""
+    return stories.join(articles.select("story_id"), "story_id", "left_semi").orderBy(F.desc("first_published"), F.desc("story_id")).limit(n)
+
+
 _FORYOU = f"""{_PROFILE}, gap AS (SELECT reader_id, list(own_.bias) AS gaps FROM own_ JOIN ov USING (bias) WHERE ov.p >= 5 AND own_.p < ov.p / 2 GROUP BY reader_id),
 cand AS (SELECT story_id, topic, region, first_published FROM sto WHERE status = 'published' AND story_id IN (SELECT story_id FROM met) ORDER BY first_published DESC, story_id DESC LIMIT 200),
 rdr AS (SELECT DISTINCT reader_id FROM rd), sim AS (SELECT DISTINCT rd.reader_id, topic, region FROM rd JOIN sto USING (story_id)),
@@ -220,13 +225,14 @@ def for_you_feed(spark: SparkSession, sf: str) -> DataFrame:
     own, overall = profiles(spark, sf)
     gaps = readers.reader_blindspots(own, overall).groupBy("reader_id").agg(F.collect_set("bias").alias("gaps"))
     st = views.stories(spark, sf).where("status = 'published'")
-    spec = cov.spectrum_arrays(views.articles(spark, sf))
-    cand = st.join(spec, "story_id").orderBy(F.desc("first_published"), F.desc("story_id")).limit(200).select("story_id", "topic", "region", "first_published", "spectrum")
-    read = st.where(READ).select("reader_id", "story_id", F.struct("topic", "region").alias("like"))
-    of = read.groupBy("reader_id").agg(F.collect_set("story_id").alias("read"), F.collect_set("like").alias("likes")).join(gaps, "reader_id", "left")
-    pairs = of.join(F.broadcast(cand))  # 200 rows at most
+    cand = newest_covered(st, views.articles(spark, sf), 200)
+    cand = cand.join(cov.spectrum_arrays(views.articles(spark, sf).join(F.broadcast(cand.select("story_id")), "story_id", "left_semi")), "story_id").select("story_id", "topic", "region", "first_published", "spectrum")
+    read = st.where(READ).select("reader_id", "story_id", "topic", "region")
+    of = read.groupBy("reader_id").agg(F.collect_set(F.struct("topic", "region")).alias("likes")).join(gaps, "reader_id", "left")
+    of_cand = read.join(F.broadcast(cand.select("story_id")), "story_id", "left_semi").select("reader_id", "story_id", F.lit(True).alias("was_read"))
+    pairs = of.join(F.broadcast(cand)).join(of_cand, ["reader_id", "story_id"], "left")  # 200 rows at most
     share = F.aggregate(F.filter("spectrum", lambda s: F.array_contains(F.coalesce("gaps", F.array().cast("array<string>")), s["bias"])), F.lit(0), lambda a, s: a + s["percentage"])
-    unread = ~F.array_contains("read", F.col("story_id"))
+    unread = F.col("was_read").isNull()
     similar = F.exists("likes", lambda x: (x["topic"] == F.col("topic")) & (x["region"] == F.col("region")))
     score = for_you_score(F.col("topic") == pick(TOPICS, F.col("reader_id") % 9), share, hours_between(F.col("first_published"), now()), unread, similar)
     ranked = pairs.withColumn("score", score)
@@ -245,8 +251,9 @@ def blindspot_suggestions(spark: SparkSession, sf: str) -> DataFrame:
     """Unread stories of the 100 newest with 30 % or more from a reader's blindspots."""
     gaps = readers.reader_blindspots(*profiles(spark, sf)).select("reader_id", "bias")
     st = views.stories(spark, sf).where("status = 'published'")
-    spec = cov.spectrum(views.articles(spark, sf))
-    cand = st.join(spec.select("story_id").distinct(), "story_id", "left_semi").orderBy(F.desc("first_published"), F.desc("story_id")).limit(100).select("story_id", "first_published")
+    arts = views.articles(spark, sf)
+    cand = newest_covered(st, arts, 100).select("story_id", "first_published")
+    spec = cov.spectrum(arts.join(F.broadcast(cand.select("story_id")), "story_id", "left_semi"))
     share = spec.join(F.broadcast(cand), "story_id").join(gaps, "bias").groupBy("reader_id", "story_id", "first_published").agg(F.sum("percentage").alias("share")).where("share >= 30")
     read = st.where(READ).select("reader_id", "story_id")
     best = Window.partitionBy("reader_id").orderBy(F.desc("share"), F.desc("first_published"), F.desc("story_id"))

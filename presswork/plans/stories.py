@@ -24,8 +24,7 @@ def story_metrics(spark: SparkSession, sf: str, wanted: DataFrame | None = None)
     arts = views.articles(spark, sf)
     if wanted is not None:
         arts = arts.join(wanted.select("story_id"), "story_id", "left_semi")
-    m = cov.metrics(arts, now()).join(cov.spectrum_arrays(arts), "story_id")
-    return m.withColumn("is_blindspot", cov.blindspot(F.col("spectrum"), F.col("n_sources")))
+    return cov.facts(arts, now()).withColumn("is_blindspot", cov.blindspot(F.col("spectrum"), F.col("n_sources")))
 
 
 def trending_stories(spark: SparkSession, sf: str, viewers_hours: int = 6, wanted: DataFrame | None = None) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -50,65 +48,6 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = LATE) -> Da
     return g.select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-HEALTH = "source_id long, failures int, successes long, auto_disabled boolean"
-
-
-def _health(key: tuple, batches: Iterator, state) -> Iterator:
-    """Failures in a row, successes in all, and whether the source is switched off, after each batch of a source."""
-    import pandas as pd
-
-    failures, successes, off = state.get if state.exists else (0, 0, False)
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    for bad in rows["failed"]:
-        failures, successes = (failures + 1, successes) if bad else (0, successes + 1)
-        off = off or (failures >= 10 and successes < 20)
-    state.update((failures, successes, off))
-    yield pd.DataFrame({"source_id": [key[0]], "failures": [failures], "successes": [successes], "auto_disabled": [off]})
-
-
-def source_health(fetches: DataFrame) -> DataFrame:
-    """Running health of each source from its fetch events (source_id, ts, event_id, failed); bounded state per source."""
-    return fetches.groupBy("source_id").applyInPandasWithState(_health, HEALTH, "failures int, successes long, off boolean", "update", "NoTimeout")
-
-
-RETRY = "id long, retries int, state string"
-
-
-def _retry(budget: int):
-    def step(key: tuple, batches: Iterator, state) -> Iterator:
-        import pandas as pd
-
-        retries, now = state.get if state.exists else (0, "pending")
-        for rows in batches:
-            for ok in rows.sort_values("event_id")["ok"]:
-                if now in ("done", "dead_letter"):
-                    break
-                retries, now = (retries, "done") if ok else (retries + 1, "dead_letter" if retries + 1 >= budget else "retry")
-        state.update((retries, now))
-        yield pd.DataFrame({"id": [key[0]], "retries": [retries], "state": [now]})
-
-    return step
-
-
-def retry_states(attempts: DataFrame, budget: int = 5) -> DataFrame:
-    """Queue items after their attempts (id, event_id, ok): retried until done or, the budget spent, dead letters."""
-    return attempts.groupBy("id").applyInPandasWithState(_retry(budget), RETRY, "retries int, state string", "update", "NoTimeout")
-
-
-def refreshed(events: DataFrame, table: str, checkpoint: str, merge) -> object:
-    """Starts a query that gives each micro-batch to `merge(old, batch)` and rewrites a small state table with it.
-
-    One query holds one checkpoint, so a refresh never runs twice at a time; the batch id makes a repeated batch harmless.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{table}/v{batch_id - 1}") if batch_id else None
-        merge(old, batch).write.mode("overwrite").parquet(f"{table}/v{batch_id}")
-
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 # What an event may name.
 ACTIONS = ["view", "dwell", "read_through", "share"]
 REFERRERS = ["feed", "for_you", "search", "direct", "external"]
@@ -131,3 +70,13 @@ def checked(events: DataFrame) -> DataFrame:
         "client": F.col("client").isin(CLIENTS),
     }
     return events.withColumn("problem", F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()]))
+
+
+def dwell_bucket(seconds: Column) -> Column:
+    """Under 5, 30 and 120 seconds, and longer."""
+    return F.when(seconds < 5, 0).when(seconds < 30, 1).when(seconds < 120, 2).otherwise(3)
+
+
+def read_through(scrolled: Column) -> Column:
+    """Four fifths of a page or more."""
+    return scrolled >= 0.8

@@ -121,15 +121,12 @@ def test_stream_counts_repeated_views_once(spark, tmp_path):
     assert got == {r.event_type: r.n if r.event_type in ("view", "click") else r["all"] for r in want}
 
 
-def test_stream_health_and_retries(spark, tmp_path):
+def test_stream_of_sessions_and_sliding_viewers(spark, tmp_path):
     e = stream.read_events(spark, folder(spark, tmp_path))
-    fetches = e.select((F.col("user_id") % 3).alias("source_id"), "ts", "event_id", (F.col("event_type") == "error").alias("failed"))
-    h = run(stream.source_health(fetches), "h", "update").collect()
-    base = spark.read.parquet(f"{SMALL}/events.parquet")
-    assert sum({r.source_id: r.successes for r in h}.values()) == base.where("event_type <> 'error'").count()
-    tries = e.select((F.col("event_id") % 10).alias("id"), "event_id", F.lit(False).alias("ok"))
-    states = {r.id: (r.retries, r.state) for r in run(stream.retry_states(tries), "t", "update").collect()}
-    assert set(states.values()) == {(5, "dead_letter")}
+    base = spark.read.parquet(f"{SMALL}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    key = lambda d, c: {tuple(r[x] for x in c) for r in d.collect()}
+    got = run(stream.sessions(e, late="60 days"), "s", "complete")
+    assert key(got, ["user_id", "start", "end", "n"]) == key(stream.sessions(base), ["user_id", "start", "end", "n"])
 
 
 RATED = [

@@ -11,6 +11,7 @@ from ..functions.basics import stamp
 from ..operators import coverage as cov
 from ..operators import documents, ownership, pages, runlog, timeline
 from ..registry import query
+from ..sources import markup
 from ..views import BIAS_SQL, SQL
 from ._sql import IN_RIGHT, METRICS
 from .feeds import FeedParams, feed, feed_rows
@@ -117,3 +118,27 @@ def timeline_labels(spark: SparkSession, sf: str) -> DataFrame:
     t = timeline.states(views.articles(spark, sf), "story_id", views.TIES)
     first = t.groupBy("story_id").agg(F.min("published_at").alias("first"))
     return t.join(first, "story_id").select("story_id", "place", documents.age_label(F.col("first"), F.col("published_at")).alias("label"))
+
+
+@query(
+    """WITH p AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin, html FROM pages),
+l AS (SELECT page_id, origin || h AS url, row_number() OVER (PARTITION BY page_id ORDER BY i) AS k FROM (SELECT page_id, any_value(origin) AS origin, h, min(i) AS i FROM (SELECT page_id, origin, unnest(x) AS h, generate_subscripts(x, 1) AS i FROM (SELECT page_id, origin, regexp_extract_all(html, '<li><a href="(/[^"]*)"', 1) AS x FROM p)) GROUP BY page_id, h))
+SELECT page_id, url FROM l WHERE k <= 4"""
+)
+def selected_links(spark: SparkSession, sf: str) -> DataFrame:
+    """The first four links that a source's selector finds on each page."""
+    pages_ = views.table(spark, sf, "pages").select("page_id", "url", "html")
+    none = F.lit(None).cast("string")
+    found = markup.extracted(pages_.withColumns({"link_selector": F.lit("nav li > a[href^='/']"), "title_selector": none, "content_selector": none, "image_selector": none}))
+    return markup.article_links(found, pages_, most=4)
+
+
+@query(
+    """WITH t AS (SELECT page_id, regexp_extract(html, '<h1>(.*?)</h1>', 1, 's') AS h, regexp_extract(html, '<div class="ad">(.*?)</div>', 1, 's') AS a FROM pages)
+SELECT page_id, nullif(trim(regexp_replace(replace(regexp_replace(h, '<[^>]*>', '', 'g'), '&amp;', '&'), '\\s+', ' ', 'g')), '') AS title, nullif(trim(regexp_replace(replace(a, '&amp;', '&'), '\\s+', ' ', 'g')), '') AS content FROM t"""
+)
+def selected_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles and texts by selectors."""
+    none = F.lit(None).cast("string")
+    pages_ = views.table(spark, sf, "pages").select("page_id", "html").withColumns({"link_selector": none, "title_selector": F.lit("article > h1"), "content_selector": F.lit("div.ad"), "image_selector": none})
+    return markup.extracted(pages_).select("page_id", "title", "content")

@@ -9,7 +9,7 @@ from .. import views
 from ..enums import REGION_KEYWORDS, TOPIC_KEYWORDS
 from ..functions import text as tx
 from ..functions import vectors as vec
-from ..operators import cluster, entities, verify
+from ..operators import cluster, entities, textindex, verify
 from ..registry import query
 from ..views import BIAS_SQL
 
@@ -104,9 +104,20 @@ def topics_and_regions(spark: SparkSession, sf: str) -> DataFrame:
 SELECT doc_id FROM t WHERE (contains(p, ' the ') OR contains(p, ' der die ')) AND NOT contains(p, ' thand ') AND contains(p, ' of ')"""
 )
 def text_search(spark: SparkSession, sf: str) -> DataFrame:
-    """A web search with a phrase, an alternative and an exclusion."""
-    d = views.table(spark, sf, "documents")
-    return d.where(tx.matches(F.col("text"), 'the or "der die" -thand of')).select("doc_id")
+    """A web search with a phrase, an alternative and an exclusion, on postings of whole texts with words as they are."""
+    index = textindex.postings(views.table(spark, sf, "documents"), "doc_id", ["text"], english=False)
+    return textindex.search(index, 'the or "der die" -thand of', english=False).select(F.col("id").alias("doc_id"))
+
+
+@query(
+    """WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS term FROM documents), n AS (SELECT term, doc_id, count(*) AS n FROM w GROUP BY ALL)
+SELECT term, count(*) AS n_docs, sum(n)::BIGINT AS n_positions FROM n GROUP BY term HAVING count(*) >= 5"""
+)
+def index_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms of five documents or more in the index of all texts."""
+    index = textindex.postings(views.table(spark, sf, "documents"), "doc_id", ["text"], english=False)
+    g = index.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_positions"))
+    return g.where("n_docs >= 5")
 
 
 @query(

@@ -290,6 +290,14 @@ def detached(articles: DataFrame, centroids: DataFrame, least: float = SPLIT) ->
     return articles.join(centroids, "story_id").where(cosine(F.col("embedding"), F.col("centroid")) < least).select("id", "story_id")
 
 
+def repaired(members: DataFrame, stories: DataFrame, least: float = SPLIT) -> tuple[DataFrame, DataFrame]:
+    """(members, stories) without the articles that have drifted from their story, whose centroids are taken anew; members as for `recentred`, with an id."""
+    gone = detached(members.select("id", "story_id", "embedding"), stories.select("story_id", "centroid"), least)
+    kept = shared_checkpoint(members.join(gone, ["id", "story_id"], "left_anti"))
+    touched = kept.join(gone.select("story_id").distinct(), "story_id", "left_semi")
+    return kept, recentred(stories, touched)
+
+
 def attempts(singles: DataFrame, promote_at: int = 3) -> DataFrame:
     """Adds one attempt to singletons (id, attempts); those that reach the limit become stories of their own."""
     n = F.col("attempts") + 1

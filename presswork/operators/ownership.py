@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.basics import lookup, percent
+from ..enums import BIASES
+from ..functions.basics import hours_between, lookup, ordinal, percent
 from .lineage import shared_checkpoint
 
 
@@ -101,3 +102,15 @@ def buckets(sources: DataFrame, owners: DataFrame) -> DataFrame:
     g = named.groupBy("owner_id").agg(F.first("owner").alias("owner"), F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("name", "source_id"))), lambda x: x["name"]).alias("members"))
     place = F.row_number().over(Window.partitionBy(F.col("owner_id").isNull()).orderBy(F.desc("n"), "owner"))
     return g.withColumn("place", F.when(F.col("owner_id").isNotNull(), place))
+
+
+def profiles(owners: DataFrame, sources: DataFrame, articles: DataFrame, stories: DataFrame, as_of: Column, days: int = 180) -> DataFrame:
+    """(owner_id, name, n_sources, biases, topics, n_stories): an owner's sources by bias, from left to right, and the topics of the stories its sources have covered in the last `days`, the commonest first."""
+    mine = sources.where(F.col("owner_id").isNotNull())
+    by_bias = mine.groupBy("owner_id", "bias").agg(F.count(F.lit(1)).alias("n"))
+    biases = by_bias.groupBy("owner_id").agg(F.sum("n").alias("n_sources"), F.array_sort(F.collect_list(F.struct(ordinal(F.col("bias"), BIASES).alias("o"), "bias", "n"))).alias("biases"))
+    recent = articles.where(F.col("owner_id").isNotNull() & (hours_between(F.col("published_at"), as_of) <= 24 * days)).select("owner_id", "story_id").distinct()
+    by_topic = recent.join(stories.select("story_id", "topic"), "story_id").groupBy("owner_id", "topic").agg(F.count(F.lit(1)).alias("n"))
+    topics = by_topic.groupBy("owner_id").agg(F.sum("n").alias("n_stories"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "topic", "n"))).alias("topics"))
+    out = owners.select("owner_id", "name").join(biases, "owner_id", "left").join(topics, "owner_id", "left")
+    return out.select("owner_id", "name", F.coalesce("n_sources", F.lit(0)).alias("n_sources"), "biases", "topics", F.coalesce("n_stories", F.lit(0)).alias("n_stories"))

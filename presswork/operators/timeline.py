@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..enums import BIASES, MILESTONES
+from ..enums import BIASES, LEFT, MILESTONES, RIGHT
 from ..functions.basics import half_up, hours_between, percent
 
 SHIFT, MOST = 15, 20
@@ -56,3 +56,21 @@ def spans(articles: DataFrame, key: str) -> DataFrame:
     """(key, total_articles, span_hours): hours between the first and the last article, rounded."""
     g = articles.groupBy(key).agg(F.count(F.lit(1)).alias("total_articles"), half_up(hours_between(F.min("published_at"), F.max("published_at"))).alias("span_hours"))
     return g.select(key, "total_articles", "span_hours")
+
+
+def _lane() -> Column:
+    """Running shares of the three lanes at a state."""
+    total = lambda biases: sum((F.col(f"p{BIASES.index(b)}") for b in biases), F.lit(0))
+    return F.struct(total(LEFT).alias("left"), F.col(f"p{BIASES.index('center')}").alias("center"), total(RIGHT).alias("right"))
+
+
+def momentum(timeline: DataFrame, key: str, source: str, most: int = MOST) -> DataFrame:
+    """(key, momentum): how coverage went on from a story's first event to the last of its first `most`."""
+    from . import narrative
+
+    ends = events(timeline, key, most).groupBy(key).agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    at = timeline.select(key, "place", "n_sources", F.col(source).alias("source"), _lane().alias("lane")).join(ends, key).where("place = first or place = last")
+    of = lambda value, place: F.max(F.when(F.col("place") == F.col(place), F.col(value)))
+    g = at.groupBy(key).agg(of("source", "first").alias("source"), of("n_sources", "last").alias("n"), of("lane", "first").alias("opening"), of("lane", "last").alias("latest"))
+    g = g.join(spans(timeline, key), key)
+    return g.select(key, narrative.momentum(F.col("source"), F.col("n"), F.col("span_hours"), F.col("opening"), F.col("latest")).alias("momentum"))

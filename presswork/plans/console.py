@@ -9,11 +9,13 @@ from .. import views
 from ..enums import RIGHT
 from ..functions.basics import stamp
 from ..operators import coverage as cov
-from ..operators import documents, ownership, pages, runlog, timeline
+from ..operators import assembly, documents, narrative, ownership, pages, runlog, timeline
 from ..registry import query
 from ..sources import markup
 from ..views import BIAS_SQL, SQL
-from ._sql import IN_RIGHT, METRICS
+from ._sql import IN_RIGHT, METRICS, age
+from .assembly import ASSEMBLED, summaries, texts
+from .assembly import articles as desk_articles
 from .feeds import FeedParams, feed, feed_rows
 from .stories import _TIMELINE, now
 
@@ -142,3 +144,48 @@ def selected_texts(spark: SparkSession, sf: str) -> DataFrame:
     none = F.lit(None).cast("string")
     pages_ = views.table(spark, sf, "pages").select("page_id", "html").withColumns({"link_selector": none, "title_selector": F.lit("article > h1"), "content_selector": F.lit("div.ad"), "image_selector": none})
     return markup.extracted(pages_).select("page_id", "title", "content")
+
+
+def _lanes_text(prefix: str, opening: bool) -> str:
+    include = "" if opening else "include "
+    l, c, r = (f"{prefix}.{x} > 0" for x in "lcr")
+    both = lambda a, b: f"'{include}{a} and {b} lanes'"
+    return f"""CASE WHEN {l} AND {c} AND {r} THEN '{include}left, center, and right lanes' WHEN {l} AND {c} THEN {both('left', 'center')} WHEN {l} AND {r} THEN {both('left', 'right')} WHEN {c} AND {r} THEN {both('center', 'right')}
+  WHEN {l} THEN 'left-only coverage' WHEN {c} THEN 'center-only coverage' ELSE 'right-only coverage' END"""
+
+
+@query(
+    f"""{_TIMELINE}, v AS (SELECT story_id, k, 0 AS ord FROM e WHERE new_source = 1 UNION ALL SELECT story_id, k, 1 FROM e WHERE shift UNION ALL SELECT story_id, k, 2 FROM e WHERE milestone IS NOT NULL),
+n AS (SELECT story_id, min(k) AS a, max(k) AS b FROM (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY k, ord) AS n FROM v) WHERE n <= 20 GROUP BY story_id),
+s AS (SELECT story_id, k, source, n_sources, p0 + p1 + p2 AS l, p3 AS c, p4 + p5 + p6 AS r FROM e), h AS (SELECT story_id, floor((epoch_us(max(published_at)) - epoch_us(min(published_at))) / 3.6e9 + 0.5)::INT AS h FROM art GROUP BY story_id)
+SELECT story_id, x.source || ' opened coverage, and the story grew to ' || y.n_sources || ' sources over ' || h || ' hours' || CASE WHEN ({_lanes_text('x', True)}) <> ({_lanes_text('y', False)}) THEN '. The spectrum widened from ' || ({_lanes_text('x', True)}) || ' to ' || ({_lanes_text('y', False)}) || '.'
+  ELSE ' while staying within ' || ({_lanes_text('y', False)}) || '.' END AS momentum FROM n JOIN s x USING (story_id) JOIN s y USING (story_id) JOIN h USING (story_id) WHERE x.k = a AND y.k = b"""
+)
+def coverage_momentum(spark: SparkSession, sf: str) -> DataFrame:
+    """How each story's coverage went on."""
+    return timeline.momentum(timeline.states(views.articles(spark, sf), "story_id", views.TIES), "story_id", "source")
+
+
+def _lead(text: str) -> str:
+    return f"coalesce(list_filter(list_transform(string_split({text}, chr(10)), lambda x: trim(regexp_replace(x, '^[•*-]\\s*', ''))), lambda x: x <> '')[1], 'additional reporting context')"
+
+
+@query(f"{ASSEMBLED} SELECT story_id, 'Shared reporting centers on ' || {_lead('common_ground')} || '. Left-leaning coverage emphasizes ' || {_lead('left_framing')} || ', while right-leaning coverage emphasizes ' || {_lead('right_framing')} || '.' AS framing_delta FROM wd")
+def framing_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    """What the sides of assembled stories put first."""
+    arts, said = desk_articles(spark, sf), texts(spark, sf)
+    a = assembly.assembled(arts, said, now(), summaries=summaries(spark, sf, arts, said))
+    return a.select("story_id", narrative.framing_delta(F.col("common_ground"), F.col("left_framing"), F.col("right_framing")).alias("framing_delta"))
+
+
+@query(
+    f"""{SQL}, n AS (SELECT owner_id, count(*) AS n_sources FROM src WHERE owner_id IS NOT NULL GROUP BY owner_id), b AS (SELECT owner_id, bias, count(*) AS n FROM src WHERE owner_id IS NOT NULL GROUP BY ALL),
+bs AS (SELECT owner_id, string_agg(bias || ':' || n, ',' ORDER BY list_position({BIAS_SQL}, bias)) AS biases FROM b GROUP BY owner_id), r AS (SELECT DISTINCT owner_id, story_id FROM art WHERE owner_id IS NOT NULL AND {age('published_at')} <= 4320),
+t AS (SELECT owner_id, topic, count(*) AS n FROM r JOIN sto USING (story_id) GROUP BY ALL), ts AS (SELECT owner_id, string_agg(topic || ':' || n, ',' ORDER BY n DESC, topic) AS topics, sum(n)::BIGINT AS n_stories FROM t GROUP BY owner_id)
+SELECT owner_id, name, coalesce(n_sources, 0) AS n_sources, biases, topics, coalesce(n_stories, 0) AS n_stories FROM own LEFT JOIN n USING (owner_id) LEFT JOIN bs USING (owner_id) LEFT JOIN ts USING (owner_id)"""
+)
+def owner_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Owners with their sources' biases and the topics of their stories of 180 days, each as one row."""
+    p = ownership.profiles(views.owners(spark, sf), views.sources(spark, sf), views.articles(spark, sf), views.stories(spark, sf), now())
+    text = lambda c, name: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x[name], x["n"].cast("string"))), ",")
+    return p.select("owner_id", "name", "n_sources", text("biases", "bias").alias("biases"), text("topics", "topic").alias("topics"), "n_stories")

@@ -16,6 +16,23 @@ OWNERSHIP_NAMES = {
     "non-profit": "non-profit",
     "other": "other",
 }
+# The sentences, with names for what they are filled with.
+SENTENCES = {
+    "heavy": "Coverage gap: the story is heavily {lane}-weighted, with only {a}% {x} coverage and {b}% {y} coverage.",
+    "overview": "Coverage leans {dominant} overall: {left}% left, {center}% center, {right}% right.",
+    "missing": "Coverage gap: {name} coverage is missing from the current source mix.",
+    "thinnest": "Coverage gap: {name} is the thinnest lane at {thin}%, so it is worth checking additional sources from that perspective.",
+    "no_gap": "No major coverage gap is visible: left, center, and right lanes are all represented in the current source mix.",
+    "methodology": "This view combines {sources} sources across {n} active lane{s}. Blindspot flags trigger when one lane dominates coverage, and the timeline updates as new sources join the cluster.",
+    "no_lead": "additional reporting context",
+    "framing_delta": "Shared reporting centers on {c}. Left-leaning coverage emphasizes {l}, while right-leaning coverage emphasizes {r}.",
+    "ownership_mix": "Ownership mix spans {n} model{s}: {listed}.",
+    "no_ownership": "Ownership data is not available for this story yet.",
+    "opened": "{f} opened coverage, and the story grew to {n} sources over {h} hours",
+    "widened": ". The spectrum widened from {a} to {b}.",
+    "stayed": " while staying within {b}.",
+    "no_momentum": "Coverage momentum will become clearer as more sources join this story.",
+}
 
 
 def said(template: str, **parts: Column) -> Column:
@@ -33,7 +50,7 @@ def _shares(lane: Column) -> dict[str, Column]:
 
 
 def overview(lane: Column) -> Column:
-    return said("Coverage leans {dominant} overall: {left}% left, {center}% center, {right}% right.", dominant=lane["dominant"], **_shares(lane))
+    return said(SENTENCES["overview"], dominant=lane["dominant"], **_shares(lane))
 
 
 def coverage_gap(lane: Column) -> Column:
@@ -41,15 +58,15 @@ def coverage_gap(lane: Column) -> Column:
     s = _shares(lane)
     thin = F.least(*s.values())
     name = F.when(s["left"] == thin, "left").when(s["center"] == thin, "center").otherwise("right")
-    heavy = {k: said(f"Coverage gap: the story is heavily {k}-weighted, with only {{a}}% {x} coverage and {{b}}% {y} coverage.", a=s[x], b=s[y]) for k, (x, y) in {"left": ("center", "right"), "center": ("left", "right"), "right": ("left", "center")}.items()}
+    heavy = {k: said(SENTENCES["heavy"].replace("{lane}", k).replace("{x}", x).replace("{y}", y), a=s[x], b=s[y]) for k, (x, y) in {"left": ("center", "right"), "center": ("left", "right"), "right": ("left", "center")}.items()}
     top = F.greatest(*s.values()) >= 70
     return (
         F.when(top & (lane["dominant"] == "left"), heavy["left"])
         .when(top & (lane["dominant"] == "center"), heavy["center"])
         .when(top, heavy["right"])
-        .when(thin == 0, said("Coverage gap: {name} coverage is missing from the current source mix.", name=name))
-        .when(thin < 15, said("Coverage gap: {name} is the thinnest lane at {thin}%, so it is worth checking additional sources from that perspective.", name=name, thin=thin))
-        .otherwise("No major coverage gap is visible: left, center, and right lanes are all represented in the current source mix.")
+        .when(thin == 0, said(SENTENCES["missing"], name=name))
+        .when(thin < 15, said(SENTENCES["thinnest"], name=name, thin=thin))
+        .otherwise(SENTENCES["no_gap"])
     )
 
 
@@ -59,17 +76,17 @@ def active_lanes(lane: Column) -> Column:
 
 def methodology(sources: Column, lane: Column) -> Column:
     n = active_lanes(lane)
-    return said("This view combines {sources} sources across {n} active lane{s}. Blindspot flags trigger when one lane dominates coverage, and the timeline updates as new sources join the cluster.", sources=sources, n=n, s=F.when(n == 1, "").otherwise("s"))
+    return said(SENTENCES["methodology"], sources=sources, n=n, s=F.when(n == 1, "").otherwise("s"))
 
 
 def lead(text: Column) -> Column:
     """The first line of a bulleted text that says anything, without its bullet."""
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, "^[\u2022*-]\\s*", ""))), lambda x: x != "")
-    return F.coalesce(F.get(lines, F.lit(0)), F.lit("additional reporting context"))
+    return F.coalesce(F.get(lines, F.lit(0)), F.lit(SENTENCES["no_lead"]))
 
 
 def framing_delta(common: Column, left: Column, right: Column) -> Column:
-    return said("Shared reporting centers on {c}. Left-leaning coverage emphasizes {l}, while right-leaning coverage emphasizes {r}.", c=lead(common), l=lead(left), r=lead(right))
+    return said(SENTENCES["framing_delta"], c=lead(common), l=lead(left), r=lead(right))
 
 
 def ownership_mix(models: Column) -> Column:
@@ -78,8 +95,8 @@ def ownership_mix(models: Column) -> Column:
     parts = F.transform(models, lambda m: F.concat(F.try_element_at(names, m["ownership"]), F.lit(" ("), m["n"].cast("string"), F.lit(")")))
     n = F.size(models)
     listed = F.when(n == 1, F.get(parts, F.lit(0))).otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), F.greatest(n - 1, F.lit(0))), ", "), F.lit(", and "), F.get(parts, n - 1)))
-    some = said("Ownership mix spans {n} model{s}: {listed}.", n=n, s=F.when(n == 1, "").otherwise("s"), listed=listed)
-    return F.when(F.coalesce(n, F.lit(0)) > 0, some).otherwise("Ownership data is not available for this story yet.")
+    some = said(SENTENCES["ownership_mix"], n=n, s=F.when(n == 1, "").otherwise("s"), listed=listed)
+    return F.when(F.coalesce(n, F.lit(0)) > 0, some).otherwise(SENTENCES["no_ownership"])
 
 
 def lane_spread(lane: Column, opening: bool) -> Column:
@@ -92,6 +109,6 @@ def lane_spread(lane: Column, opening: bool) -> Column:
 def momentum(first_source: Column, sources: Column, hours: Column, opening: Column, latest: Column) -> Column:
     """How a timeline went on: first source, sources by now, hours, and the lanes at its ends; without events what to expect."""
     a, b = lane_spread(opening, True), lane_spread(latest, False)
-    start = said("{f} opened coverage, and the story grew to {n} sources over {h} hours", f=first_source, n=sources, h=hours)
-    told = F.when(a != b, F.concat(start, said(". The spectrum widened from {a} to {b}.", a=a, b=b))).otherwise(F.concat(start, said(" while staying within {b}.", b=b)))
-    return F.when(first_source.isNotNull(), told).otherwise("Coverage momentum will become clearer as more sources join this story.")
+    start = said(SENTENCES["opened"], f=first_source, n=sources, h=hours)
+    told = F.when(a != b, F.concat(start, said(SENTENCES["widened"], a=a, b=b))).otherwise(F.concat(start, said(SENTENCES["stayed"], b=b)))
+    return F.when(first_source.isNotNull(), told).otherwise(SENTENCES["no_momentum"])

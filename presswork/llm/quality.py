@@ -216,6 +216,6 @@ def grade_of(quality: Column, toxic: Column) -> Column:
 
 
 def selected(docs: DataFrame, model: Model, grades: int, tail: float = TAIL) -> DataFrame:
-    """Documents whose tail probability reaches `tail`."""
+    """Documents whose tail probability reaches `tail`; rows without an id stay, and of a repeated id all rows go if any of them is below."""
     gone = scored(docs, model, grades).where(F.col("p_best") < tail).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

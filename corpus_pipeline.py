@@ -48,6 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of what the stages keep.
+
+    Null texts are empty ones; rows without an id are kept by the filters and
+    packed nowhere; equal rows are judged, repeated and packed each, but for the
+    copies that near dedup drops by their id; an empty table gives no rows; other
+    columns are carried up to the packing, whatever their names.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))

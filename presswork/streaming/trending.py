@@ -59,10 +59,12 @@ def refresh(stories: Callable[[SparkSession], DataFrame], folder: str, hours: in
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch = batch.select("story_id", "session_id", "action", "ts").persist()  # read for its panes and for its clock
         new = panes(batch)
         day = F.date_format("pane", "yyyyMMddHHmm").alias("slot")
         new.select("*", day).write.mode("overwrite").partitionBy("slot").parquet(f"{folder}/panes/batch={batch_id}")
         last = batch.agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("as_of")).first().as_of
+        batch.unpersist()
         as_of = max(filter(None, (last, _clock(spark, folder, batch_id))), default=None)
         spark.createDataFrame([(as_of,)], "as_of string").write.mode("overwrite").parquet(f"{folder}/clock/batch={batch_id}")
         if as_of is None:

@@ -8,7 +8,7 @@ from pathlib import Path
 
 import pytest
 
-from presswork import registry
+from presswork import plans, registry  # noqa: F401  plans register themselves
 
 ROOT = Path(__file__).resolve().parents[1]
 ASK = "import json, __spark_entry__ as e; print(json.dumps([sorted(e.queries()), sorted(e.oracle_sql())]))"

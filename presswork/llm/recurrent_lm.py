@@ -14,10 +14,13 @@ embedding for each output, so a rare word's hash reaches the state too.
 Training is truncated backpropagation through time: the training documents of a
 part are laid end to end and cut into at most LANES lanes of one length, windows of WINDOW
 tokens follow each other with the state carried from one to the next, and Adam
-takes a step for each. The parts are dealt over ROUNDS rounds, and every training document is in
+takes a step for each. There is a part for every PART_TOKENS training tokens, so a task
+holds about that many ids and the longest document, however long documents are.
+The parts are dealt over ROUNDS rounds, and every training document is in
 one of them. A part starts from the parameters of its round; its results are
-averaged on executors, slice by slice of the parameters, so that the driver gets
-one set of them a round, and the next round starts from there. The biases begin
+averaged on executors, slice by slice of the parameters and in a tree, FAN of them at a
+time, so that no task holds more of them and the driver gets
+one set of them a round; the next round starts from there. The biases begin
 at the logarithms of the counts, so the model begins as the unigram one.
 
 Scores run every document whole: documents of a batch are laid end to end in lanes, the
@@ -32,6 +35,9 @@ those of the unknown word.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +51,7 @@ HIDDEN, LANES, WINDOW = 24, 256, 32
 SCORE_LANES = 512
 TRAIN_EVERY = 1
 STEPS_AT_LEAST = 256
-PART_ROWS, ROUNDS, SLICE = 10_000, 2, 4096
+PART_TOKENS, ROUNDS, SLICE, FAN = 4_000_000, 2, 4096, 64
 STEP, CLIP = 0.01, 5.0
 END = b" "  # no word holds a space
 COUNT_CACHE = 300_000
@@ -65,8 +71,6 @@ def counted(docs: DataFrame) -> DataFrame:
     def count(batches):
         from collections import Counter
 
-        import pyarrow as pa
-
         schema = pa.schema([("word", pa.binary()), ("c", pa.int64())])
 
         def rows(sums):
@@ -286,18 +290,19 @@ class Net:
         return grads, ids[starts], hs[-1]
 
     def train(self, documents: list, seed: int) -> int:
-        """One pass over documents (arrays of ids, the end last), laid in lanes; returns the number of tokens."""
+        """One pass over documents (arrays of ids, the end last; the list is emptied), laid in lanes; returns the number of tokens."""
         import numpy as np
 
         if not documents:
             return 0
-        stream = np.concatenate([documents[i] for i in np.random.default_rng(seed).permutation(len(documents))]).astype(np.int64)
+        stream = np.concatenate([documents[i] for i in np.random.default_rng(seed).permutation(len(documents))]).astype(np.int32)
+        documents.clear()
         # few tokens go in fewer lanes, for enough steps; a lane may begin within a document, with the state of a beginning
         lanes = max(1, min(LANES, len(stream) // (WINDOW * STEPS_AT_LEAST)))
         longest = -(-len(stream) // lanes)
-        y = np.full(longest * lanes, -1, np.int64)
+        y = np.full(longest * lanes, -1, np.int32)
         y[: len(stream)] = stream
-        x = np.concatenate([[self.first], y[:-1]]).reshape(lanes, longest).T
+        x = np.concatenate([np.array([self.first], np.int32), y[:-1]]).reshape(lanes, longest).T
         y = y.reshape(lanes, longest).T
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -364,7 +369,7 @@ class Net:
         return out / np.log(10)
 
 
-def fit(docs: DataFrame, vocabulary: Vocabulary, train_every: int = TRAIN_EVERY, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> Net:
+def fit(docs: DataFrame, vocabulary: Vocabulary, train_every: int = TRAIN_EVERY, part_tokens: int = PART_TOKENS, rounds: int = ROUNDS) -> Net:
     """The net after one pass over the training documents in parts; each round's parts start from the mean, by tokens, of those of the round before."""
     import numpy as np
 
@@ -374,41 +379,39 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, train_every: int = TRAIN_EVERY,
     chosen = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     if train_every > 1:
         chosen = chosen.where(F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(train_every)) == 0)
-    parts = -(-chosen.count() // part_rows)
+    parts = max(1, -(-vocabulary.tokens // (train_every * part_tokens)))
     rounds = min(rounds, parts)
     names = list(net.p)
-    chosen = chosen.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(max(1, parts))))
-
-    def average(table):
-        import pyarrow as pa
-
-        table = table.sort_by("part")
-        tokens = table.column("tokens").to_pylist()
-        mean = sum(np.frombuffer(x.as_py(), np.float32) * (n / sum(tokens)) for n, x in zip(tokens, table.column("state")))
-        return pa.table({"slice": table.column("slice")[:1], "tokens": [sum(tokens)], "state": [mean.astype(np.float32).tobytes()]})
+    # the text is hashed too: rows that share an id do not share a part
+    chosen = chosen.withColumn("part", F.pmod(F.xxhash64("doc_id", "text", F.lit(2)), F.lit(parts)))
 
     def trains(shared):
-        def train(table):
-            import pyarrow as pa
+        def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import zlib
 
             net, vocabulary = shared.value
             mine = Net()
             mine.p, mine.first = {k: v.copy() for k, v in net.p.items()}, net.first
-            table = table.sort_by("doc_id").combine_chunks()
-            get = vocabulary.ids.__getitem__
-            documents = [np.fromiter(map(get, _words(t)), np.int32) for t in texts_as_bytes(table.column("text"))]
-            part = table.column("part")[0].as_py()
+            get, found = vocabulary.ids.__getitem__, []
+            for batch in batches:
+                part = batch.column("part")[0].as_py()
+                for i, text in zip(batch.column("doc_id").to_pylist(), texts_as_bytes(batch.column("text"))):
+                    ids = np.fromiter(map(get, _words(text)), np.int32)
+                    found.append((i, zlib.crc32(ids), ids))
+            found.sort(key=lambda x: x[:2])
+            documents = [ids for _, _, ids in found]
+            found.clear()
             tokens = mine.train(documents, part)
             state = np.concatenate([mine.p[k].ravel() for k in names])
             slices = [state[i : i + SLICE].tobytes() for i in range(0, len(state), SLICE)]
-            return pa.table({"part": [part] * len(slices), "slice": list(range(len(slices))), "tokens": [tokens] * len(slices), "state": slices})
+            yield pa.RecordBatch.from_pydict({"part": [part] * len(slices), "slice": list(range(len(slices))), "tokens": [tokens] * len(slices), "state": slices}, schema=STATES)
 
         return train
 
     for r in range(rounds):
         train = trains(spark.sparkContext.broadcast((net, vocabulary)))
-        trained = chosen.where(F.col("part") % rounds == r).groupBy("part").applyInArrow(train, "part long, slice long, tokens long, state binary")
-        rows = sorted(staged(trained.groupBy("slice").applyInArrow(average, "slice long, tokens long, state binary"), "net").collect())
+        trained = chosen.where(F.col("part") % rounds == r).groupBy("part").applyInArrow(train, STATES_SQL)
+        rows = sorted(staged(averaged(trained, parts), "net").collect(), key=lambda x: x.slice)
         if not rows:  # no document's hash is in the round's parts
             continue
         state, at = np.concatenate([np.frombuffer(x.state, np.float32) for x in rows]), 0
@@ -419,13 +422,35 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, train_every: int = TRAIN_EVERY,
     return net
 
 
+STATES = pa.schema([("part", pa.int64()), ("slice", pa.int32()), ("tokens", pa.int64()), ("state", pa.binary())])
+STATES_SQL = "part long, slice int, tokens long, state binary"
+
+
+def averaged(states: DataFrame, parts: int, fan: int = FAN) -> DataFrame:
+    """Slices (part, slice, tokens, state) of parts 0 to parts - 1, averaged by tokens over the parts: a tree of at most `fan` at a time."""
+    import numpy as np
+
+    def average(table):
+        table = table.sort_by("part")
+        tokens = table.column("tokens").to_pylist()
+        mean, total = 0.0, sum(tokens)
+        for n, x in zip(tokens, table.column("state")):
+            mean = mean + np.frombuffer(x.as_py(), np.float32) * (n / total)
+        return pa.table({"part": [table.column("up")[0].as_py()], "slice": table.column("slice")[:1], "tokens": [total], "state": [mean.astype(np.float32).tobytes()]})
+
+    while True:
+        parts = -(-parts // fan)
+        states = states.withColumn("up", F.floor(F.col("part") / fan)).groupBy("slice", "up").applyInArrow(average, STATES_SQL)
+        if parts <= 1:
+            return states
+
+
 def scored(docs: DataFrame, net: Net, vocabulary: Vocabulary, counts: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of whole documents with an id."""
     shared = docs.sparkSession.sparkContext.broadcast((net, vocabulary))
 
     def run(batches):
         import numpy as np
-        import pyarrow as pa
 
         net, v = shared.value
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]

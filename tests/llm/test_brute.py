@@ -416,12 +416,27 @@ def test_every_training_document_is_stepped_on_and_rounds_go_on(spark):
     v = recurrent_lm.Vocabulary(head, sum(c for _, c in head), len(head))
     test = [np.array([v.ids[w] for w in [*words(r.text), recurrent_lm.END]]) for r in d.where(recurrent_lm.held_out(F.col("doc_id"))).collect()]
     assert recurrent_lm.fit(training, v).trained == v.tokens
-    nets = [recurrent_lm.fit(training, v, part_rows=20, rounds=n) for n in (1, 2)]
+    nets = [recurrent_lm.fit(training, v, part_tokens=6000, rounds=n) for n in (1, 2)]
     assert [n.trained for n in nets] == [v.tokens] * 2
     once, twice = (n.score(test).sum() for n in nets)
     assert twice > once
 
 
+def test_states_are_averaged_in_a_tree(spark):
+    """Means of means by tokens are the mean of all parts, whatever the fan; missing parts do not count."""
+    rng = np.random.default_rng(6)
+    parts, width = [i for i in range(70) if i % 7], 5
+    states = rng.normal(size=(len(parts), 3, width)).astype(np.float32)
+    tokens = rng.integers(1, 1000, len(parts))
+    rows = [(i, k, int(n), bytearray(states[j, k].tobytes())) for j, (i, n) in enumerate(zip(parts, tokens)) for k in range(3)]
+    d = spark.createDataFrame(rows, recurrent_lm.STATES_SQL)
+    want = (states * tokens[:, None, None]).sum(0) / tokens.sum()
+    for fan in (2, 64, 100):
+        got = sorted(recurrent_lm.averaged(d, 70, fan).collect(), key=lambda r: r.slice)
+        assert [(r.slice, r.tokens) for r in got] == [(k, tokens.sum()) for k in range(3)]
+        assert np.array([np.frombuffer(r.state, np.float32) for r in got]) == pytest.approx(want, abs=1e-5)
+
+
 def test_pipeline_is_its_stages_and_keeps_columns(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     columns, before = docs.columns, None

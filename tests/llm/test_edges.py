@@ -126,3 +126,23 @@ def test_components_of_a_chain_and_a_star(spark, known):
     rows, n = components(spark.createDataFrame(chain, "u long, v long"), n=len(chain) if known else None)
     got = {r.node: r.root for r in rows.collect()}
     assert all(got[i] == 1 for i in range(2, 41)) and all(got[100 + i] == 100 for i in range(1, 200)) and n == len(got)
+
+
+def test_edits_with_nulls_and_repeats(spark):
+    """Null numbers are 0, a null `inserted` is nothing, equal edits are applied each, places beyond the text are its end; rows of one id are edited each."""
+    ranks, pattern = queries.tokenizer_path("byte_bpe_50k.tiktoken"), queries.pretokens()
+    docs = spark.createDataFrame([(1, "one two three four"), (1, "other text"), (2, None), (None, "no id")], "doc_id long, text string")
+    rows = [(1, None, None, None, "A "), (1, None, None, None, "A "), (1, 2, None, 4, None), (2, 1, 5, 3, None), (2, 2, 9, None, "end"), (None, 1, 0, 0, "x"), (7, 1, 0, 0, "x")]
+    edits = spark.createDataFrame(rows, "doc_id long, edit_no int, start long, removed long, inserted string")
+    got = sorted((r.doc_id, r.text, r.new_chars, r.new_tokens) for r in token_counts.apply(token_counts.index(docs, ranks, pattern), edits, ranks, pattern).collect())
+    counter = token_counts.Counter(ranks, pattern)
+    want = [(1, "one two three four"), (1, "other text"), (2, "end")]
+    assert got == [(i, t, len(t), len(counter.encode(t))) for i, t in want]
+
+
+def test_vectors_with_clashing_columns(spark):
+    """Other columns of the vectors, whatever their names, change no score."""
+    given = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(1, 9)], "vec_id long, embedding array<float>")
+    clashing = given.select(*[F.lit(n).alias(n) for n in ("v", "x", "score", "rank", "query_id", "slot", "block", "ids")], "*")
+    best = lambda d: sorted(map(tuple, maxscore.search(maxscore.quantized(d), maxscore.quantized(d).where("vec_id % 4 = 0"), 3).collect()))
+    assert len(best(given)) == 6 and best(clashing) == best(given)

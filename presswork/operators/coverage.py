@@ -148,12 +148,119 @@ def largest_remainder(rows: DataFrame, key: str, n: str, order: str) -> DataFram
     return out.withColumn("share", (F.col("_floor") + (rank <= missing).cast("int")).cast("int")).drop("_floor", "_rest")
 
 
-def weighted_centroid(rows: DataFrame, key: str, vector: str, weight: str) -> DataFrame:
-    """(key, centroid): element-wise weighted mean; where all weights are 0 the plain one. Partial sums are made per element ahead of the shuffle."""
-    flat = rows.where(F.col(vector).isNotNull()).select(key, F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias("_w"), F.posexplode(vector).alias("_pos", "_x"))
-    sums = flat.groupBy(key, "_pos").agg(F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("_x").cast("double")).alias("wx"), F.avg(F.col("_x").cast("double")).alias("mean"))
-    each = sums.select(key, F.struct("_pos", F.when(F.col("w") > 0, F.col("wx") / F.col("w")).otherwise(F.col("mean")).alias("x")).alias("e"))
-    return each.groupBy(key).agg(F.transform(F.sort_array(F.collect_list("e")), lambda e: e["x"]).alias("centroid"))
+#: rows of a key in one batch from which they go on as their sums
+COMBINED = 8
+SUMS = "_w double, _v array<double>, _sums binary"
+
+
+def _summed(codes, n: int, weights, vectors):
+    """(n, 5, length) sums over the rows of each code and place: rows, weight, weighted value, value, values that are not null."""
+    import numpy as np
+
+    sizes = np.diff(vectors.offsets.to_numpy())
+    flat = vectors.flatten()
+    length = int(sizes.max(initial=0))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = codes[row] * length + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    good = np.asarray(flat.is_valid())
+    x = flat.fill_null(0).to_numpy(zero_copy_only=False)
+    w = weights[row]
+    total = lambda v=None: np.bincount(at, v, n * length).reshape(n, length)
+    return np.stack([total(), total(w), total(w * x), total(x), total(good.astype(float))], axis=1)
+
+
+def _added(a, b):
+    import numpy as np
+
+    out = np.zeros((5, max(a.shape[1], b.shape[1])))
+    out[:, : a.shape[1]] += a
+    out[:, : b.shape[1]] += b
+    return out
+
+
+def _combine(batches):
+    """Rows (key, weight, vector) -> (key, SUMS): keys that a batch has often as one row of sums, others as they are."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        named = batch.column(0).dictionary_encode("encode")
+        codes, n = named.indices.to_numpy(), len(named.dictionary)
+        often = np.bincount(codes, minlength=n) >= COMBINED
+        single = pa.array(np.flatnonzero(~often[codes]))
+        raw = batch.take(single)
+        yield pa.RecordBatch.from_arrays([raw.column(0), raw.column(1), raw.column(2), pa.nulls(len(single), pa.binary())], names=[batch.schema.names[0], "_w", "_v", "_sums"])
+        if often.any():
+            part = batch.take(pa.array(np.flatnonzero(often[codes])))
+            place = np.cumsum(often) - 1
+            sums = _summed(place[codes[often[codes]]], int(often.sum()), part.column(1).to_numpy(), part.column(2))
+            k = len(sums)
+            yield pa.RecordBatch.from_arrays([named.dictionary.take(pa.array(np.flatnonzero(often))), pa.nulls(k, pa.float64()), pa.nulls(k, raw.column(2).type), pa.array([s.tobytes() for s in sums], pa.binary())], names=[batch.schema.names[0], "_w", "_v", "_sums"])
+
+
+def _centroids(batches):
+    """Rows (key, SUMS[, place]) with those of a key together -> (key, centroid); of a key no more than its sums are held. Where rows are numbered, a key that does not begin with its first is an error."""
+    import numpy as np
+    import pyarrow as pa
+
+    def shown(keys, sums):
+        kept = [i for i, s in enumerate(sums) if (s[0] > 0).any()]
+        cut = [sums[i][:, : np.flatnonzero(sums[i][0] > 0)[-1] + 1] for i in kept]
+        flat = np.concatenate([*cut, np.zeros((5, 0))], axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            x = np.where(flat[1] > 0, flat[2] / flat[1], flat[3] / flat[4])
+        values = pa.array(x, mask=flat[4] == 0)
+        offsets = pa.array(np.concatenate([[0], np.cumsum([c.shape[1] for c in cut])]).astype(np.int32))
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(kept, pa.int64())), pa.ListArray.from_arrays(offsets, values)], names=["key", "centroid"])
+
+    held = None
+    for batch in batches:
+        named = batch.column(0).dictionary_encode("encode")
+        codes, keys = named.indices.to_numpy(), named.dictionary
+        if not len(codes):
+            continue
+        if batch.num_columns > 4:
+            begins = np.flatnonzero(np.diff(codes, prepend=-1))
+            goes_on = held is not None and held[0][0].as_py() == keys[0].as_py()
+            if (batch.column(4).to_numpy()[begins[int(goes_on) :]] != 1).any():
+                raise ValueError("the rows of a key are not together")
+        plain = np.asarray(batch.column(3).is_null())
+        raw = batch.take(pa.array(np.flatnonzero(plain)))
+        sums = list(_summed(codes[plain], len(keys), raw.column(1).to_numpy(zero_copy_only=False), raw.column(2)))
+        for i in np.flatnonzero(~plain):
+            sums[codes[i]] = _added(sums[codes[i]], np.frombuffer(batch.column(3)[int(i)].as_py()).reshape(5, -1))
+        if held is not None:
+            if held[0][0].as_py() == keys[0].as_py():
+                sums[0] = _added(held[1], sums[0])
+            else:
+                yield shown(held[0], [held[1]])
+        if len(keys) > 1:
+            yield shown(keys[:-1], sums[:-1])
+        held = keys[-1:], sums[-1]
+    if held is not None:
+        yield shown(*held[:1], [held[1]])
+
+
+def weighted_centroid(rows: DataFrame, key: str, vector: str, weight: str, vectors: DataFrame | None = None, by: str | None = None) -> DataFrame:
+    """(key, centroid): element-wise weighted mean; where all weights are 0 the plain one.
+
+    Rows of a key that come together are summed ahead of the shuffle; after it
+    sums are made in the order of the key, and no element is a row of its own.
+    If rows have only the id (`by`) of their vector, `vectors` (by, vector) is a
+    table small enough for every executor, one vector to an id, which meets them
+    after the shuffle.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias("_w")
+    v = F.col(vector).cast("array<double>").alias("_v")
+    if vectors is None:
+        given = rows.where(F.col(vector).isNotNull()).select(key, w, v).mapInArrow(_combine, f"`{key}` {kind}, {SUMS}")
+        ordered = given.repartition(F.col(key)).sortWithinPartitions(key)
+    else:
+        place = F.row_number().over(Window.partitionBy(key).orderBy(by, weight)).alias("_place")
+        named = F.broadcast(vectors.where(F.col(by).isNotNull() & F.col(vector).isNotNull()).select(by, vector))
+        ordered = rows.select(key, by, w, place).join(named, by, "left").select(key, "_w", v, F.lit(None).cast("binary").alias("_sums"), "_place")
+    return ordered.mapInArrow(_centroids, f"`{key}` {kind}, centroid array<double>")
 
 
 def factuality_weight(level: Column) -> Column:

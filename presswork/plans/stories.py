@@ -233,7 +233,8 @@ SELECT story_id, round(sum(v * v), 6) AS norm2, round(sum(v), 6) AS total FROM (
 def weighted_centroids(spark: SparkSession, sf: str) -> DataFrame:
     """Centroids of stories' vectors, weighted by factuality and age; shown by norm and sum."""
     a = views.articles(spark, sf).select("story_id", "tag_id", "factuality", "published_at").distinct()
-    a = a.withColumn("vec_id", F.col("tag_id") % 400).join(views.table(spark, sf, "embeddings"), "vec_id")
-    c = cov.weighted_centroid(a.withColumn("w", cov.article_weight(F.col("factuality"), F.col("published_at"), now())), "story_id", "embedding", "w")
+    a = a.select("story_id", (F.col("tag_id") % 400).alias("vec_id"), cov.article_weight(F.col("factuality"), F.col("published_at"), now()).alias("w"))
+    named = views.table(spark, sf, "embeddings").where(F.abs("vec_id") < 400).select("vec_id", "embedding")  # all that a rest of 400 can name
+    c = cov.weighted_centroid(a, "story_id", "embedding", "w", named, "vec_id")
     norm = F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x * x)
     return c.select("story_id", F.round(norm, 6).alias("norm2"), F.round(F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))

@@ -140,3 +140,27 @@ def test_timeline_shift_and_milestone(spark):
 @pytest.mark.parametrize("args,score", [((True, 40, 0.0, True, True), 115), ((False, 15, 24.0, True, False), 35), ((False, 14, 48.0, False, True), 0)])
 def test_for_you(spark, args, score):
     assert spark.range(1).select(readers.for_you_score(*map(F.lit, args)).alias("s")).first().s == score
+
+
+def test_weighted_centroid_of_named_vectors_nulls_and_lengths(spark):
+    """Sums made row by row, combined and by named vectors are the same, whatever the lengths, nulls and batches."""
+    vectors = [(0, [1.0, 2.0]), (1, [3.0, None, 5.0]), (2, []), (3, [None, None]), (4, None)]
+    rows = [(k, v, w) for k in range(12) for v in range(-1, 6) for w in (0.0, 0.5 + k, None) if (k + v) % 3] + [(12, 0, 0.0)] * 30 + [(None, 0, 2.0), (None, 1, 1.0), (13, 2, 1.0), (14, 3, 1.0)]
+    r = spark.createDataFrame(rows, "k long, id long, w double")
+    named = spark.createDataFrame(vectors, "id long, v array<double>")
+    want = {}
+    for key in {k for k, _, _ in rows}:
+        mine = [(dict(vectors)[v], w or 0.0) for k, v, w in rows if k == key and dict(vectors).get(v) is not None]
+        n = max((len(x) for x, _ in mine), default=0)
+        c = []
+        for i in range(n):
+            at = [(x[i], w) for x, w in mine if len(x) > i]
+            good, whole = [(x, w) for x, w in at if x is not None], sum(w for _, w in at)
+            c.append(None if not good else sum(x * w for x, w in good) / whole if whole > 0 else sum(x for x, _ in good) / len(good))
+        if n:
+            want[key] = c
+    joined = r.join(named, "id")
+    for found in (cov.weighted_centroid(joined, "k", "v", "w"), cov.weighted_centroid(joined.coalesce(1), "k", "v", "w"), cov.weighted_centroid(r, "k", "v", "w", named, "id")):
+        got = found.collect()
+        assert len(got) == len(want)
+        assert {x.k: [None if y is None else round(y, 9) for y in x.centroid] for x in got} == {k: [None if y is None else round(y, 9) for y in c] for k, c in want.items()}

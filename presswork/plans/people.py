@@ -217,7 +217,8 @@ SELECT reader_id, story_id, score::INT AS score, k::INT AS place FROM (SELECT *,
 def for_you_feed(spark: SparkSession, sf: str) -> DataFrame:
     """Ten best of the 200 newest published stories for readers (one topic followed each).
 
-    The candidates are bounded by the feed's own limit of 200 rows, so pairing each reader with them is linear in readers.
+    The candidates are bounded by the feed's own limit of 200 rows, so they are one row of their own that
+    each reader's row takes its ten best from: no pair is a row that is shuffled or sorted.
     """
     from ..enums import TOPICS
     from ..operators.readers import for_you_score
@@ -229,15 +230,19 @@ def for_you_feed(spark: SparkSession, sf: str) -> DataFrame:
     cand = cand.join(cov.spectrum_arrays(views.articles(spark, sf).join(F.broadcast(cand.select("story_id")), "story_id", "left_semi")), "story_id").select("story_id", "topic", "region", "first_published", "spectrum")
     read = st.where(READ).select("reader_id", "story_id", "topic", "region")
     of = read.groupBy("reader_id").agg(F.collect_set(F.struct("topic", "region")).alias("likes")).join(gaps, "reader_id", "left")
-    of_cand = read.join(F.broadcast(cand.select("story_id")), "story_id", "left_semi").select("reader_id", "story_id", F.lit(True).alias("was_read"))
-    pairs = of.join(F.broadcast(cand)).join(of_cand, ["reader_id", "story_id"], "left")  # 200 rows at most
-    share = F.aggregate(F.filter("spectrum", lambda s: F.array_contains(F.coalesce("gaps", F.array().cast("array<string>")), s["bias"])), F.lit(0), lambda a, s: a + s["percentage"])
-    unread = F.col("was_read").isNull()
-    similar = F.exists("likes", lambda x: (x["topic"] == F.col("topic")) & (x["region"] == F.col("region")))
-    score = for_you_score(F.col("topic") == pick(TOPICS, F.col("reader_id") % 9), share, hours_between(F.col("first_published"), now()), unread, similar)
-    ranked = pairs.withColumn("score", score)
-    best = Window.partitionBy("reader_id").orderBy(F.desc("score"), F.desc("first_published"), F.desc("story_id"))
-    return ranked.withColumn("place", F.row_number().over(best)).where("place <= 10").select("reader_id", "story_id", "score", "place")
+    seen = read.join(F.broadcast(cand.select("story_id")), "story_id", "left_semi").groupBy("reader_id").agg(F.collect_set("story_id").alias("seen"))  # of the candidates
+    at_once = cand.agg(F.collect_list(F.struct("story_id", "topic", "region", "first_published", "spectrum")).alias("candidates"))  # 200 at most
+    rows = of.join(seen, "reader_id", "left").join(F.broadcast(at_once))
+
+    def scored(c):
+        share = F.aggregate(F.filter(c["spectrum"], lambda s: F.array_contains(F.coalesce("gaps", F.array().cast("array<string>")), s["bias"])), F.lit(0), lambda a, s: a + s["percentage"])
+        unread = ~F.coalesce(F.array_contains("seen", c["story_id"]), F.lit(False))
+        similar = F.exists("likes", lambda x: (x["topic"] == c["topic"]) & (x["region"] == c["region"]))
+        score = for_you_score(c["topic"] == pick(TOPICS, F.col("reader_id") % 9), share, hours_between(c["first_published"], now()), unread, similar)
+        return F.struct(score.alias("score"), c["first_published"].alias("first_published"), c["story_id"].alias("story_id"))
+
+    best = F.slice(F.sort_array(F.transform("candidates", scored), asc=False), 1, 10)
+    return rows.select("reader_id", F.posexplode(best).alias("at", "b")).select("reader_id", "b.story_id", "b.score", (F.col("at") + 1).alias("place"))
 
 
 @query(

@@ -2,9 +2,9 @@
 
 Similar pairs come from an exact join by pivots: equal vectors are one node,
 nodes are put into the cells of their nearest pivots, and a node meets only the
-cells that the triangle inequality leaves. Cells are packed in blocks of bounded
-size; two blocks are one small matrix product in Arrow, so no row pair below the
-threshold is ever emitted.
+cells that the triangle inequality leaves. Rows are packed where they are read;
+a part of a cell and a part of its guests meet in small matrix products in
+Arrow, so no row pair below the threshold is ever emitted.
 """
 
 from __future__ import annotations
@@ -59,11 +59,14 @@ def pivots_of(nodes: DataFrame, sample: int, most: int) -> list:
 
 #: rows that pivots are chosen from, and how many there are at most; both bound what the driver and the tasks hold, not what is joined
 SAMPLE, PIVOTS = 4096, 64
-CELLS = "cell int, far double, id long, v array<double>"
+CELLS = "cell int, far double, id long, v array<double>, home int"
+PACKED = "cell int, far double, n long, ids binary, data binary, foreign binary"
+#: rows of a cell, or guests of it, that one task holds at a time
+TILE = 65536
 
 
 def _cells(pivots: list, reach: float, radii: list | None):
-    """Batches of (rep, v) -> their cells with the distance to its pivot: the nearest one's; with radii every one that a row within `reach` may be in."""
+    """Batches of (rep, v) -> their cells with the distance to its pivot, and the nearest pivot as `home`: that one's cell; with radii every one from there on that a row within `reach` may be in, as two cells need to meet only once."""
 
     def run(batches):
         import numpy as np
@@ -74,29 +77,32 @@ def _cells(pivots: list, reach: float, radii: list | None):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
             d = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (p * p).sum(axis=1) - 2 * x @ p.T, 0))
+            home = d.argmin(axis=1)
             if radii is None:
-                i, j = np.arange(len(ids)), d.argmin(axis=1)
+                i, j = np.arange(len(ids)), home
             else:  # triangle: a row of the cell is at most its radius from the pivot
-                i, j = np.nonzero(d <= np.array(radii) + reach)
-            yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int32)), pa.array(d[i, j]), pa.array(ids[i]), batch.column(1).take(pa.array(i))], names=["cell", "far", "id", "v"])
+                i, j = np.nonzero((d <= np.array(radii) + reach) & (home[:, None] <= np.arange(len(p))))
+            yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int32)), pa.array(d[i, j]), pa.array(ids[i]), batch.column(1).take(pa.array(i)), pa.array(home[i].astype(np.int32))], names=["cell", "far", "id", "v", "home"])
 
     return run
 
 
-def _blocks(cells: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
-    """(cell, sub, ids, data): the rows of each cell packed, dealt by a hash over as many parts as hold about `block` rows each."""
+def _packed(cells):
+    """The rows of _cells with those of a batch and a cell as one, by their greatest distance; `foreign` tells guests from the cell's own."""
 
-    def pack(table):
+    def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        ids = table.column("id").to_numpy()
-        x = np.array(table.column("v").to_pylist(), float).reshape(len(ids), -1)
-        return pa.table({"cell": pa.array([table.column("cell")[0].as_py()], pa.int32()), "sub": pa.array([table.column("sub")[0].as_py()], pa.int64()), "ids": [ids.tobytes()], "data": [x.tobytes()]})
+        for rows in cells(batches):
+            cell, far, ids, home = (rows.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2, 4))
+            x = rows.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            for j in np.unique(cell):
+                i = np.flatnonzero(cell == j)
+                packed_ = [ids[i].astype(np.int64), x[i].astype(float), (home[i] != j).astype(np.uint8)]
+                yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([far[i].max()]), pa.array([len(i)], pa.int64()), *[pa.array([v.tobytes()], pa.binary()) for v in packed_]], names=["cell", "far", "n", "ids", "data", "foreign"])
 
-    dealt = cells.join(sizes.select("cell", F.ceil(F.col("n") / block).alias("parts")), "cell")
-    dealt = dealt.select("cell", F.pmod(F.xxhash64("id"), F.col("parts")).alias("sub"), "id", "v")
-    return dealt.groupBy("cell", "sub").applyInArrow(pack, "cell int, sub long, ids binary, data binary")
+    return run
 
 
 def _forest(i, j, n: int):
@@ -120,8 +126,10 @@ def similar_nodes(nodes: DataFrame, threshold: float = THRESHOLD, block: int = B
 
     Each node lies in the cell of its nearest pivot. As a cosine of t is a
     distance of sqrt(2 - 2t), a node meets only cells whose pivot is no farther
-    than that and the cell's radius; others are never joined. Cells are split
-    into packed blocks, so a dense cell is many small matrix products. With
+    than that and the cell's radius; others are never joined. Rows are packed
+    where they are read and sent once for each part of a cell that they meet,
+    so what is shuffled grows with the nodes until a cell has more than TILE;
+    a part with its guests is many small matrix products. With
     links_only a product's pairs are reduced to a forest that connects the same
     nodes, so a dense group emits rows, not pairs.
     """
@@ -131,36 +139,49 @@ def similar_nodes(nodes: DataFrame, threshold: float = THRESHOLD, block: int = B
     if not chosen:
         return spark.createDataFrame([], "a long, b long, similarity double")
     reach = max(0.0, 2 - 2 * threshold) ** 0.5 + 1e-6
-    own = shared_checkpoint(nodes.select("rep", "v").mapInArrow(_cells(chosen, reach, None), CELLS))
-    sizes = own.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"))
-    radii = [-9.0] * len(chosen)  # of at most PIVOTS cells
-    for r in sizes.collect():
-        radii[r.cell] = r.radius + 1e-6
-    guests = nodes.select("rep", "v").mapInArrow(_cells(chosen, reach, radii), CELLS)
-    guest_sizes = guests.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    left = _blocks(guests, guest_sizes, block).select("cell", F.col("sub").alias("l_sub"), F.col("ids").alias("l_ids"), F.col("data").alias("l_data"))
-    right = _blocks(own, sizes, block).select("cell", F.col("sub").alias("r_sub"), F.col("ids").alias("r_ids"), F.col("data").alias("r_data"))
-
-    def multiply(batches):
+    own = shared_checkpoint(nodes.select("rep", "v").mapInArrow(_packed(_cells(chosen, reach, None)), PACKED))
+    radii, parts = [-9.0] * len(chosen), [1] * len(chosen)  # of at most PIVOTS cells
+    total = 0
+    for r in own.groupBy("cell").agg(F.sum("n").alias("n"), F.max("far").alias("radius")).collect():
+        radii[r.cell], parts[r.cell] = r.radius + 1e-6, -(-r.n // TILE)
+        total += r.n
+    deals = -(-total // TILE)  # no cell has more guests than there are nodes
+    guests = nodes.select("rep", "v").mapInArrow(_packed(_cells(chosen, reach, radii)), PACKED)
+    # packed rows of a cell are dealt over parts, its guests over parts too; each goes to every part of the other side
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1).cast("array<long>"))
+    of_cell = F.get(F.array(*[F.lit(n) for n in parts]), F.col("cell")).cast("long")
+    left = guests.withColumns({"g": F.pmod(F.xxhash64("ids"), F.lit(deals)), "o": every(of_cell)}).select("cell", "g", "o", "ids", "data", "foreign")
+    right = own.withColumns({"o": F.pmod(F.xxhash64("ids"), of_cell), "g": every(F.lit(deals))}).select("cell", "g", "o", "ids", "data")
+
+    def multiply(l_table, r_table):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            for l_ids, l_data, r_ids, r_data in zip(*(batch.column(c).to_pylist() for c in ("l_ids", "l_data", "r_ids", "r_data"))):
-                a, b = np.frombuffer(l_ids, np.int64), np.frombuffer(r_ids, np.int64)
-                s = np.frombuffer(l_data).reshape(len(a), -1) @ np.frombuffer(r_data).reshape(len(b), -1).T
+        empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+        if not l_table.num_rows or not r_table.num_rows:
+            return empty
+        joined = lambda t, c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
+        a, foreign, b = joined(l_table, "ids", np.int64), joined(l_table, "foreign", np.uint8) > 0, joined(r_table, "ids", np.int64)
+        x, y = joined(l_table, "data", float).reshape(len(a), -1), joined(r_table, "data", float).reshape(len(b), -1)
+        found = []
+        for l in range(0, len(a), block):
+            for r in range(0, len(b), block):
+                s = x[l : l + block] @ y[r : r + block].T
                 i, j = np.nonzero(s >= threshold)
-                keep = a[i] < b[j]
-                i, j = i[keep], j[keep]
-                if links_only and len(i):
-                    every, place = np.unique(np.concatenate([a[i], b[j]]), return_inverse=True)
-                    u, v = _forest(place[: len(i)], place[len(i) :], len(every))
-                    yield pa.RecordBatch.from_arrays([pa.array(every[u]), pa.array(every[v]), pa.array(np.full(len(u), float(threshold)))], names=["a", "b", "similarity"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[j]), pa.array(s[i, j])], names=["a", "b", "similarity"])
-
-    # packed rows meet by cell: a hot cell's blocks are dealt over tasks by the left block, its right blocks are repeated
-    return left.join(right, "cell").repartition("cell", "l_sub", "r_sub").mapInArrow(multiply, "a long, b long, similarity double")
+                u, v = a[l + i], b[r + j]
+                keep = foreign[l + i] | (u < v)  # rows of one cell meet twice
+                i, j, u, v = i[keep], j[keep], u[keep], v[keep]
+                u, v = np.minimum(u, v), np.maximum(u, v)
+                if links_only and len(u):
+                    all_, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+                    first, at = _forest(place[: len(u)], place[len(u) :], len(all_))
+                    found.append((all_[first], all_[at], np.full(len(first), float(threshold))))
+                elif len(u):
+                    found.append((u, v, s[i, j]))
+        return pa.table(dict(zip(("a", "b", "similarity"), map(np.concatenate, zip(*found))))) if found else empty
+
+    keys = ("cell", "g", "o")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(multiply, "a long, b long, similarity double")
 
 
 def similar_pairs(rows: DataFrame, id_: str, vector: str, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:

@@ -119,3 +119,21 @@ def test_a_centroid_of_one_member_stays(spark):
     members = batch(spark, [(1, [0.5, 0.5], NOW), (2, [0.0, 3.0], NOW), (3, [1.0, 1.0], NOW)]).withColumn("story_id", F.when(F.col("id") == 1, 1).otherwise(2).cast("long"))
     out = {r.story_id: r.centroid for r in cluster.recentred(stories, members).collect()}
     assert out == {1: [1.0, 0.0], 2: [0.5, 2.0]}
+
+
+def test_cells_meet_once_in_parts_of_bounded_size(spark, monkeypatch):
+    """Parts of cells and of their guests give what all pairs give, and a row is a guest of its own cell and later ones only, so vectors are not sent for every pair of blocks."""
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(120, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "rep long, v array<double>")
+    s = x @ x.T
+    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if s[i, j] >= 0.6}
+    for tile in (7, 65536):
+        monkeypatch.setattr(cluster, "TILE", tile)
+        got = [(r.a, r.b) for r in cluster.similar_nodes(nodes, 0.6, block=5).collect()]
+        assert set(got) == want and len(got) == len(want)
+    pivots = x[:8].tolist()
+    guests = nodes.mapInArrow(cluster._packed(cluster._cells(pivots, 2.0, [2.0] * 8)), cluster.PACKED).agg({"n": "sum"}).first()[0]
+    homes = ((x[:, None] - x[None, :8]) ** 2).sum(axis=2).argmin(axis=1)
+    assert guests == (8 - homes).sum()

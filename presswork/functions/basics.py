@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -66,3 +66,8 @@ def instant(text: str) -> Column:
 
 def stamp(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of equal keys together, in all the parts that the session shuffles into: Spark does not merge these into few large ones, so what follows by the keys holds little in a task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

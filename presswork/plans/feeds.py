@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import views
 from ..enums import BIASES, FACTUALITY, PERSPECTIVES, REGIONS, TOPICS
-from ..functions.basics import hours_between, instant, ordinal, stamp
+from ..functions.basics import dealt, hours_between, instant, ordinal, stamp
 from ..operators import coverage as cov
 from ..operators import pages
 from ..registry import query
@@ -147,11 +147,13 @@ SELECT d.story_id, d.source_id, d.source, bias, o.name AS owner, d.owner_id IS N
 def story_detail(spark: SparkSession, sf: str) -> DataFrame:
     """Stories with their sources and owners; a source's owner that is not known is flagged."""
     ids = views.stories(spark, sf).where("status = 'published'").select("story_id")
-    d = views.articles(spark, sf).join(ids, "story_id", "left_semi")
-    n = d.groupBy("story_id").agg(F.count_distinct("source_id").alias("n_sources"))
+    members = dealt(views.articles(spark, sf).select("story_id", "source_id"), "story_id").join(dealt(ids, "story_id"), "story_id", "left_semi")
+    first = F.row_number().over(Window.partitionBy("story_id", "source_id").orderBy("source_id"))
+    pairs = members.withColumn("_first", first).where("_first = 1").withColumn("n_sources", F.count(F.lit(1)).over(Window.partitionBy("story_id")))
+    s = views.sources(spark, sf).select("source_id", F.col("name").alias("source"), "bias", "factuality", "ownership", "owner_id").distinct()
     o = views.owners(spark, sf).select("owner_id", F.col("name").alias("owner"), F.lit(True).alias("_known"))
-    u = d.select("story_id", "source_id", "source", "bias", "owner_id").distinct().join(o, "owner_id", "left").join(n, "story_id")
-    return u.select("story_id", "source_id", "source", "bias", "owner", (F.col("owner_id").isNotNull() & F.col("_known").isNull()).alias("owner_missing"), "n_sources")
+    known = s.join(o, "owner_id", "left").select("source_id", "source", "bias", "owner", (F.col("owner_id").isNotNull() & F.col("_known").isNull()).alias("owner_missing"))
+    return pairs.join(known, "source_id").select("story_id", "source_id", "source", "bias", "owner", "owner_missing", "n_sources")
 
 
 _TAGS = f"{SQL}, st AS (SELECT DISTINCT story_id, tag_id FROM art), vis AS (SELECT tag_id, count(*) AS n FROM st JOIN sto USING (story_id) WHERE status = 'published' GROUP BY tag_id)"

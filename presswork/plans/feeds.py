@@ -186,8 +186,11 @@ SELECT tag_id, related, n FROM (SELECT *, row_number() OVER (PARTITION BY tag_id
 def related_tags(spark: SparkSession, sf: str) -> DataFrame:
     """Tags that occur with a tag in published stories, by count and id. A story has few tags, so pairs stay linear in stories."""
     s = views.stories(spark, sf).where("status = 'published'").select("story_id")
-    p = story_tags(spark, sf).join(s, "story_id", "left_semi")
-    c = p.join(p.select("story_id", F.col("tag_id").alias("related")), "story_id").where("tag_id <> related").groupBy("tag_id", "related").agg(F.count(F.lit(1)).alias("n"))
+    first = F.row_number().over(Window.partitionBy("story_id", "tag_id").orderBy("tag_id"))
+    once = dealt(views.articles(spark, sf).select("story_id", "tag_id"), "story_id").withColumn("_first", first).where("_first = 1")
+    p = once.select("story_id", "tag_id").join(dealt(s, "story_id"), "story_id", "left_semi")
+    pairs = p.join(p.select("story_id", F.col("tag_id").alias("related")), "story_id").where("tag_id <> related").select("tag_id", "related")
+    c = dealt(pairs, "tag_id", "related").groupBy("tag_id", "related").agg(F.count(F.lit(1)).alias("n"))
     k = F.row_number().over(Window.partitionBy("tag_id").orderBy(F.desc("n"), "related"))
     return c.withColumn("k", k).where("k <= 10").drop("k")
 

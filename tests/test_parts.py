@@ -12,3 +12,8 @@ def optimized(df):
 def test_story_detail_groups_no_names(spark):
     plan = optimized(registry.QUERIES["story_detail"](spark, SMALL))
     assert "RepartitionByExpression [story_id" in plan and "Aggregate [story_id" not in plan
+
+
+def test_related_tags_deals_stories_and_pairs(spark):
+    plan = optimized(registry.QUERIES["related_tags"](spark, SMALL))
+    assert "RepartitionByExpression [story_id" in plan and "RepartitionByExpression [tag_id" in plan and "Aggregate [story_id" not in plan

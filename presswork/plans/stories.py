@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import views
 from ..enums import BIASES, LEFT, OWNERSHIP, RIGHT
-from ..functions.basics import age_hours, hours_between, instant, ordinal, percent, stamp
+from ..functions.basics import age_hours, dealt, hours_between, instant, ordinal, percent, stamp
 from ..operators import coverage as cov
 from ..operators import latest, narrative, readers, timeline
 from ..registry import query
@@ -23,7 +23,7 @@ def story_metrics(spark: SparkSession, sf: str, wanted: DataFrame | None = None)
     """All stories, or those that are wanted, with metrics, spectrum, blindspot and phase; other stories' articles are left before they are grouped."""
     arts = views.articles(spark, sf)
     if wanted is not None:
-        arts = arts.join(wanted.select("story_id"), "story_id", "left_semi")
+        arts = arts.join(dealt(wanted.select("story_id"), "story_id"), "story_id", "left_semi")
     return cov.facts(arts, now()).withColumn("is_blindspot", cov.blindspot(F.col("spectrum"), F.col("n_sources")))
 
 

@@ -49,17 +49,19 @@ def journeys(wanted: DataFrame, articles: DataFrame, stories: DataFrame, events:
     An article comes before a story, an id before a URL, the smallest id first.
     """
     asked = wanted.where("query is not null").select(F.trim("query").alias("query")).distinct()
+    text = F.lit(None).cast("string")
     keys = articles.select(F.col("article_id").alias("query"), F.lit(0).alias("way"), "article_id", "story_id")
     keys = keys.unionByName(articles.select(F.col("url").alias("query"), F.lit(1).alias("way"), "article_id", "story_id"))
-    hit = asked.join(keys, "query").groupBy("query").agg(F.min(F.struct("way", "article_id", "story_id")).alias("a"))
-    by_article = hit.select("query", F.lit("article").alias("resolved"), "a.story_id", "a.article_id")
-    rest = asked.join(hit.select("query"), "query", "left_anti")
-    known = rest.join(stories.select(F.col("story_id").alias("query")).distinct(), "query", "left_semi").select("query", F.col("query").alias("story_id"))
-    by_story = known.join(articles.select("story_id", "article_id"), "story_id", "left").select("query", F.lit("story").alias("resolved"), "story_id", "article_id")
-    reached = by_article.unionByName(by_story)
-    items = reached.select("query", F.explode(F.array("story_id", "article_id")).alias("item_id")).where("item_id is not null").distinct()
-    logged = events.groupBy("item_id").agg(F.count(F.lit(1)).alias("e")).join(dead_letters.groupBy("item_id").agg(F.count(F.lit(1)).alias("d")), "item_id", "full")
-    sums = items.join(logged, "item_id").groupBy("query").agg(F.sum("e").alias("e"), F.sum("d").alias("d"))
-    found = reached.groupBy("query").agg(F.min("resolved").alias("resolved"), F.min("story_id").alias("story_id"), F.count_distinct("article_id").alias("n_articles"))
-    zero = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
-    return asked.join(found, "query", "left").join(sums, "query", "left").select("query", F.coalesce("resolved", F.lit("none")).alias("resolved"), "story_id", zero("n_articles", "n_articles"), zero("e", "n_events"), zero("d", "n_dead"))
+    keys = keys.unionByName(stories.select(F.col("story_id").alias("query"), F.lit(2).alias("way"), text.alias("article_id"), "story_id"))
+    hit = asked.join(keys, "query", "left").groupBy("query").agg(F.min(F.struct("way", "article_id", "story_id")).alias("a")).select("query", "a.*")
+    resolved = F.when(F.col("way") < 2, "article").when(F.col("way") == 2, "story").otherwise("none").alias("resolved")
+    own = F.array(F.struct(F.col("story_id").alias("item_id"), F.lit(False).alias("is_article")), F.struct(F.col("article_id").alias("item_id"), F.lit(True).alias("is_article")))
+    items = hit.select("query", resolved, "story_id", F.explode(own).alias("x")).select("query", "resolved", "story_id", "x.*").where(F.col("item_id").isNotNull() | ~F.col("is_article"))
+    of_story = hit.where("way = 2").select("query", "story_id").join(articles.where("article_id is not null").select("story_id", F.col("article_id").alias("item_id")), "story_id")
+    items = items.unionByName(of_story.select("query", F.lit("story").alias("resolved"), "story_id", "item_id", F.lit(True).alias("is_article")))
+    items = items.groupBy("query", "item_id").agg(F.min("resolved").alias("resolved"), F.min("story_id").alias("story_id"), F.max("is_article").alias("is_article"))
+    log = events.select("item_id", F.lit(1).alias("e"), F.lit(0).alias("d")).unionByName(dead_letters.select("item_id", F.lit(0).alias("e"), F.lit(1).alias("d")))
+    log = log.where("item_id is not null").groupBy("item_id").agg(F.sum("e").alias("e"), F.sum("d").alias("d"))
+    found = items.join(log, "item_id", "left").groupBy("query").agg(F.min("resolved").alias("resolved"), F.min("story_id").alias("story_id"), F.count_if("is_article").alias("n_articles"), F.sum("e").alias("e"), F.sum("d").alias("d"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return found.select("query", "resolved", "story_id", F.col("n_articles").cast("long").alias("n_articles"), zero(F.col("e")).alias("n_events"), zero(F.col("d")).alias("n_dead"))

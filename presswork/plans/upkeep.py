@@ -114,8 +114,8 @@ SELECT query, resolved, story_id, n_articles::BIGINT AS n_articles, n_events::BI
 def journeys(spark: SparkSession, sf: str) -> DataFrame:
     """What ids and URLs of articles, ids of stories and unknown texts lead to, with the events and dead letters on the way."""
     text = lambda start, c: F.concat(F.lit(start), F.col(c).cast("string"))
-    line = F.col("l_linenumber").cast("string")
-    a = views.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), F.concat(text("a", "l_orderkey"), F.lit("-"), line).alias("article_id"), F.concat(text("https://n.example/", "l_orderkey"), F.lit("/"), line).alias("url"), text("s", "l_orderkey").alias("story_id")).distinct()
+    a = views.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line")).distinct()
+    a = a.select("k", "line", F.concat(text("a", "k"), F.lit("-"), F.col("line").cast("string")).alias("article_id"), F.concat(text("https://n.example/", "k"), F.lit("/"), F.col("line").cast("string")).alias("url"), text("s", "k").alias("story_id"))
     s = views.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), text("s", "o_orderkey").alias("story_id"), text("x", "o_orderkey").alias("unknown"))
     items = a.select(F.col("article_id").alias("item_id"), (F.col("k") + F.col("line")).alias("e")).unionByName(s.select(F.col("story_id").alias("item_id"), F.col("k").alias("e")))
     events = items.where("e % 4 > 0").select("item_id", F.explode(F.sequence(F.lit(1), (F.col("e") % 4).cast("int"))).alias("n"))

@@ -35,3 +35,8 @@ def test_metrics_of_repeated_and_missing_values(spark):
     a = spark.createDataFrame(rows, "story_id long, source_id long, bias string, ownership string").withColumn("published_at", instant("2024-06-15 00:00:00"))
     found = {r.story_id: (r.n_articles, r.n_sources, r.source_diversity, [(s.bias, s.n) for s in r.spectrum]) for r in cov.facts(a, instant("2024-06-15 12:00:00")).select("story_id", "n_articles", "n_sources", "source_diversity", F.col("spectrum")).collect()}
     assert found == {1: (4, 2, 2, [("left", 1), ("center", 1), ("right", 1)]), None: (1, 1, 1, [("left", 1)]), 2: (1, 0, 0, [])}
+
+
+def test_journeys_join_each_table_once(spark):
+    plan = optimized(registry.QUERIES["journeys"](spark, SMALL))
+    assert plan.count("Join") <= 5

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from presswork import plans, registry  # noqa: F401
 from presswork.functions.basics import instant
 from presswork.operators import coverage as cov
+from presswork.operators import entities
 
 from .conftest import SMALL
 
@@ -40,3 +41,16 @@ def test_metrics_of_repeated_and_missing_values(spark):
 def test_journeys_join_each_table_once(spark):
     plan = optimized(registry.QUERIES["journeys"](spark, SMALL))
     assert plan.count("Join") <= 5
+
+
+def test_words_without_a_type_are_left_early(spark):
+    words = ["Thand", "Nor", "Europe", "Bank", "Summit", "UK", "NASA", "G20", "Bank of", "The"]
+    x = spark.createDataFrame([(w,) for w in words], "w string")
+    kind = entities.entity_type(entities.titled(entities.canonical(F.col("w"))))
+    rows = x.select("w", entities.untyped(F.col("w")).alias("u"), kind.alias("t")).collect()
+    assert [r.w for r in rows if r.u] == ["Thand", "Nor", "The"] and all(r.t is None for r in rows if r.u)
+
+
+def test_topics_are_searched_in_texts_lowered_once(spark):
+    plan = optimized(registry.QUERIES["entity_tags"](spark, SMALL)).lower()
+    assert "contains(_low" in plan

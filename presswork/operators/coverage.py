@@ -134,9 +134,14 @@ def dominant(rows: DataFrame, key: str, value: str, values: list[str]) -> DataFr
 def dominant_or_null(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value, n, total): the most frequent value, null where the first place is shared."""
     counted = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
-    top = counted.groupBy(key).agg(F.max("n").alias("n"), F.sum("n").alias("total"), F.max_by(value, "n").alias(value))
-    ties = counted.withColumnRenamed("n", "m").join(top.select(key, "n"), key).where("m = n").groupBy(key).agg(F.count(F.lit(1)).alias("ties"))
-    return top.join(ties, key).select(key, F.when(F.col("ties") == 1, F.col(value)).alias(value), "n", "total")
+    return first_or_null(counted.where(F.col(key).isNotNull()), key, value, "n").select(key, value, F.col("top").alias("n"), "total")
+
+
+def first_or_null(votes: DataFrame, key: str, value: str, weight: str) -> DataFrame:
+    """(key, value, top, total) of votes (key, value, weight), each value of a key once: the value of the largest weight, null where the first place is shared."""
+    # the last and the first value of the largest weight are the same one, or there are several
+    best = votes.groupBy(key).agg(F.max(F.struct(weight, value)).alias("hi"), F.min(F.struct((-F.col(weight)).alias("w"), value)).alias("lo"), F.sum(weight).alias("total"))
+    return best.select(key, F.when(F.col(f"hi.{value}") == F.col(f"lo.{value}"), F.col(f"hi.{value}")).alias(value), F.col(f"hi.{weight}").alias("top"), "total")
 
 
 def lanes(spectrum_: Column) -> Column:

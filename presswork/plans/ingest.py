@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import views
 from ..enums import BIASES, TOPICS
-from ..functions.basics import half_up, instant, ordinal, pick, stamp
+from ..functions.basics import dealt, half_up, instant, ordinal, pick, stamp
 from ..functions.text import fingerprint
 from ..operators import coverage as cov
 from ..operators import ingest, latest, thin
@@ -93,7 +93,7 @@ def source_topic_priors(spark: SparkSession, sf: str) -> DataFrame:
 
 def priors(spark: SparkSession, sf: str, days: int = 30) -> DataFrame:
     """(source_id, topic, n, total, confidence) of the stories that were published in the last days."""
-    pairs = views.articles(spark, sf).select("source_id", "story_id").distinct()
+    pairs = dealt(views.articles(spark, sf).select("source_id", "story_id"), "story_id").distinct()  # dealt as the join with stories needs them
     recent = F.col("first_published") >= instant(views.AS_OF) - F.make_dt_interval(F.lit(days))
     s = views.stories(spark, sf).where("status = 'published'").where(recent).select("story_id", "topic")
     return cov.dominant_or_null(pairs.join(s, "story_id"), "source_id", "topic").withColumn("confidence", F.col("n") / F.col("total")).select("source_id", "topic", "n", "total", "confidence")

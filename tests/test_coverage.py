@@ -111,6 +111,18 @@ def test_thin_topics_go_by_categories_then_priors_then_keywords(spark):
     assert {r.k: r.topic for r in thin.classified(a, p, "k").collect()} == {1: "technology", 2: "health", 3: "culture", 4: "politics"}
 
 
+def test_thin_topics_deal_articles_by_their_key_once(spark):
+    rows = [(1, 1, 7, "x", ["Tech", "tech"]), (1, 1, 7, "x", ["software"]), (1, 2, 7, "x", ["europe"]), (1, 3, 8, "x", ["world"]), (1, None, 8, None, ["world", "markets"])]
+    rows += [(2, 1, 7, "x", []), (2, 2, 8, "x", ["weather"]), (None, 1, 7, "The film festival", ["Tech"]), (3, 1, None, None, None), (4, 1, 7, "film", None), (4, 1, 9, "festival", None)]
+    a = spark.createDataFrame(rows, "k long, article long, source_id long, title string, categories array<string>")
+    p = spark.createDataFrame([(7, "health", 0.8, 20), (8, "world", 0.8, 20)], "source_id long, topic string, confidence double, total long")
+    out = thin.classified(a, p, "k")
+    assert {r.k: r.topic for r in out.collect()} == {1: "world", 2: "environment", None: "culture", 3: "politics", 4: "health"}
+    assert {r.k: r.topic for r in thin.by_priors(a, p, "k").collect()} == {1: None, 2: None, 4: "health"}
+    plan = thin.classified(a, p, "k")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(k#") == 1
+
+
 def test_largest_remainder_sums_to_100(spark):
     rows = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (1, 1, 2)], "k long, n long, o int")
     shares = [r.share for r in cov.largest_remainder(rows, "k", "n", "o").orderBy("o").collect()]

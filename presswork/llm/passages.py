@@ -32,7 +32,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WordHashes, mixed, shingle_hashes, staged, texts_as_bytes, unstage, word_hashes, words_of
+from ._shared import WordHashes, hashes_of_texts, mixed, shingle_hashes, staged, texts_as_bytes, unstage
 from .components import merged, salted
 from .near_dup import alike, coefficients, grouped
 
@@ -65,11 +65,11 @@ def paragraphs(texts: list, cache: WordHashes, a=None, b=None):
     """
     import numpy as np
 
-    each = [word_hashes(words_of(t), cache) for t in texts]
-    sizes = np.array([len(h) for h in each], np.int64)
+    found, sizes = hashes_of_texts(texts, cache)
     gap = np.zeros(RADIUS + 1, np.uint64)
-    hashes = np.concatenate([x for h in each for x in (h, gap)]) if each else np.zeros(0, np.uint64)
     starts = np.cumsum(sizes + len(gap)) - sizes - len(gap)
+    hashes = np.zeros(len(found) + len(sizes) * len(gap), np.uint64)
+    hashes[np.arange(len(found)) + np.repeat(np.arange(len(sizes)) * len(gap), sizes)] = found
     top = np.iinfo(np.uint64).max
     g = np.full(len(hashes), top)
     if len(hashes):
@@ -159,42 +159,49 @@ def members_of(docs: DataFrame, places: DataFrame, bands: int) -> DataFrame:
     def take(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         cache, (a, b) = WordHashes(), coefficients(bands * ROWS, 23)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
         names = ["node", "doc_id", "row_id", "start", "buckets", "shingles"]
         for batch in batches:
             ids, rows, texts, wanted = batch.column(0).to_numpy(), batch.column(2).to_numpy(), texts_as_bytes(batch.column(1)), batch.column(3)
             for x, y in chunks(texts):
                 doc, place, node, s, buckets = paragraphs(texts[x:y], cache, a, b)
-                mine, seen = ([], [], [], [], [], []), set()
-                ends = np.searchsorted(doc, np.arange(y - x + 1))
-                for d in range(y - x):
-                    lo, hi = ends[d], ends[d + 1]
-                    asked = np.sort(np.asarray(wanted[x + d].values))
-                    at = np.searchsorted(place[lo:hi], asked // bands)
-                    fits = at < hi - lo
-                    fits[fits] = place[lo:hi][at[fits]] == asked[fits] // bands
-                    at, band = at[fits] + lo, asked[fits] % bands
-                    for i, of in zip(*_runs(at, band)):
-                        n = int(node[i])
-                        for c, v in zip(mine, (n, ids[x + d], rows[x + d], place[i], buckets[i, of], None if n in seen else np.unique(s[i]).view(np.int64))):
-                            c.append(v)
-                        seen.add(n)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(mine, kinds)], names=names)
+                wants = wanted.slice(x, y - x)
+                of = np.repeat(np.arange(y - x), np.asarray(pc.list_value_length(wants)))
+                asked = wants.flatten().to_numpy()
+                order = np.lexsort((asked, of))
+                of, asked = of[order], asked[order]
+                # paragraphs stand by document and place, and so do those that are asked for
+                wide = int(max(place.max(initial=0), asked.max(initial=0) // bands)) + 1
+                all_, one = doc * wide + place, of * wide + asked // bands
+                at = np.searchsorted(all_, one)
+                fits = at < len(all_)
+                fits[fits] = all_[at[fits]] == one[fits]
+                at, band = at[fits], asked[fits] % bands
+                begins = np.flatnonzero(np.diff(at, prepend=-1))
+                rows_at = at[begins]
+                ends = np.append(begins, len(at)).astype(np.int32)
+                first = np.zeros(len(rows_at), bool)
+                first[np.unique(node[rows_at], return_index=True)[1]] = True
+                sets = np.sort(s[rows_at[first]], axis=1)
+                new = np.diff(sets, axis=1, prepend=0) != 0
+                new[:, 0] = True
+                lengths = np.zeros(len(rows_at), np.int64)
+                lengths[first] = new.sum(axis=1)
+                offsets = pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32), mask=np.append(~first, False))
+                columns = [
+                    *(pa.array(c, k) for c, k in zip((node[rows_at], ids[x:y][doc[rows_at]], rows[x:y][doc[rows_at]], place[rows_at].astype(np.int32)), kinds)),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(buckets[at, band])),
+                    pa.ListArray.from_arrays(offsets, pa.array(sets[new].view(np.int64))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     found = merged(_given(docs), places, "row_id").select("doc_id", "text", "row_id", "places")
     return found.mapInArrow(take, "node long, doc_id long, row_id long, start int, buckets array<long>, shingles array<long>")
 
 
-def _runs(at, values) -> tuple[list, list]:
-    """The distinct items of the sorted `at`, and the values of each."""
-    import numpy as np
-
-    first = np.flatnonzero(np.diff(at, prepend=-1))
-    return at[first].tolist(), np.split(values, first[1:]) if len(first) else []
-
-
 def repeats(docs: DataFrame, percent: int = PERCENT, recall: float = RECALL) -> DataFrame:
     """(doc_id, row_id, start, first_doc_id, first_row_id, first_start): every paragraph that has a like elsewhere; `first` is the place that stays."""
     bands = tuned(percent, recall)

@@ -456,3 +456,14 @@ def test_pipeline_is_its_stages_and_keeps_columns(spark, tmp_path):
     assert sum(got.values()) == sum(math.ceil(len(ids[i]) / 2048) * n for i, n in copies.items())
     whole = corpus_pipeline.run(spark, SMALL)
     assert Counter(whole.select("doc_id", "piece", "length", "ids_crc32").collect()) == got
+
+
+def test_words_of_one_length_are_hashed_as_each_alone():
+    import random
+
+    draw = random.Random(4)
+    texts = [bytes(draw.choice(b"aZ \x0b\xff\x1c\t") for _ in range(draw.randrange(200))) for _ in range(300)]
+    texts += [None, b"", b" ", b"x" * 500, bytes(range(1, 256)), b"a" * 31 + b" " + b"b" * 32]
+    found, sizes = _shared.hashes_of_texts(texts, _shared.WordHashes())
+    each = [_shared.word_hashes(_shared.words_of(t), _shared.WordHashes()) for t in texts]
+    assert sizes.tolist() == [len(h) for h in each] and found.tolist() == [x for h in each for x in h.tolist()]
